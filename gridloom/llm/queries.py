@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import eliasfano, packing
+from gridloom.llm import eliasfano, packing, quality, urlfilter, warc
 
 QUERIES = {
     "op1_curve_packing": packing.op1,
     "op2_elias_fano_ids": eliasfano.op2,
+    "op5_dictionary_warc": warc.op5,
+    "op9_url_filters": urlfilter.op9,
+    "op10_quality_outliers": quality.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_filters": urlfilter.OP9_SQL}
