@@ -181,7 +181,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
 
     schema = "n_docs long, n_tokens long, first long, null_first long, stem string, pid long"
     # One small row a task, as many as Spark itself keeps on the driver for its tasks.
-    made = sorted(dealt.mapInArrow(run, schema).collect(), key=lambda r: r.pid)
+    with common.small_batches(spark):
+        made = sorted(dealt.mapInArrow(run, schema).collect(), key=lambda r: r.pid)
     out, base = [], 0
     for r in made:
         out.append((r.stem, r.n_docs, r.n_tokens, base))

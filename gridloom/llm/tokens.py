@@ -61,7 +61,8 @@ class Units(dict):
     def __missing__(self, unit: str) -> bytes:
         ids = self.compute(unit)
         if len(unit) <= self.longest:
-            if len(self) < self.cap:
+            # The second half is for bare words: with them at hand, a word with marks is put together quickly.
+            if len(self) < (self.cap if unit[-1].isalpha() else self.cap // 2):
                 self[unit] = ids
             else:
                 self.late += 1
@@ -77,7 +78,7 @@ class Units(dict):
 class CachedEncoder:
     """Texts to little-endian id bytes. ``cap`` bounds the cached units, ``longest`` the length of a cached unit."""
 
-    def __init__(self, path: str, kind: str, dtype: str = "<u2", cap: int = 500_000, longest: int = 32):
+    def __init__(self, path: str, kind: str, dtype: str = "<u2", cap: int = 300_000, longest: int = 32):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -105,7 +106,9 @@ class CachedEncoder:
         if m is None:
             return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         word, marks, *more = m.groups()
-        out = self._part(word.lower() if self.lower else word)
+        if marks is None and not any(more):
+            return self._part(word.lower() if self.lower else word)
+        out = self.cache[word.lower() if self.lower else word]
         for part in (marks, *more):
             if part:
                 if len(part) > 2:

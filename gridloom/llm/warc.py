@@ -183,7 +183,8 @@ def write(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", **names) -> tupl
         yield pa.RecordBatch.from_pylist([{"path": path, "n_records": n}])
 
     # One small row a task, as many as Spark itself keeps on the driver for its tasks.
-    made = [(r.path, r.n_records) for r in plan(pages, **names).mapInArrow(run, "path string, n_records long").collect()]
+    with common.small_batches(spark):
+        made = [(r.path, r.n_records) for r in plan(pages, **names).mapInArrow(run, "path string, n_records long").collect()]
     return spark.createDataFrame(made, "path string, n_records long"), root
 
 
