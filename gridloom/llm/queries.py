@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import eliasfano, packing, quality, simhash, urlfilter, warc
+from gridloom.llm import eliasfano, packing, quality, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_curve_packing": packing.op1,
     "op2_elias_fano_ids": eliasfano.op2,
     "op5_dictionary_warc": warc.op5,
     "op6_simhash_blocks": simhash.op6,
+    "op7_toxicity_compression": toxicity.op7,
     "op9_url_filters": urlfilter.op9,
     "op10_quality_outliers": quality.op10,
 }
