@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import eliasfano, packing, quality, simhash, toxicity, urlfilter, warc
+from gridloom.llm import eliasfano, packing, pii, quality, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_curve_packing": packing.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_dictionary_warc": warc.op5,
     "op6_simhash_blocks": simhash.op6,
     "op7_toxicity_compression": toxicity.op7,
+    "op8_semi_markov_pii": pii.op8,
     "op9_url_filters": urlfilter.op9,
     "op10_quality_outliers": quality.op10,
 }
