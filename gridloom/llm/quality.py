@@ -77,10 +77,11 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.regexp_count(text, F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
         lines.alias("lines"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
     )
     windows = F.transform(F.slice("words", 1, F.size("words") - 2), lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)))
     b = a.select(
-        "doc_id", "lang", "source", "n_symbols", "n_upper",
+        "doc_id", "lang", "source", "n_symbols", "n_upper", "text_hash",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -95,7 +96,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return d.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.when(F.col("t").isNotNull(), F.size(in_windows)).otherwise(0).cast("long").alias("n_repeat_words"),
-        "n_lines", "n_upper",
+        "n_lines", "n_upper", "text_hash",
     )
 
 
@@ -207,9 +208,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= limit)).alias("kept"),
-        d2.alias("d2"),
+        d2.alias("d2"), "text_hash",
     )
 
 
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all columns as they are."""
+    gone = judge(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text"))
+    gone = common.materialise(gone.distinct(), "rejected")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col(text_col)) == F.col("gone_text")), "left_anti")
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
-    return judge(common.table(spark, sf_dir, "documents"))
+    return judge(common.table(spark, sf_dir, "documents")).drop("text_hash")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import eliasfano, packing, pii, quality, simhash, toxicity, urlfilter, warc
+from gridloom.llm import eliasfano, packing, pii, quality, simhash, topk, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_curve_packing": packing.op1,
     "op2_elias_fano_ids": eliasfano.op2,
+    "op3_impact_topk": topk.op3,
     "op5_dictionary_warc": warc.op5,
     "op6_simhash_blocks": simhash.op6,
     "op7_toxicity_compression": toxicity.op7,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_quality_outliers": quality.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": urlfilter.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_impact_topk": topk.OP3_SQL, "op9_url_filters": urlfilter.OP9_SQL}

@@ -317,6 +317,19 @@ def near_duplicates(
     return prints.join(named, F.col("print") == F.col("p"), "left").select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that of the smallest id; all columns as they are.
+
+    Of rows that share an id one stays; rows with null id all do.
+    """
+    found = near_duplicates(docs, words, None, similarity, id_col, text_col)
+    gone = common.materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    left = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
+        left = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+    return left
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"), words=4, distance=4)
     digits = F.lower(F.hex("print"))

@@ -212,6 +212,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, all columns as they are."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        scorer = model.scorer()
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield part.filter(pa.array([scorer.score(t) < threshold for t in part.column(at).to_pylist()]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     scored = score(docs, fit(docs, common.table(spark, sf_dir, "labels")))
