@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import eliasfano, packing, pii, quality, simhash, topk, toxicity, urlfilter, warc
+from gridloom.llm import eliasfano, packing, pieces, pii, quality, simhash, topk, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_curve_packing": packing.op1,
     "op2_elias_fano_ids": eliasfano.op2,
     "op3_impact_topk": topk.op3,
+    "op4_batched_viterbi": pieces.op4,
     "op5_dictionary_warc": warc.op5,
     "op6_simhash_blocks": simhash.op6,
     "op7_toxicity_compression": toxicity.op7,
