@@ -1,6 +1,532 @@
-"""Registered queries over rasters derived from the test tables, with their DuckDB equivalents."""
+"""Registered queries over rasters derived from the test tables, with their DuckDB equivalents.
+
+Each query is one operator at work on a whole raster. Doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gridloom.functions import geo
+from gridloom.operators import bands, footprint, layout, resample, tiles, validity, windows
+from gridloom.sources import rasters
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_EMB = "emb AS (SELECT vec_id AS row, i - 1 AS col, 1 AS band, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, generate_series(1, 64) AS g(i))"
+_SIZE = "dim AS (SELECT max(vec_id) + 1 AS h FROM embeddings)"
+_EVT = (
+    "evt AS (SELECT user_id AS row, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS INTEGER) AS col, CAST(count(*) AS DOUBLE) AS b1, "
+    "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS b2, CAST(max(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS b3, "
+    "max(CASE WHEN event_type = 'purchase' THEN 255.0 ELSE 0.0 END)::DOUBLE AS b4 FROM events GROUP BY ALL)"
+)
+_LI = (
+    "li AS (SELECT l_suppkey AS row, CAST(l_partkey % 64 AS INTEGER) AS col, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS b1, "
+    "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS b2, CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS b3, "
+    "CAST(count(*) AS DOUBLE) AS b4 FROM lineitem GROUP BY ALL)"
+)
+_LIP = "lip AS (SELECT row, col, band, CASE band WHEN 1 THEN b1 WHEN 2 THEN b2 WHEN 3 THEN b3 ELSE b4 END AS value FROM li, generate_series(1, 4) AS g(band))"
+_WIDTH = 64
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the vector raster; Parquet's statistics answer this without reading vectors."""
+    return (rasters.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
+
+
+def _cast(df: DataFrame) -> DataFrame:
+    return df.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("band").cast("int"), F.round("value", 6).alias("value"))
+
+
+def _down(name: str, scale: int, method: str, sql: str):
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return _cast(resample.downsample(rasters.vectors(spark, sf_dir), scale, method, _WIDTH, _height(spark, sf_dir)))
+
+
+_OUT = "CAST({0} AS BIGINT) AS row, CAST({1} AS BIGINT) AS col, CAST(1 AS INTEGER) AS band"
+
+
+def _avg_sql(s: int) -> str:
+    return f"WITH {_EMB}, {_SIZE} SELECT {_OUT.format(f'row // {s}', f'col // {s}')}, round(avg(value), 6) AS value FROM emb, dim WHERE row // {s} < greatest(1, h // {s}) AND col // {s} < {_WIDTH // s} GROUP BY row // {s}, col // {s}"
+
+
+def _point_sql(s: int, at: int) -> str:
+    return f"WITH {_EMB}, {_SIZE} SELECT {_OUT.format(f'row // {s}', f'col // {s}')}, round(value, 6) AS value FROM emb, dim WHERE row % {s} = {at} AND col % {s} = {at} AND row // {s} < greatest(1, h // {s}) AND col // {s} < {_WIDTH // s}"
+
+
+def _kernel_sql(s: int, cubic: bool) -> str:
+    k = "CASE WHEN abs({0}) <= 1 THEN (1.5 * abs({0}) - 2.5) * abs({0}) * abs({0}) + 1 WHEN abs({0}) < 2 THEN ((-0.5 * abs({0}) + 2.5) * abs({0}) - 4) * abs({0}) + 2 ELSE 0 END"
+    lin = "CASE WHEN k = 0 THEN 1 - (c - floor(c)) ELSE c - floor(c) END"
+    lo, hi = (-1, 2) if cubic else (0, 1)
+
+    def axis(name: str, size: str) -> str:
+        w = k.format("(c - src)") if cubic else lin
+        return (
+            f"{name}0 AS (SELECT o, k, least(o * {s} + {(s - 1) / 2}, {size} - 1.0) AS c FROM dim, generate_series(0, CAST(greatest(1, {size} // {s}) - 1 AS BIGINT)) AS a(o), generate_series({lo}, {hi}) AS b(k)), "
+            f"{name}1 AS (SELECT o, k, c, CAST(greatest(0, least(floor(c) + k, {size} - 1)) AS BIGINT) AS src FROM {name}0, dim), "
+            f"{name} AS (SELECT o, src, sum({w}) AS w FROM {name}1 GROUP BY o, src)"
+        )
+
+    return (
+        f"WITH {_EMB}, {_SIZE}, {axis('down', 'h')}, {axis('across', str(_WIDTH))} SELECT {_OUT.format('d.o', 'a.o')}, round(sum(value * d.w * a.w) / sum(d.w * a.w), 6) AS value "
+        "FROM emb JOIN down d ON row = d.src JOIN across a ON col = a.src GROUP BY d.o, a.o"
+    )
+
+
+_down("downsample_avg_2", 2, "average", _avg_sql(2))
+_down("downsample_avg_ragged", 3, "average", _avg_sql(3))
+_down("downsample_nearest_2", 2, "nearest", _point_sql(2, 0))
+_down("downsample_bilinear_3", 3, "bilinear", _point_sql(3, 1))
+_down("downsample_bilinear_4", 4, "bilinear", _kernel_sql(4, False))
+_down("downsample_cubic_2", 2, "cubic", _kernel_sql(2, True))
+_down("downsample_cubic_4", 4, "cubic", _kernel_sql(4, True))
+_down("downsample_lanczos_4", 4, "lanczos", _kernel_sql(4, True))
+
+
+@query("downsample_avg_nodata", f"WITH {_EVT} SELECT CAST(row // 4 AS BIGINT) AS row, CAST(col // 4 AS BIGINT) AS col, CAST(2 AS INTEGER) AS band, round(avg(b2), 6) AS value FROM evt, (SELECT max(user_id) + 1 AS h FROM events) WHERE row // 4 < h // 4 AND col // 4 < 180 GROUP BY row // 4, col // 4")
+def _avg_nodata(spark, sf_dir):
+    e = rasters.activity_cells(spark, sf_dir)
+    h = rasters.table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0] + 1
+    return _cast(resample.downsample(e.select("row", "col", F.lit(2).alias("band"), F.col("b2").alias("value")), 4, "average", 720, h))
+
+
+@query("pyramid_stats", f"""WITH {_EMB}, {_SIZE},
+ l1 AS (SELECT row // 2 AS row, col // 2 AS col, avg(value) AS value FROM emb, dim WHERE row // 2 < h // 2 GROUP BY ALL),
+ l2 AS (SELECT row // 2 AS row, col // 2 AS col, avg(value) AS value FROM l1, dim WHERE row // 2 < (h // 2) // 2 GROUP BY ALL),
+ a AS (SELECT 0 AS layer, value FROM emb UNION ALL SELECT 1, value FROM l1 UNION ALL SELECT 2, value FROM l2)
+ SELECT CAST(layer AS INTEGER) AS layer, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS largest FROM a GROUP BY layer""")
+def _pyramid(spark, sf_dir):
+    p = resample.pyramid(rasters.vectors(spark, sf_dir), _WIDTH, _height(spark, sf_dir), [2, 4])
+    return p.groupBy("layer").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("largest"))
+
+
+@query("pyramid_levels", f"""WITH RECURSIVE c AS ({rasters.catalog_sql()}), l AS (
+ SELECT raster_id, 2 AS level, width, height, greatest(width, height) AS size FROM c WHERE greatest(width, height) > 256
+ UNION ALL SELECT raster_id, level * 2, width, height, size // 2 FROM l WHERE size // 2 > 256 AND level * 2 <= 1024)
+ SELECT raster_id, CAST(level AS INTEGER) AS level, CAST(greatest(1, width // level) AS INTEGER) AS width, CAST(greatest(1, height // level) AS INTEGER) AS height FROM l""")
+def _levels(spark, sf_dir):
+    c = rasters.catalog(spark)
+    n = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    side = F.greatest("width", "height")
+    fit = F.filter(n, lambda v: F.floor(side / (v / 2)) > 256)
+    e = c.select("raster_id", "width", "height", F.explode(fit).alias("level"))
+    return e.select("raster_id", "level", F.expr("greatest(1, width div level)").cast("int").alias("width"), F.expr("greatest(1, height div level)").cast("int").alias("height"))
+
+
+@query("nearest_overview", f"""WITH c AS ({rasters.catalog_sql()}), l AS ({rasters.levels_sql()}), h AS (SELECT l.raster_id, c.width // l.width AS s FROM l JOIN c USING (raster_id) WHERE NOT is_mask),
+ w AS (SELECT raster_id, v AS level FROM c, (VALUES (2), (3), (4), (8)) AS t(v))
+ SELECT w.raster_id, CAST(level AS INTEGER) AS level, CAST(coalesce(max(CASE WHEN s <= level AND level % s = 0 THEN s END), 1) AS INTEGER) AS source FROM w LEFT JOIN h USING (raster_id) GROUP BY w.raster_id, level""")
+def _nearest_overview(spark, sf_dir):
+    c = rasters.catalog(spark)
+    have = rasters.levels(spark).where("not is_mask").join(c.select("raster_id", F.col("width").alias("w")), "raster_id").select("raster_id", F.expr("cast(w div width as int)").alias("level"))
+    wanted = c.select("raster_id", F.explode(F.array(*[F.lit(v) for v in (2, 3, 4, 8)])).alias("level"))
+    return resample.source_level(wanted, have).select("raster_id", F.col("level").cast("int"), F.col("source").cast("int"))
+
+
+_GRID = "SELECT CAST(r * {n} + c AS BIGINT) AS block_index, r, c, c * {t} AS col_off, r * {t} AS row_off, least({t}, {w} - c * {t}) AS cols, least({t}, {h} - r * {t}) AS rows FROM generate_series(0, {m} - 1) AS a(r), generate_series(0, {n} - 1) AS b(c)"
+
+
+@query("tile_grid", "WITH g AS (" + _GRID.format(n=5, m=4, t=256, w=1100, h=800) + ") SELECT block_index, CAST(col_off AS BIGINT) AS col_off, CAST(row_off AS BIGINT) AS row_off, CAST(cols AS BIGINT) AS cols, CAST(rows AS BIGINT) AS rows FROM g")
+def _tile_grid(spark, sf_dir):
+    return tiles.grid(spark, 1100, 800, 256).select("block_index", *[F.col(c).cast("long") for c in ("col_off", "row_off", "cols", "rows")])
+
+
+@query("tile_stats", f"WITH {_EMB} SELECT CAST(row // 24 * 3 + col // 24 AS BIGINT) AS block_index, count(*) AS n, round(min(value), 6) AS lowest, round(max(value), 6) AS highest, round(avg(value), 6) AS mean FROM emb GROUP BY 1")
+def _tile_stats(spark, sf_dir):
+    t = tiles.tile_of(rasters.vectors(spark, sf_dir), _WIDTH, 24)
+    return t.groupBy(F.col("block_index").cast("long")).agg(F.count("*").alias("n"), *[F.round(f("value"), 6).alias(k) for k, f in (("lowest", F.min), ("highest", F.max), ("mean", F.avg))])
+
+
+@query("retile_overlap", "WITH o AS (" + _GRID.format(n=4, m=3, t=256, w=1000, h=700) + "), s AS (" + _GRID.format(n=11, m=8, t=96, w=1000, h=700) + """)
+ SELECT o.block_index AS out_block, s.block_index AS src_block, CAST((least(o.col_off + o.cols, s.col_off + s.cols) - greatest(o.col_off, s.col_off)) * (least(o.row_off + o.rows, s.row_off + s.rows) - greatest(o.row_off, s.row_off)) AS BIGINT) AS n_pixels
+ FROM o, s WHERE o.col_off < s.col_off + s.cols AND s.col_off < o.col_off + o.cols AND o.row_off < s.row_off + s.rows AND s.row_off < o.row_off + o.rows""")
+def _overlap(spark, sf_dir):
+    return tiles.overlap(spark, 1000, 700, 256, 96).withColumn("n_pixels", F.col("n_pixels").cast("long"))
+
+
+@query("pad_edge_tiles", f"WITH {_LI}, {_LIP} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, CAST(band AS INTEGER) AS band, round(value, 6) AS value FROM lip WHERE row < 40 UNION ALL SELECT r, c, b, 0.0 FROM generate_series(0, 47) AS x(r), generate_series(0, 95) AS y(c), generate_series(1, 4) AS z(b) WHERE r >= 40 OR c >= 64")
+def _pad(spark, sf_dir):
+    p = rasters.bands_to_pixels(rasters.sales_cells(spark, sf_dir)).where("row < 40")
+    return _cast(tiles.pad(p, 64, 40, 48))
+
+
+@query("planar_block_renumber", "SELECT CAST((n - 1) * 6 + t AS BIGINT) AS block_index, CAST(n AS INTEGER) AS band, CAST((o - 1) * 6 + t AS BIGINT) AS source_block FROM (VALUES (1, 3), (2, 1), (3, 3)) AS m(n, o), generate_series(0, 5) AS g(t)")
+def _renumber(spark, sf_dir):
+    return tiles.permute_planar(spark.range(24).withColumnRenamed("id", "block_index"), [3, 1, 3], 6).select(F.col("block_index").cast("long"), F.col("band").cast("int"), F.col("source_block").cast("long"))
+
+
+_PIX = "CAST({0} AS BIGINT) AS row, CAST({1} AS BIGINT) AS col, CAST(band AS INTEGER) AS band, round(value, 6) AS value"
+
+
+@query("crop_srcwin", f"WITH {_EMB} SELECT {_PIX.format('row - 10', 'col - 5')} FROM emb WHERE row BETWEEN 10 AND 109 AND col BETWEEN 5 AND 44")
+def _crop(spark, sf_dir):
+    return _cast(windows.crop(rasters.vectors(spark, sf_dir), windows.by_pixels(_WIDTH, _height(spark, sf_dir), 5, 10, 40, 100)))
+
+
+_PLACE = windows.Affine(10.0, 0.5, 0.0, 300.0, 0.0, -0.5)
+
+
+@query("crop_projwin", f"WITH {_EMB}, {_SIZE}, w AS (SELECT greatest(0, floor((14.2 - 10.0) / 0.5)) AS c0, least(64, ceil((30.1 - 10.0) / 0.5)) AS c1, greatest(0, floor((300.0 - 290.3) / 0.5)) AS r0, least(h, ceil((300.0 - 250.7) / 0.5)) AS r1 FROM dim) SELECT {_PIX.format('row - r0', 'col - c0')} FROM emb, w WHERE row >= r0 AND row < r1 AND col >= c0 AND col < c1")
+def _projwin(spark, sf_dir):
+    return _cast(windows.crop(rasters.vectors(spark, sf_dir), windows.by_map(_PLACE, _WIDTH, _height(spark, sf_dir), 30.1, 250.7, 14.2, 290.3)))
+
+
+@query("crop_then_downsample", f"WITH {_EMB} SELECT {_OUT.format('(row - 7) // 2', '(col - 3) // 2')}, round(avg(value), 6) AS value FROM emb WHERE row BETWEEN 7 AND 106 AND col BETWEEN 3 AND 53 AND (col - 3) // 2 < 25 GROUP BY (row - 7) // 2, (col - 3) // 2")
+def _crop_down(spark, sf_dir):
+    w = windows.by_pixels(_WIDTH, _height(spark, sf_dir), 3, 7, 51, 100)
+    return _cast(resample.downsample(windows.crop(rasters.vectors(spark, sf_dir), w), 2, "average", w.width, w.height))
+
+
+@query("crop_transform", "SELECT CAST(c AS INTEGER) AS col_off, CAST(r AS INTEGER) AS row_off, round(CAST(10.0 + c * 0.5 + r * 0.1 AS DOUBLE), 6) AS ox, round(CAST(300.0 + c * 0.2 - r * 0.5 AS DOUBLE), 6) AS oy FROM generate_series(0, 9) AS a(c), generate_series(0, 9) AS b(r)")
+def _transform(spark, sf_dir):
+    a = windows.Affine(10.0, 0.5, 0.1, 300.0, 0.2, -0.5)
+    moved = [(c, r, *[getattr(a.shift(c, r), k) for k in ("ox", "oy")]) for c in range(10) for r in range(10)]
+    return _rounded(spark.createDataFrame(moved, "col_off int, row_off int, ox double, oy double"), "ox", "oy")
+
+
+@query("crop_copy_tiles", "WITH g AS (" + _GRID.format(n=4, m=3, t=256, w=900, h=700) + ") SELECT block_index, (cols = 256 AND rows = 256 AND col_off + 512 + 256 <= 1300 AND row_off + 256 + 256 <= 1000) AS \"copy\" FROM g")
+def _copy_tiles(spark, sf_dir):
+    w = windows.by_pixels(1412, 956, 512, 256, 900, 700)
+    return windows.whole_tiles(tiles.grid(spark, w.width, w.height, 256), w, 256, 1300, 1000).select("block_index", "copy")
+
+
+@query("band_subset", f"WITH {_LI}, {_LIP} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, CAST(CASE band WHEN 4 THEN 1 ELSE 2 END AS INTEGER) AS band, round(value, 6) AS value FROM lip WHERE band IN (4, 2)")
+def _subset(spark, sf_dir):
+    return _cast(bands.select(rasters.bands_to_pixels(rasters.sales_cells(spark, sf_dir)), bands.check([4, 2], 4)))
+
+
+@query("band_permute", f"WITH {_LI}, {_LIP} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, CAST(n AS INTEGER) AS band, round(value, 6) AS value FROM lip JOIN (VALUES (1, 3), (2, 1), (3, 3)) AS m(n, o) ON band = o")
+def _permute(spark, sf_dir):
+    return _cast(bands.select(rasters.bands_to_pixels(rasters.sales_cells(spark, sf_dir)), [3, 1, 3]))
+
+
+@query("validity_nodata", f"WITH {_EVT} SELECT CAST(row AS BIGINT) AS row, count(CASE WHEN b1 <> 1 THEN 1 END) AS n_valid, bool_and(b1 <> 1) AS all_valid, NOT bool_or(b1 <> 1) AS none_valid FROM evt GROUP BY row")
+def _v_nodata(spark, sf_dir):
+    e = rasters.activity_cells(spark, sf_dir).withColumn("valid", validity.by_nodata(F.col("b1"), 1.0))
+    return validity.summary(e, "row").withColumn("row", F.col("row").cast("long"))
+
+
+@query("validity_nonzero", f"WITH {_EMB} SELECT CAST(row AS BIGINT) AS row, count(CASE WHEN value > 0.1 THEN 1 END) AS n_valid, bool_and(value > 0.1) AS all_valid, NOT bool_or(value > 0.1) AS none_valid FROM emb GROUP BY row")
+def _v_nonzero(spark, sf_dir):
+    return validity.summary(rasters.vectors(spark, sf_dir).withColumn("valid", validity.by_nonzero(F.col("value"), 0.1)), "row").withColumn("row", F.col("row").cast("long"))
+
+
+@query("validity_alpha", f"WITH {_EVT} SELECT CAST(col AS BIGINT) AS col, count(CASE WHEN b4 > 0 THEN 1 END) AS n_valid, bool_and(b4 > 0) AS all_valid, NOT bool_or(b4 > 0) AS none_valid FROM evt GROUP BY col")
+def _v_alpha(spark, sf_dir):
+    return validity.summary(rasters.activity_cells(spark, sf_dir).withColumn("valid", validity.by_alpha(F.col("b4"))), "col").withColumn("col", F.col("col").cast("long"))
+
+
+@query("validity_black_rgb", f"WITH {_EVT}, q AS (SELECT row, NOT (b1 = 1 AND b4 = 0 AND floor(b2) % 2 = 0) AS ok FROM evt) SELECT CAST(row AS BIGINT) AS row, count(CASE WHEN ok THEN 1 END) AS n_valid, bool_and(ok) AS all_valid, NOT bool_or(ok) AS none_valid FROM q GROUP BY row")
+def _v_black(spark, sf_dir):
+    e = rasters.activity_cells(spark, sf_dir)
+    return validity.summary(e.withColumn("valid", validity.by_black(F.col("b1") - 1, F.col("b4"), F.floor("b2") % 2)), "row").withColumn("row", F.col("row").cast("long"))
+
+
+@query("validity_mask_counts", f"WITH {_EMB} SELECT CAST(row // 64 AS BIGINT) AS tile_row, count(CASE WHEN value <> 0 THEN 1 END) AS n_valid, bool_and(value <> 0) AS all_valid, NOT bool_or(value <> 0) AS none_valid FROM emb GROUP BY 1")
+def _v_mask(spark, sf_dir):
+    return validity.summary(rasters.vectors(spark, sf_dir).select(F.expr("row div 64").alias("tile_row"), validity.by_mask(F.col("value")).alias("valid")), "tile_row")
+
+
+@query("mask_synth", f"WITH {_EVT} SELECT CASE WHEN b4 > 0 THEN 255 ELSE 0 END AS mask, count(*) AS n FROM evt GROUP BY 1")
+def _mask_synth(spark, sf_dir):
+    return rasters.activity_cells(spark, sf_dir).groupBy(validity.synthesise(validity.by_alpha(F.col("b4"))).alias("mask")).agg(F.count("*").alias("n"))
+
+
+_C = f"c0 AS ({rasters.catalog_sql()}), l AS ({rasters.levels_sql()}), c AS (SELECT *, CASE WHEN extra_samples = '' THEN [] ELSE string_split(extra_samples, ',') END AS extra FROM c0)"
+_MASK = (
+    "s AS (SELECT l.*, c.width AS w, c.height AS h, is_mask AND l.width = c.width AND l.height = c.height AS isfull FROM l JOIN c USING (raster_id)), "
+    "n AS (SELECT raster_id, is_mask, width, height, idx, row_number() OVER (PARTITION BY raster_id, is_mask, width, height ORDER BY idx) AS k FROM s WHERE NOT isfull), "
+    "p AS (SELECT o.raster_id, o.idx AS overview, m.idx AS mask FROM n o LEFT JOIN n m ON o.raster_id = m.raster_id AND m.is_mask AND m.width = o.width AND m.height = o.height AND m.k = o.k WHERE NOT o.is_mask), "
+    "hm AS (SELECT c.raster_id, coalesce((SELECT count(*) FROM s WHERE s.raster_id = c.raster_id AND isfull) = 1 AND NOT EXISTS (SELECT 1 FROM p WHERE p.raster_id = c.raster_id AND mask IS NULL), false) AS has_mask FROM c)"
+)
+_ALPHA = (
+    "al AS (SELECT raster_id, CASE WHEN len(list_filter(extra, lambda x: x IN ('associatedalpha', 'unassociatedalpha'))) > 0 THEN "
+    "CASE WHEN photometric = 'rgb' THEN 3 WHEN photometric IN ('minisblack', 'palette') THEN 1 ELSE greatest(0, bands - len(extra)) END + "
+    "list_min(list_filter([list_position(extra, 'associatedalpha'), list_position(extra, 'unassociatedalpha')], lambda x: x > 0)) END AS alpha FROM c)"
+)
+
+
+def _with_mask(spark):
+    c = rasters.catalog(spark)
+    return c.join(validity.match_masks(c, rasters.levels(spark)).select("raster_id", "has_mask"), "raster_id")
+
+
+@query("mask_ifd_match", f"WITH {_C}, {_MASK} SELECT raster_id, has_mask FROM hm")
+def _mask_match(spark, sf_dir):
+    return _with_mask(spark).select("raster_id", "has_mask")
+
+
+@query("alpha_band_index", f"WITH {_C}, {_ALPHA} SELECT raster_id, CAST(alpha AS INTEGER) AS alpha_band FROM al")
+def _alpha(spark, sf_dir):
+    return rasters.catalog(spark).select("raster_id", validity.alpha_band().cast("int").alias("alpha_band"))
+
+
+@query("choose_validity", f"WITH {_C}, {_MASK}, {_ALPHA} SELECT raster_id, CASE WHEN has_mask OR (driver = 'JP2OpenJPEG' AND bands = 1 AND photometric = 'minisblack' AND bits <= 8) THEN 'mask' WHEN alpha IS NOT NULL THEN 'alpha' WHEN nodata IS NOT NULL THEN 'nodata' WHEN bands = 1 AND photometric = 'minisblack' THEN 'nonzero' ELSE 'full' END AS validity FROM c JOIN hm USING (raster_id) JOIN al USING (raster_id)")
+def _choose_validity(spark, sf_dir):
+    return validity.choose(_with_mask(spark)).select("raster_id", "validity")
+
+
+@query("choose_transparency", f"WITH {_C}, {_MASK}, {_ALPHA} SELECT raster_id, CASE WHEN has_mask THEN 'dataset_mask' WHEN alpha IS NOT NULL THEN 'alpha' WHEN bands = 3 AND photometric = 'rgb' AND len(extra) = 0 AND bits = 8 THEN 'black_rgb' ELSE 'none' END AS transparency FROM c JOIN hm USING (raster_id) JOIN al USING (raster_id)")
+def _choose_transparency(spark, sf_dir):
+    return _with_mask(spark).select("raster_id", validity.transparency(black_rgb=True).alias("transparency"))
+
+
+@query("choose_georef", f"WITH {_C} SELECT raster_id, CASE WHEN has_affine OR has_matrix OR (has_scale AND n_tiepoints >= 1) THEN 'affine' WHEN has_rpc THEN 'rpc' WHEN n_tiepoints >= 4 THEN 'tps' WHEN n_tiepoints >= 2 AND grid_complete THEN 'gcp_grid' WHEN n_tiepoints >= 3 THEN 'gcp_affine' ELSE 'pixel' END AS georef FROM c")
+def _choose_georef(spark, sf_dir):
+    return rasters.catalog(spark).select("raster_id", geo.choose_georef().alias("georef"))
+
+
+_CELLS = f"{_EMB}, v AS (SELECT row, col FROM emb WHERE value > 0), cell AS (SELECT row + dr AS row, col + dc AS col, sum(w) AS code FROM v, (VALUES (1, 1, 8), (1, 0, 4), (0, 0, 2), (0, 1, 1)) AS k(dr, dc, w) GROUP BY ALL)"
+_PIECES = ", ".join(f"({c}, {n}, {a}, {b})" for c, v in footprint.EDGES.items() for n, (a, b) in enumerate(v))
+_POINT = "CASE {e} WHEN 0 THEN {p0} WHEN 1 THEN {p1} WHEN 2 THEN {p2} ELSE {p3} END"
+
+
+def _seg_sql() -> str:
+    x = lambda e: f"col + {_POINT.format(e=e, p0=0.5, p1=1.0, p2=0.5, p3=0.0)}"
+    y = lambda e: f"row + {_POINT.format(e=e, p0=0.0, p1=0.5, p2=1.0, p3=0.5)}"
+    return f"seg AS (SELECT {x('a')} AS x0, {y('a')} AS y0, {x('b')} AS x1, {y('b')} AS y1 FROM cell JOIN (VALUES {_PIECES}) AS e(c, n, a, b) ON code = c)"
+
+
+def _valid(spark, sf_dir):
+    return rasters.vectors(spark, sf_dir).select("row", "col", (F.col("value") > 0).alias("valid"))
+
+
+@query("ms_cases", f"WITH {_CELLS} SELECT CAST(code AS INTEGER) AS code, count(*) AS n FROM cell GROUP BY code")
+def _ms_cases(spark, sf_dir):
+    return footprint.cells(_valid(spark, sf_dir)).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("ms_segments", f"WITH {_CELLS}, {_seg_sql()} SELECT CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM seg")
+def _ms_segments(spark, sf_dir):
+    return footprint.segments(footprint.cells(_valid(spark, sf_dir)))
+
+
+@query("boundary_length", f"WITH {_CELLS}, {_seg_sql()} SELECT count(*) AS n, round(sum(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2))), 6) AS length FROM seg")
+def _boundary(spark, sf_dir):
+    s = footprint.segments(footprint.cells(_valid(spark, sf_dir)))
+    return s.agg(F.count("*").alias("n"), F.round(F.sum(F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))), 6).alias("length"))
+
+
+def _blocky(spark, sf_dir):
+    """Valid areas that are blobs: blocks of 8 x 8 whose mean is above 0, one raster per 64 rows."""
+    e = rasters.vectors(spark, sf_dir)
+    means = e.groupBy(F.expr("row div 8").alias("r"), F.expr("col div 8").alias("c")).agg(F.avg("value").alias("m")).where("m > 0")
+    cells = means.select(F.expr("concat('r', r div 8)").alias("raster_id"), (F.col("r") % 8).alias("row"), F.col("c").alias("col"), F.lit(True).alias("valid"))
+    return footprint.rings(footprint.segments(footprint.cells(cells, "raster_id")))
+
+
+@query("footprint_rings")
+def _rings(spark, sf_dir):
+    return _blocky(spark, sf_dir).select("raster_id", "ring_id", "n_vertices", F.round("area", 6).alias("area"))
+
+
+@query("footprint_geojson")
+def _geojson(spark, sf_dir):
+    return footprint.geojson(_blocky(spark, sf_dir))
+
+
+_RINGS_SQL = "r(ring_id, seq, x, y) AS (VALUES (1, 0, 0.0, 0.0), (1, 1, 4.0, 0.0), (1, 2, 4.0, 3.0), (1, 3, 0.0, 3.0), (2, 0, 1.0, 1.0), (2, 1, 5.0, 2.0), (2, 2, 3.0, 6.0), (3, 0, 0.5, 0.0), (3, 1, 4.5, 0.0), (3, 2, 4.5, 3.0), (3, 3, 0.5, 3.0))"
+
+
+def _points(spark):
+    rows = [(1, 0, 0.0, 0.0), (1, 1, 4.0, 0.0), (1, 2, 4.0, 3.0), (1, 3, 0.0, 3.0), (2, 0, 1.0, 1.0), (2, 1, 5.0, 2.0), (2, 2, 3.0, 6.0), (3, 0, 0.5, 0.0), (3, 1, 4.5, 0.0), (3, 2, 4.5, 3.0), (3, 3, 0.5, 3.0)]
+    return spark.createDataFrame(rows, "ring_id int, seq int, x double, y double")
+
+
+@query("ring_area", f"WITH {_RINGS_SQL} SELECT CAST(a.ring_id AS INTEGER) AS ring_id, round(abs(sum(a.x * b.y - b.x * a.y)) / 2, 6)::DOUBLE AS area FROM r a JOIN r b ON a.ring_id = b.ring_id AND b.seq = (a.seq + 1) % (SELECT count(*) FROM r q WHERE q.ring_id = a.ring_id) GROUP BY a.ring_id")
+def _ring_area(spark, sf_dir):
+    pts = _points(spark).groupBy("ring_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("pts"))
+    return pts.select("ring_id", F.round(footprint.ring_area(F.col("pts")), 6).alias("area"))
+
+
+@query("ring_metrics", f"WITH {_RINGS_SQL} SELECT CAST(ring_id AS INTEGER) AS ring_id, count(*) AS n_vertices, min(x)::DOUBLE AS min_x, max(y)::DOUBLE AS max_y, round((sum(x) + arg_min(x, seq)) / (count(*) + 1), 6)::DOUBLE AS centroid_x, round((sum(y) + arg_min(y, seq)) / (count(*) + 1), 6)::DOUBLE AS centroid_y FROM r GROUP BY ring_id")
+def _ring_metrics(spark, sf_dir):
+    return _rounded(footprint.measures(_points(spark), "ring_id").select("ring_id", "n_vertices", "min_x", "max_y", "centroid_x", "centroid_y"), "centroid_x", "centroid_y")
+
+
+@query("bbox_iou", f"WITH {_RINGS_SQL}, b AS (SELECT ring_id, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM r GROUP BY ring_id), p AS (SELECT a.ring_id AS a, b.ring_id AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM b a JOIN b ON a.ring_id < b.ring_id) SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, round(CAST(i AS DOUBLE) / CAST(s - i AS DOUBLE), 6) AS iou FROM p")
+def _iou(spark, sf_dir):
+    m = footprint.measures(_points(spark), "ring_id")
+    keys = ("min_x", "min_y", "max_x", "max_y")
+    a, b = (m.select(F.col("ring_id").alias(n), *[F.col(k).alias(f"{n}_{k}") for k in keys]) for n in "ab")
+    box = lambda n: {k: F.col(f"{n}_{k}") for k in keys}
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(footprint.bbox_iou(box("a"), box("b")), 6).alias("iou"))
+
+
+@query("hausdorff", f"WITH {_RINGS_SQL}, d AS (SELECT a.ring_id AS a, b.ring_id AS b, a.seq AS i, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM r a JOIN r b ON a.ring_id <> b.ring_id GROUP BY ALL) SELECT CAST(least(a, b) AS INTEGER) AS a, CAST(greatest(a, b) AS INTEGER) AS b, round(max(d), 6) AS distance FROM d GROUP BY least(a, b), greatest(a, b)")
+def _hausdorff(spark, sf_dir):
+    pts = _points(spark).groupBy("ring_id").agg(F.collect_list(F.struct("x", "y")).alias("pts"))
+    a, b = pts.select(F.col("ring_id").alias("a"), F.col("pts").alias("p")), pts.select(F.col("ring_id").alias("b"), F.col("pts").alias("q"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(footprint.hausdorff(F.col("p"), F.col("q")), 6).alias("distance"))
+
+
+@query("affine_apply", f"WITH {_EMB} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(CAST(10.0 + col * 0.5 + row * 0.1 AS DOUBLE), 6) AS x, round(CAST(300.0 + col * 0.2 - row * 0.5 AS DOUBLE), 6) AS y FROM emb")
+def _affine_apply(spark, sf_dir):
+    p = rasters.vectors(spark, sf_dir).select(F.col("row").cast("long"), F.col("col").cast("long"))
+    return p.select("row", "col", F.round(10.0 + F.col("col") * 0.5 + F.col("row") * 0.1, 6).alias("x"), F.round(300.0 + F.col("col") * 0.2 - F.col("row") * 0.5, 6).alias("y"))
+
+
+_TIES = [(0.0, 0.0, 10.0, 30.0), (39.0, 0.0, 11.0, 30.0), (0.0, 29.0, 10.0, 29.0), (39.0, 29.0, 11.0, 29.0), (20.0, 15.0, 10.5, 29.5)]
+
+
+@query("affine_fit", "SELECT round(regr_slope(s, c), 6) AS price_per_unit, round(regr_intercept(s, c), 6) AS price_at_zero FROM (SELECT CAST(l_quantity AS DOUBLE) AS c, CAST(l_extendedprice AS DOUBLE) AS s FROM lineitem)")
+def _affine_fit(spark, sf_dir):
+    li = rasters.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("col"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    # The second axis is made of two parallel rows, so the plane's slope along the first is the plain regression's.
+    both = li.select("col", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("row"), "x", "y")
+    return _rounded(geo.fit_affine(both).select(F.col("pw").alias("price_per_unit"), F.col("ox").alias("price_at_zero")), "price_per_unit", "price_at_zero")
+
+
+def _model(spark, sf_dir, model):
+    p = rasters.vectors(spark, sf_dir).where("row < 30 and col < 40").select(F.col("row").cast("long"), F.col("col").cast("long"))
+
+    def run(batches):
+        for pdf in batches:
+            x, y = model(pdf["col"].to_numpy(), pdf["row"].to_numpy())
+            yield pdf.assign(x=x, y=y)
+
+    return _rounded(p.mapInPandas(run, "row long, col long, x double, y double"), "x", "y")
+
+
+@query("gcp_grid", f"WITH {_EMB} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(10 + CAST(col AS DOUBLE) / 39, 6) AS x, round(30 - CAST(row AS DOUBLE) / 29, 6) AS y FROM emb WHERE row < 30 AND col < 40")
+def _gcp_grid(spark, sf_dir):
+    return _model(spark, sf_dir, geo.Grid.of(_TIES[:4]))
+
+
+def _tps_sql() -> str:
+    s = geo.Spline.of(_TIES)
+    u = lambda c, r: f"CASE WHEN pow(col - {c!r}, 2) + pow(row - {r!r}, 2) > 0 THEN 0.5 * (pow(col - {c!r}, 2) + pow(row - {r!r}, 2)) * ln(pow(col - {c!r}, 2) + pow(row - {r!r}, 2)) ELSE 0 END"
+    axis = lambda k: " + ".join([f"({float(w)!r}) * {u(float(c), float(r))}" for c, r, w in zip(s.col, s.row, s.weights[:-3, k], strict=True)] + [f"({float(s.weights[-3, k])!r}) + ({float(s.weights[-2, k])!r}) * col + ({float(s.weights[-1, k])!r}) * row"])
+    return f"WITH {_EMB} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round({axis(0)}, 6) AS x, round({axis(1)}, 6) AS y FROM emb WHERE row < 30 AND col < 40"
+
+
+@query("tps_eval", _tps_sql())
+def _tps(spark, sf_dir):
+    return _model(spark, sf_dir, geo.Spline.of(_TIES))
+
+
+@query("webmercator_to_wgs84", "SELECT c_custkey, round(degrees(CAST(c_custkey AS DOUBLE) * 1000 / 6378137), 6) AS lon, round(degrees(2 * atan(exp(c_acctbal * 500 / 6378137.0)) - pi() / 2), 6) AS lat FROM customer")
+def _mercator(spark, sf_dir):
+    c = rasters.table(spark, sf_dir, "customer")
+    lon, lat = geo.mercator_to_lonlat(F.col("c_custkey") * 1000.0, F.col("c_acctbal") * 500)
+    return c.select("c_custkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query("utm_to_wgs84")
+def _utm(spark, sf_dir):
+    c = rasters.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 100.0 + 300_000).alias("x"), (F.col("c_acctbal") * 100 + 4_000_000).alias("y"))
+    return _rounded(geo.reproject(c, 32642), "lon", "lat")
+
+
+def rpc_example() -> list[float]:
+    """A well-behaved sensor model: nearly linear, with a little height and cross terms."""
+    line_num, samp_num, den = [0.0] * 20, [0.0] * 20, [1.0] + [0.0] * 19
+    line_num[2], line_num[1], line_num[3], line_num[4] = -1.0, 0.02, 0.01, 0.003
+    samp_num[1], samp_num[2], samp_num[3], samp_num[7] = 1.0, 0.01, -0.008, 0.002
+    return [0.0, 0.0, 500.0, 400.0, 45.0, 9.0, 200.0, 500.0, 400.0, 0.05, 0.07, 500.0, *line_num, *den, *samp_num, *den]
+
+
+@query("rpc_inverse")
+def _rpc(spark, sf_dir):
+    model = geo.Rpc(rpc_example())
+    return _model(spark, sf_dir, lambda col, row: model.inverse(col * 10.0, row * 10.0))
+
+
+@query("simplify_dp")
+def _simplify(spark, sf_dir):
+    r = _blocky(spark, sf_dir)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(n_simple=[len(footprint.simplify_ring([(p["x"], p["y"]) for p in pts], 0.8)) for pts in pdf["pts"]]).drop(columns="pts")
+
+    return r.select("raster_id", "ring_id", "n_vertices", "pts").mapInPandas(run, "raster_id string, ring_id int, n_vertices int, n_simple int")
+
+
+def _issues_sql() -> str:
+    return f"""WITH {_C}, b AS (SELECT c.*, coalesce(n, 0) AS n_ov FROM c LEFT JOIN (SELECT raster_id, count(*) AS n FROM l WHERE NOT is_mask GROUP BY raster_id) USING (raster_id) WHERE driver = 'GTiff'),
+ st AS (SELECT l.*, b.compression AS codec, lag(l.width, 1, b.width) OVER q AS bw, lag(l.height, 1, b.height) OVER q AS bh FROM l JOIN b USING (raster_id) WHERE NOT is_mask WINDOW q AS (PARTITION BY l.raster_id ORDER BY idx)),
+ m AS (SELECT raster_id, count(CASE WHEN l.width = b.width AND l.height = b.height THEN 1 END) AS nf, count(CASE WHEN NOT (l.width = b.width AND l.height = b.height) THEN 1 END) AS nr, any_value(n_ov) AS n_ov FROM l JOIN b USING (raster_id) WHERE is_mask GROUP BY raster_id),
+ i AS (SELECT raster_id, 'V1' AS rule, 'error' AS level FROM b WHERE NOT tiled UNION ALL SELECT raster_id, 'V2', 'error' FROM b WHERE n_ov = 0
+ UNION ALL SELECT raster_id, 'V3', 'warning' FROM b WHERE compression NOT IN ('none', 'lzw', 'deflate', 'jpeg', 'zstd', 'lerc')
+ UNION ALL SELECT raster_id, 'V4', 'warning' FROM b WHERE tiled AND (block_x % 16 <> 0 OR block_y % 16 <> 0)
+ UNION ALL SELECT raster_id, 'V5', 'warning' FROM b WHERE tiled AND NOT ((block_x & (block_x - 1)) = 0 AND (block_y & (block_y - 1)) = 0)
+ UNION ALL SELECT raster_id, 'V6', 'warning' FROM b WHERE NOT has_affine UNION ALL SELECT raster_id, 'V14', 'warning' FROM b WHERE NOT ghost
+ UNION ALL SELECT raster_id, 'V7', 'error' FROM st WHERE NOT tiled UNION ALL SELECT raster_id, 'V8', 'warning' FROM st WHERE compression <> codec
+ UNION ALL SELECT raster_id, 'V9', 'warning' FROM st WHERE width >= bw OR height >= bh UNION ALL SELECT raster_id, 'V10', 'error' FROM m WHERE nf > 1
+ UNION ALL SELECT raster_id, 'V12', 'warning' FROM m WHERE nr <> n_ov UNION ALL SELECT l.raster_id, 'V11', 'error' FROM l JOIN b USING (raster_id) WHERE is_mask AND NOT l.tiled
+ UNION ALL SELECT o.raster_id, 'V13', 'warning' FROM l o JOIN m USING (raster_id) WHERE NOT o.is_mask AND NOT EXISTS (SELECT 1 FROM l k WHERE k.raster_id = o.raster_id AND k.is_mask AND k.width = o.width AND k.height = o.height))"""
+
+
+def _issues(spark):
+    return layout.issues(rasters.catalog(spark), rasters.levels(spark))
+
+
+@query("validate_issues", _issues_sql() + " SELECT raster_id, rule, level, count(*) AS n FROM i GROUP BY ALL")
+def _validate(spark, sf_dir):
+    return _issues(spark).groupBy("raster_id", "rule", "level").agg(F.count("*").alias("n"))
+
+
+@query("validate_summary", _issues_sql() + " SELECT b.raster_id, count(CASE WHEN level = 'error' THEN 1 END) AS n_errors, count(CASE WHEN level = 'warning' THEN 1 END) AS n_warnings, count(CASE WHEN level = 'error' THEN 1 END) = 0 AS valid FROM b LEFT JOIN i USING (raster_id) GROUP BY b.raster_id")
+def _summary(spark, sf_dir):
+    return layout.verdicts(rasters.catalog(spark), _issues(spark)).withColumns({"n_errors": F.col("n_errors").cast("long"), "n_warnings": F.col("n_warnings").cast("long")})
+
+
+@query("info_report", f"WITH {_C} SELECT raster_id, driver, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, CAST(bands AS INTEGER) AS bands, sample_format || bits AS dtype, compression, driver = 'JP2OpenJPEG' OR tiled AS tiled, CASE WHEN driver = 'GTiff' THEN CAST(block_x AS INTEGER) END AS block_x, nodata, CAST(epsg AS INTEGER) AS epsg, CAST(CASE WHEN driver = 'GTiff' THEN (SELECT count(*) FROM l WHERE l.raster_id = c.raster_id AND NOT is_mask) ELSE 0 END AS INTEGER) AS n_overviews FROM c")
+def _info(spark, sf_dir):
+    return layout.info(rasters.catalog(spark), rasters.levels(spark)).drop("overviews", "block_y")
+
+
+@query("convert_path", f"WITH {_C}, o AS (SELECT c.raster_id, count(l.raster_id) AS n, coalesce(bool_and(l.tiled AND l.block = c.block_x), true) AS alike FROM c LEFT JOIN l ON l.raster_id = c.raster_id AND NOT l.is_mask GROUP BY c.raster_id) SELECT raster_id, CASE WHEN driver <> 'GTiff' OR NOT tiled THEN 'strip_encode' WHEN NOT (block_x = 256 AND block_y = 256) THEN 'full_encode' WHEN compression = 'deflate' THEN CASE WHEN alike THEN 'identity' WHEN n > 0 THEN 'transcode' ELSE 'full_encode' END WHEN n > 0 THEN 'transcode' ELSE 'full_encode' END AS path FROM c JOIN o USING (raster_id)")
+def _convert_path(spark, sf_dir):
+    c = rasters.catalog(spark)
+    ov = rasters.levels(spark).where("not is_mask").select("raster_id", F.col("tiled").alias("ot"), "block")
+    o = c.select("raster_id", "block_x").join(ov, "raster_id", "left").groupBy("raster_id").agg(F.count("ot").alias("n_overviews"), F.coalesce(F.bool_and(F.col("ot") & (F.col("block") == F.col("block_x"))), F.lit(True)).alias("overviews_alike"))
+    return c.join(o, "raster_id").select("raster_id", layout.conversion_path("deflate", 256).alias("path"))
+
+
+_FILES = "SELECT '/in/' || lower(replace(p_type, ' ', '_')) || '_' || (p_partkey % 50) || CASE WHEN p_partkey % 3 = 0 THEN '.jp2' ELSE '.tif' END AS path FROM part GROUP BY 1"
+
+
+@query("skip_existing", f"WITH f AS ({_FILES}), n AS (SELECT path, regexp_extract(path, '([^/]*)\\.[^.]*$', 1) || '.tif' AS output FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY output ORDER BY path) AS k FROM n) SELECT path, output, CASE WHEN k > 1 THEN 'collision' WHEN contains(output, '_7.tif') THEN 'skipped' ELSE 'todo' END AS status FROM k")
+def _skip(spark, sf_dir):
+    return _plan(spark, sf_dir)
+
+
+def _plan(spark, sf_dir):
+    part = rasters.table(spark, sf_dir, "part")
+    path = F.concat(F.lit("/in/"), F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))), F.lit("_"), (F.col("p_partkey") % 50).cast("string"), F.when(F.col("p_partkey") % 3 == 0, ".jp2").otherwise(".tif"))
+    files = part.select(path.alias("path")).distinct()
+    there = files.select(layout.output_name(F.col("path"), ".tif").alias("output")).where(F.col("output").contains("_7.tif"))
+    return layout.batch_plan(files, there)
+
+
+@query("batch_status", f"WITH f AS ({_FILES}), n AS (SELECT path, regexp_extract(path, '([^/]*)\\.[^.]*$', 1) || '.tif' AS output FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY output ORDER BY path) AS k FROM n) SELECT CASE WHEN k > 1 THEN 'collision' WHEN contains(output, '_7.tif') THEN 'skipped' ELSE 'todo' END AS status, count(*) AS n FROM k GROUP BY 1")
+def _batch_status(spark, sf_dir):
+    return layout.batch_counts(_plan(spark, sf_dir))
+
+
+@query("subsample_gcps", "SELECT s_suppkey, s_nationkey FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier) WHERE i % CAST(ceil(n / 40.0) AS BIGINT) = 0")
+def _subsample(spark, sf_dir):
+    from pyspark.sql import Window
+
+    s = rasters.table(spark, sf_dir, "supplier")
+    stride = max(1, -(-s.count() // 40))
+    i = F.row_number().over(Window.orderBy("s_suppkey")) - 1
+    return s.withColumn("i", i).where(F.col("i") % stride == 0).select("s_suppkey", "s_nationkey")
