@@ -1,11 +1,11 @@
 """Exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
-The rows are cut into blocks. A block keeps, for each dimension, its rows ordered by component (the posting list, largest
-first; read backwards for a negative query weight) and the components themselves as integers. A query goes through a
-block's posting segments by falling impact, the product of its weight and the component's height above the block's least:
-all segments above one level of impact, then those above the next. After each level every row has a lower bound (what
-was added) and an upper one (the level for each list it was not met in). Rows whose upper bound is below the k-th best
-lower bound can't be members. Once few are left, and only then, those are scored exactly.
+The rows are cut into blocks. In a block, a component's impact is its size, quantised to a few levels; the posting
+segment (level, dimension) lists the rows whose component there has that impact. A batch of queries goes through the
+segments by falling level, adding query weight times component. What a row still lacks is bounded by Cauchy and Schwarz:
+the query's length times the length of the row's components that were not met yet, which is known exactly. A row whose
+bound is below the k-th best score known is no member. Once few rows are left, and only then, those are scored exactly;
+after the last level nothing is lacking and all sums are exact.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 from gridloom.llm import common
 
 BLOCK, BATCH = 16_384, 256
-#: Levels of impact, as shares of the query's largest; at the last, all postings have been added.
-LEVELS = (0.6, 0.45, 0.35, 0.28, 0.22, 0.16, 0.1, 0.0)
+#: Levels of impact: shares of a block's postings that stand at or above each.
+LEVELS = (0.12, 0.25, 0.36, 0.46, 0.56, 0.68, 0.82, 1.0)
+#: Rows scored first for a threshold, and the share of (row, query) pairs that may be left for exact scores.
+SEEDS, LEFT = 512, 0.02
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -36,19 +38,29 @@ def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
 
 class Block:
-    """Rows of one length: ids ascending, components, and posting lists."""
+    """Rows of one length: ids ascending, components, and posting segments by level and dimension."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
-        self.low, self.high = self.rows.min(axis=0), self.rows.max(axis=0)
-        self.lists = np.argsort(-self.rows.T, axis=1, kind="stable").astype(np.uint16)
-        self.values = np.take_along_axis(self.rows.T, self.lists.astype(np.int64), axis=1)
+        size = np.sort(np.abs(self.rows), axis=None)[::-1]
+        edges = [int(size[min(len(size) - 1, int(len(size) * share))]) for share in LEVELS[:-1]] + [0]
+        level = np.searchsorted(-np.array(edges), -np.abs(self.rows.T), side="left").astype(np.int8)
+        # Segments one after another, by level, then dimension, then row; zero components need no posting.
+        self.at = np.zeros((len(LEVELS), self.rows.shape[1], 2), np.int64)
+        parts, end = [], 0
+        for n in range(len(LEVELS)):
+            for d in range(self.rows.shape[1]):
+                part = np.flatnonzero((level[d] == n) & (self.rows[:, d] != 0))
+                self.at[n, d] = end, end + len(part)
+                end += len(part)
+                parts.append(part)
+        self.postings = np.concatenate(parts).astype(np.uint16)
 
     def save(self, fs, path: str) -> None:
-        small = np.int16 if max(abs(int(self.low.min())), abs(int(self.high.max()))) < 2**15 else np.int64
+        small = np.int16 if int(np.abs(self.rows).max(initial=0)) < 2**15 else np.int64
         data = io.BytesIO()
-        np.savez(data, ids=self.ids, rows=self.rows.astype(small), low=self.low, high=self.high, lists=self.lists, values=self.values.astype(small))
+        np.savez(data, ids=self.ids, rows=self.rows.astype(small), at=self.at, postings=self.postings)
         with fs.open_output_stream(path) as out:
             out.write(data.getvalue())
 
@@ -58,55 +70,58 @@ class Block:
             data = np.load(io.BytesIO(f.read()))
         self = cls.__new__(cls)
         self.__dict__ |= {k: data[k] for k in data.files}
-        self.wide = self.rows.astype(np.float64)  # for exact scores of whole numbers below 2**53
         return self
 
-    def search(self, query: np.ndarray, k: int, worst: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of rows that can be among the k best, given that ``k`` scores of ``worst`` or more are known."""
-        n = len(self.ids)
-        q = query.astype(np.int64)
-        weight = np.abs(q)
-        most = weight * (self.high - self.low)  # a list's largest impact
-        limit = int(weight.sum()) * int(max(abs(int(self.low.min())), abs(int(self.high.max()))) * 2 + 1)
-        if n <= 2 * k or limit >= 2**43:  # nothing to gain, or sums that would not be exact
-            return self.ids, self.exact(slice(None), q)
-        base = int((q * np.where(q > 0, self.low, self.high)).sum())
-        at, added = np.zeros(len(q), np.int64), np.zeros(n)
-        top = int(most.max())
-        need = max(4 * k, n // 64)
-        for share in LEVELS:
-            level = int(top * share)
-            index, impact = [], []
-            for d in np.flatnonzero((most >= max(level, 1)) & (at < n)).tolist():
-                w, asc = int(weight[d]), self.values[d][::-1]
-                if q[d] > 0:
-                    upto = n - int(np.searchsorted(asc, self.low[d] + -(-level // w)))
-                    part = slice(at[d], upto)
-                    index.append(self.lists[d][part])
-                    impact.append((self.values[d][part].astype(np.float64) - float(self.low[d])) * w)
-                else:
-                    upto = int(np.searchsorted(asc, self.high[d] - -(-level // w), side="right"))
-                    part = slice(n - upto, n - at[d])
-                    index.append(self.lists[d][part])
-                    impact.append((float(self.high[d]) - self.values[d][part].astype(np.float64)) * w)
-                at[d] = upto
-            if index:
-                # Impact and a count of lists in one sum: the count stands in the lowest bits.
-                added += np.bincount(np.concatenate(index), weights=np.concatenate(impact) * 1024 + 1, minlength=n)
-            sums, met = np.divmod(added, 1024)
-            lower = sums + base
-            kth = np.partition(lower, n - k)[n - k]
-            known = max(kth, worst) if worst is not None else kth
-            upper = lower + (np.minimum(most, level).sum() - level * met if level else 0)
-            possible = np.flatnonzero(upper >= known)
-            if len(possible) <= need:
+    def exact(self, rows, queries: np.ndarray) -> np.ndarray:
+        """Inner products of some rows and queries (one a column), as whole numbers."""
+        most = float(np.abs(queries).max(initial=0)) * float(np.abs(self.rows).max(initial=0)) * len(queries)
+        if most < 2**53:
+            return (self.rows[rows].astype(np.float64) @ queries.astype(np.float64)).astype(np.int64)
+        return self.rows[rows].astype(np.int64) @ queries
+
+    def candidates(self, queries: np.ndarray, worst: np.ndarray) -> list[np.ndarray]:
+        """For each query (a column), the rows whose score can be ``worst`` or more; a superset, with all that are."""
+        n, q = len(self.ids), queries.shape[1]
+        most = float(np.abs(queries).max(initial=0)) * float(np.abs(self.rows).max(initial=0)) * len(queries)
+        if most >= 2**52:  # sums that would not be exact
+            return [np.arange(n)] * q
+        kind = np.float32 if most < 2**23 else np.float64
+        weights, sums = queries.astype(kind), np.zeros((n, q), kind)
+        rows = self.rows.astype(kind)
+        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=0))
+        lacking = (self.rows.astype(np.float64) ** 2).sum(axis=1)
+        slack = 1.0 + 1e-5
+        for level in range(len(LEVELS)):
+            for d in range(len(queries)):
+                part = self.postings[self.at[level, d, 0] : self.at[level, d, 1]]
+                if len(part):
+                    x = rows[part, d]
+                    sums[part] += x[:, None] * weights[d]
+                    lacking[part] -= x.astype(np.float64) ** 2
+            rest = (np.sqrt(np.maximum(lacking, 0.0)) * slack).astype(kind)
+            possible = sums + rest[:, None] * (length * slack).astype(kind) >= (worst - 0.5).astype(kind)
+            if level == len(LEVELS) - 1 or np.count_nonzero(possible) <= LEFT * n * q:
                 break
-        return self.ids[possible], self.exact(possible, q)
-
-    def exact(self, rows, q: np.ndarray) -> np.ndarray:
-        if float(np.abs(q).max(initial=0)) * float(np.abs(self.wide).max(initial=0)) * len(q) < 2**53:
-            return (self.wide[rows] @ q.astype(np.float64)).astype(np.int64)
-        return self.rows[rows].astype(np.int64) @ q
+        by_query = np.argwhere(possible.T)
+        cut = np.searchsorted(by_query[:, 0], np.arange(q + 1))
+        return [by_query[a:b, 1] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, worst: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) for each query of rows other than its own that can be among its k best.
+
+        ``worst``: the k-th best score known so far, -inf where fewer than k are known.
+        """
+        worst = worst.copy()
+        if len(self.ids) > 2 * SEEDS and not np.isfinite(worst).all():
+            seeds = self.exact(slice(0, SEEDS), queries).astype(np.float64)
+            seeds[self.ids[:SEEDS, None] == own[None, :]] = -np.inf
+            worst = np.maximum(worst, np.partition(seeds, SEEDS - k, axis=0)[SEEDS - k])
+        worst = np.where(np.isfinite(worst), worst, -1e30)
+        out = []
+        for i, rows in enumerate(self.candidates(queries, worst)):
+            rows = rows[self.ids[rows] != own[i]]
+            out.append((self.ids[rows], self.exact(rows, queries[:, i])))
+        return out
 
 
 def build(rows: DataFrame) -> tuple[list[tuple[int, str]], str]:
@@ -170,19 +185,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 ids = part.column(0).to_pylist()
                 vectors = [np.array(v, dtype=np.int64) for v in part.column(1).to_pylist()]
                 best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-                for dim, path in blocks:
+                for dim in {len(v) for v in vectors}:
                     mine = [i for i, v in enumerate(vectors) if len(v) == dim]
-                    if not mine:
-                        continue
-                    block = Block.load(fs, path)
-                    for i in mine:
-                        have, scores = best[i]
-                        # One more than k: the query itself may be among a block's best.
-                        found, got = block.search(vectors[i], k + 1, int(scores[-1]) if len(scores) == k else None)
-                        other = found != ids[i]
-                        have, scores = np.concatenate((have, found[other])), np.concatenate((scores, got[other]))
-                        order = np.lexsort((have, -scores))[:k]
-                        best[i] = have[order], scores[order]
+                    matrix, own = np.stack([vectors[i] for i in mine], axis=1), np.array([ids[i] for i in mine])
+                    for path in [p for d, p in blocks if d == dim]:
+                        worst = np.array([float(best[i][1][-1]) if len(best[i][1]) == k else -np.inf for i in mine])
+                        for i, (found, got) in zip(mine, Block.load(fs, path).search(matrix, own, k, worst), strict=True):
+                            have, scores = np.concatenate((best[i][0], found)), np.concatenate((best[i][1], got))
+                            order = np.lexsort((have, -scores))[:k]
+                            best[i] = have[order], scores[order]
                 rank = np.concatenate([np.arange(1, len(s) + 1) for _, s in best])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(ids, [len(s) for _, s in best]), pa.int64()), pa.array(rank, pa.int32()), pa.array(np.concatenate([h for h, _ in best]), pa.int64()), pa.array(np.concatenate([s for _, s in best]), pa.int64())],
