@@ -20,14 +20,14 @@ def by_nodata(value: Column, nodata: float, sample_format: str = "float", bits:
             hit = F.abs(value - F.lit(nodata)) < _EPSILON[bits]
     else:
         hit = value == F.lit(nodata)
-    return F.coalesce(~hit, F.lit(False))
+    return value.isNotNull() & ~F.coalesce(hit, F.lit(False))
 
 
 def by_nonzero(value: Column, threshold: float = 0.0, sample_format: str = "float", bits: int = 64) -> Column:
     """Valid above the threshold, so negative values are not."""
     if (sample_format, bits) not in NONZERO_TYPES:
         return F.lit(True)
-    return F.coalesce(value > threshold, F.lit(False))
+    return F.coalesce((value > threshold) & ~F.isnan(value), F.lit(False))  # Spark orders NaN above all numbers
 
 
 def by_alpha(alpha: Column) -> Column:
