@@ -1,0 +1,562 @@
+"""The training-data operators against brute force, round trips, and odd rows of every kind."""
+
+import io
+import itertools
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from gridloom.llm import common, eliasfano, packing, pieces, pii, quality, simhash, tokens, topk, toxicity, urlfilter, warc
+from gridloom.llm.xxh64 import hash_ranges
+
+DATA = "/root/testdata/sf0.001"
+P = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, label int, node long"
+
+
+def odd_docs(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with names the operators use."""
+    rows = [
+        (1, "a b c d e f", "en", "s", 11, "x", 1, 9), (1, "a b c d e f", "en", "s", 11, "x", 1, 9), (2, None, None, None, None, None, None, None), (3, "", "en", None, 0, "x", 1, 9),
+        (None, "a b c d e f", "en", "s", 11, "x", 1, 9), (None, None, None, None, None, None, None, None), (4, "long word " * 60_000, "de", "s", 9, "x", 1, 9), (5, "x" * 50_000, "de", "s", 9, "x", 1, 9), (6, " \n\t ", "fr", "t", 4, "x", 1, 9),
+        (7, "mail anna.02@mail.example.com or +1 (988) 555-2485", "en", "s", 9, "x", 1, 9),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def documents(spark):
+    return common.table(spark, DATA, "documents")
+
+
+# Tokens, packing, id output.
+
+
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_cached_tokens_are_the_librarys(spark, name, kind):
+    e = tokens.CachedEncoder(P.path(name), kind, cap=500)
+    odd = ["", "a  b", " a", " ", "\n b", "x\n  b", "x \n b", "it's 'll don't  ", "e\u0301 \u0301 é", "a\x1cb c", "ΑΣ ΑΣ. Σ", "a \n", "<|endoftext|> x <|endoftext|>", "\t x\t\ty", "ﬁ 한국 日本 12 345", "Éa. Öß,. a--b (x) a.\nB. c\nd", "º ª x÷y", "a.\n\nb"]
+    for t in odd + [r.text for r in documents(spark).limit(150).collect()]:
+        assert np.frombuffer(e.encode(t), "<u2").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=" \n\tab.,'É1\u00a0\u2003\x1c", max_size=40))
+def test_cached_tokens_on_odd_spacing(text):
+    for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
+        e = tokens.encoder(P.path(name), kind)
+        assert np.frombuffer(e.encode(text), "<u2").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5000), max_size=700), st.integers(0, 40))
+def test_elias_fano(values, shift):
+    values = np.sort(np.array(values, dtype=np.int64)) << shift
+    e = eliasfano.EliasFano.read(io.BytesIO(eliasfano.EliasFano.of(values).to_bytes()))
+    assert [e.select(i) for i in range(len(values))] == values.tolist()
+    for lo, hi in ((0, len(values)), (len(values) // 3, 2 * len(values) // 3)):
+        assert e.slice(lo, hi).tolist() == values[lo:hi].tolist()
+
+
+def test_elias_fano_is_small():
+    values = np.arange(0, 3_000_000, 300)
+    bits = len(eliasfano.EliasFano.of(values).to_bytes()) * 8 / len(values)
+    assert bits < 2 + np.log2(300) + 1
+
+
+def check_ids(rows, docs, name, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path(name))
+    t.encode_special_tokens = True
+    start = 0
+    for r, d in zip(rows, docs, strict=True):
+        ids = t.encode(d.text or "", add_special_tokens=False).ids + [end]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_id_output(spark):
+    rows = eliasfano.op2(spark, DATA).orderBy("start").collect()
+    check_ids(rows, documents(spark).orderBy("doc_id").collect(), "byte_bpe_50k.json", 2)
+
+
+def test_id_output_of_odd_rows(spark):
+    shards, root = eliasfano.write(odd_docs(spark), P.path("byte_bpe_50k.json"), 2)
+    rows = eliasfano.read(shards, root).orderBy("start").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == sorted((r.doc_id is None, r.doc_id or 0) for r in odd_docs(spark).collect())
+    assert rows[0].doc_id is None and rows[0].start == 0 and [r.start for r in rows[1:]] == list(itertools.accumulate(r.n_tokens for r in rows))[:-1]
+    first = shards.first()
+    shard = eliasfano.Shard(*[common.local_fs(root)[0], first.stem])
+    assert shard.document(0).tolist() == next(shard.scan())[2].tolist()
+    empty, root = eliasfano.write(odd_docs(spark).where("false"), P.path("byte_bpe_50k.json"), 2)
+    assert eliasfano.read(empty, root).count() == 0
+
+
+@pytest.mark.parametrize("dims, bits", [(2, 4), (3, 3), (4, 2)])
+def test_hilbert_visits_each_cell_once_and_steps_to_a_neighbour(dims, bits):
+    cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
+    keys = packing.hilbert_key(cells, bits)
+    assert sorted(keys.tolist()) == list(range(len(cells)))
+    path = cells[np.argsort(keys)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def check_packing(rows, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for d in docs:
+        ids, at = t.encode(d.text or "", add_special_tokens=False).ids + [1], 0
+        for r in sorted(by_doc[d.doc_id], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for parts in by_sequence.values():
+        parts.sort(key=lambda r: r.offset)
+        total = sum(r.length for r in parts)
+        assert [r.offset for r in parts] == [0, *itertools.accumulate(r.length for r in parts)][:-1]
+        assert total == parts[0].sequence_tokens and total <= 2048 and total & (total - 1) == 0
+
+
+def test_packing(spark):
+    check_packing(packing.op1(spark, DATA).collect(), documents(spark).collect())
+
+
+def test_packing_of_odd_rows(spark):
+    docs = odd_docs(spark).where("doc_id > 1")
+    check_packing(packing.pack_documents(docs, P.path("word_bpe_49k.json")).collect(), docs.collect())
+    every = packing.pack_documents(odd_docs(spark), P.path("word_bpe_49k.json"))
+    assert every.where("start = 0").count() == 10
+    assert packing.pack_documents(odd_docs(spark).where("false"), P.path("word_bpe_49k.json")).count() == 0
+
+
+# Search.
+
+
+def test_topk_against_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{DATA}/embeddings.parquet'")
+    assert sorted(map(tuple, topk.op3(spark, DATA).collect())) == sorted(c.sql(topk.OP3_SQL).fetchall())
+
+
+def brute(rows, queries, k):
+    out = []
+    for q, v in queries:
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+def test_topk_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(i, [0.5, 0.0, -0.25, 0.0, 0.0, 0.0]) for i in range(300, 2400)]
+    rows += [(9001, None), (9002, []), (9003, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (9004, [float("nan")] * 6), (9005, [1.0, 2.0]), (None, [1.0] * 6), (40, [5.0] * 6), (9006, [1e9] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = topk.integers(df)
+    got = whole.collect()
+    assert {9001, 9002, 9003, 9004}.isdisjoint(r.vec_id for r in got) and sum(r.vec_id == 40 for r in got) == 1
+    pairs = [(r.vec_id, r.v) for r in got]
+    found = topk.search(whole, whole.where("vec_id % 100 = 0 or vec_id > 9000"), 20)
+    assert sorted(map(tuple, found.collect())) == brute(pairs, [p for p in pairs if p[0] % 100 == 0 or p[0] > 9000], 20)
+    assert topk.search(whole.where("false"), whole.where("false"), 5).count() == 0
+
+
+def test_topk_stops_before_the_last_level():
+    rng = np.random.default_rng(0)
+    x = np.floor(64 * rng.normal(scale=0.125, size=(8000, 64))).astype(np.int64)
+    b = topk.Block(np.arange(8000), x)
+    worst = np.sort(x @ x[0])[-20].astype(float)
+    rows = b.candidates(x[:1].T, np.array([worst]))[0]
+    assert len(rows) < 800 and set(np.flatnonzero(x @ x[0] >= worst)) <= set(rows.tolist())
+
+
+# Pieces.
+
+
+def test_pieces_are_the_librarys(spark):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        raw = f.read()
+    at = raw.index(b"\x18\x02", raw.index(b"\x12\x06tok_v0"))
+    as_unigram = sentencepiece.SentencePieceProcessor(model_proto=raw[: at + 1] + b"\x01" + raw[at + 2 :])
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    v = pieces.Pieces(path)
+    e = pieces.Encoder(v, ("viterbi", "merges"), cap=300)
+    odd = ["", "  a", " x ", "a\nb", "Hello  world", "日本語 тест 𝕏 e\u0301", "   ", "a" * 300, "<s> </s> <0x41>", "!!!!!!!!!!!! ====="]
+    texts = odd + [r.text for r in documents(spark).limit(60).collect()]
+    best, merged = e.encode([*texts, None])
+    for t, b, m in zip(texts, best, merged, strict=False):
+        assert np.frombuffer(m, "<u4").tolist() == own.encode(t)
+        assert pieces.decode(v, np.frombuffer(b, "<u4")) == t == pieces.decode(v, np.frombuffer(m, "<u4"))
+    words = sorted({w for t in texts[10:] for w in re.findall("[a-zA-Z]+", t)})[:1500]
+    for w, b in zip(words, e.encode(words)[0], strict=True):
+        ids = np.frombuffer(b, "<u4").tolist()
+        theirs = as_unigram.encode(w)
+        assert ids == theirs or v.scores[ids].sum() > v.scores[theirs].sum()
+
+
+def test_pieces_of_odd_rows(spark):
+    rows = pieces.round_trip(odd_docs(spark), P.path("piece_bpe_32k.model")).collect()
+    assert len(rows) == 10 and all(r.same_text for r in rows)
+    ids = pieces.encode_documents(odd_docs(spark).where("doc_id = 7"), P.path("piece_bpe_32k.model"))
+    assert pieces.decode_documents(ids, P.path("piece_bpe_32k.model")).first().text.startswith("mail anna")
+    assert pieces.round_trip(odd_docs(spark).where("false"), P.path("piece_bpe_32k.model")).count() == 0
+
+
+# Archives.
+
+
+def test_archives(spark):
+    rows = [(1, "u", "a"), (2, None, "a"), (3, "x\ny", None), (4, "z", ""), (None, "q", "a"), (5, "e", "b"), (5, "e", "b"), (6, "e", "x" * 300_000), (7, "é", "é" * 999)]
+    rows += [(100 + i, "h", "same page") for i in range(200)] + [(400 + i, f"u{i}", f"<html>{i} some text that repeats in pages</html>" * 20) for i in range(300)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archives, root = warc.write(d)
+    got = sorted((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(archives, root).collect())
+    top = {}
+    for i, _, h in rows:
+        top[h or ""] = max(top.get(h or "", -1), i or -1)
+    want = sorted((i or -1, len((h or "").encode()), warc.payload_digest((h or "").encode()), "response" if i == top[h or ""] else "revisit", None if i == top[h or ""] else top[h or ""]) for i, _, h in rows)
+    assert got == want
+    fs, _ = common.local_fs(root)
+    with fs.open_input_stream(archives.first().path) as f:
+        assert f.read(4) == bytes.fromhex("5d2a4d18")
+    empty, root = warc.write(d.where("false"))
+    assert warc.read(empty, root).count() == 0
+
+
+def test_records_can_be_read_alone():
+    import struct
+
+    import zstandard
+
+    data = [warc.record(i, f"http://x/{i}", b"page text " * i, None, "2024-01-01T00:00:00Z") for i in range(40)]
+    out = io.BytesIO()
+    assert warc.write_archive(out, iter(data)) == 40
+    raw = out.getvalue()
+    n = struct.unpack("<I", raw[4:8])[0]
+    content = zstandard.ZstdDecompressor().decompress(raw[8 : 8 + n])
+    kind = zstandard.DICT_TYPE_FULLDICT if content[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+    one = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=kind)).decompressobj()
+    assert one.decompress(raw[8 + n :]) == data[0] and one.unused_data
+    assert [f["WARC-Target-URI"] for f, _, _ in warc.read_archive(io.BytesIO(raw))] == [f"http://x/{i}" for i in range(40)]
+
+
+# SimHash.
+
+
+def test_vectorised_hash():
+    rng = np.random.default_rng(0)
+    buffer = rng.integers(0, 256, 50_000, dtype=np.uint8).tobytes()
+    start, length = rng.integers(0, 40_000, 2000), rng.integers(0, 130, 2000)
+    length[:5] = 6000
+    assert hash_ranges(buffer, start, start + length).tolist() == [xxhash.xxh64_intdigest(buffer[a : a + n], 42) for a, n in zip(start, length, strict=True)]
+
+
+def plain_print(text, k=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(ids, prints, distance):
+    label = list(range(len(ids)))
+    p = np.array(prints, dtype=np.uint64)
+    near = np.bitwise_count(p[:, None] ^ p[None]) <= distance
+    while True:
+        new = [min(label[j] for j in np.flatnonzero(near[i])) for i in range(len(ids))]
+        if new == label:
+            return [ids[i] for i in label]
+        label = new
+
+
+def test_simhash_against_all_pairs(spark):
+    docs = documents(spark).orderBy("doc_id").collect()
+    got = {r.doc_id: r for r in simhash.op6(spark, DATA).collect()}
+    prints = [plain_print(d.text) for d in docs]
+    want = plain_components([d.doc_id for d in docs], prints, 4)
+    for d, p, c in zip(docs, prints, want, strict=True):
+        assert (got[d.doc_id].fingerprint, got[d.doc_id].component_id) == (f"{p:016x}", c)
+
+
+@pytest.mark.parametrize("limit", [8192, 16])
+def test_links_of_dense_groups(spark, limit):
+    """A ball of prints around a few centres, and chains; small limits send buckets through chunks."""
+    rng = np.random.default_rng(1)
+    prints = set()
+    for _ in range(6):
+        centre = int(rng.integers(0, 2**63))
+        for _ in range(60):
+            prints.add(centre ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 4)), replace=False)))
+    prints |= {int(x) for x in rng.integers(0, 2**63, 200)}
+    prints = sorted(prints)
+    ids = rng.permutation(len(prints)).tolist()
+    nodes = spark.createDataFrame([(i, int(p).to_bytes(8, "little")) for i, p in zip(ids, prints, strict=True)], "node long, print binary")
+    found = simhash.components(simhash.links(nodes, simhash.Narrow(len(prints), 4), limit)).collect()
+    label = {r.node: r.component for r in found}
+    order = np.argsort(ids)
+    want = plain_components([ids[i] for i in order], [prints[i] for i in order], 4)
+    assert [label.get(i, i) for i in range(len(ids))] == want
+
+
+def test_more_blocks_in_larger_tables():
+    assert len(simhash.Narrow(1000, 4).masks) == 15 and len(simhash.Narrow(10**9, 4).masks) > 15
+    small, large = simhash.Wide(1000, 0.8), simhash.Wide(10**8, 0.8)
+    assert large.width > small.width and large.blocks > small.blocks
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 4), (9, 5)], "a long, b long")
+    got = {r.node: r.component for r in simhash.components(edges).collect()}
+    assert {got[i] for i in range(100, 161)} == {100} and got[9] == 4
+    assert simhash.components(edges.where("false")).count() == 0
+
+
+def test_simhash_of_odd_rows(spark):
+    for kw in ({"words": 4, "distance": 4}, {"words": 5}):
+        rows = simhash.near_duplicates(odd_docs(spark), **kw).collect()
+        assert len(rows) == 10
+        of = {r.doc_id: r.component_id for r in rows}
+        assert of[2] == of[3] == of[6] == 2 and of[1] == 1 and of[None] is None
+    assert simhash.near_duplicates(odd_docs(spark).where("false")).count() == 0
+    left = simhash.keep_one(odd_docs(spark))
+    assert left.columns == odd_docs(spark).columns and sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == [1, 2, 4, 5, 7]
+
+
+def test_wide_prints_find_pairs_at_the_threshold(spark):
+    docs = documents(spark).collect()
+    sets = [(d.doc_id, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for d in docs if (w := (d.text or "").lower().split())]
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark)).collect()}
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if (n := len(x & y)) and n / len(x | y) >= 0.85:
+            assert of[a] == of[b]
+    groups = Counter(of.values())
+    for c, n in groups.items():
+        if n == 2:
+            x, y = (s for d, s in sets if of[d] == c)
+            assert len(x & y) / len(x | y) >= 0.7
+
+
+# Toxicity.
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in toxicity.op7(spark, sf).collect()}
+    assert len(got) == common.table(spark, sf, "documents").count()
+    labels = [r for r in common.table(spark, sf, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert all(got[r.doc_id].held_out for r in labels)
+    hits = [got[r.doc_id].predicted for r in labels if r.toxic]
+    wrong = [got[r.doc_id].predicted for r in labels if not r.toxic]
+    assert sum(hits) / len(hits) > 0.6 and sum(wrong) / len(wrong) < 0.05
+    assert all((r.score >= 0.7) == (r.predicted == 1) and 0 <= r.score <= 1 for r in got.values())
+
+
+def test_toxicity_of_odd_rows(spark):
+    model = toxicity.train(["you idiot here", "calm words here", "idiot idiot", "more calm words"] * 9, [1, 0, 1, 0] * 9)
+    rows = toxicity.score(odd_docs(spark), model).collect()
+    assert len(rows) == 10 and {r.score for r in rows if r.doc_id in (2, 3, 6)} == {0.0}
+    assert toxicity.keep(odd_docs(spark), model).columns == odd_docs(spark).columns
+    labels = spark.createDataFrame([(None, 1), (1, None), (4, 0), (4, 1)], "doc_id long, toxic int")
+    toxicity.fit(odd_docs(spark), labels)
+    toxicity.train([], [])
+
+
+# Personal data.
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), kind, m.end()))
+    return sorted(out, key=lambda s: (s[0], list(PLAIN).index(s[1])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="0123456789.+-() @ab%_é\n", max_size=60))
+def test_fixed_patterns(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.train(epochs=4)
+
+
+def test_field_on_new_sentences(field):
+    hit = found = known = 0
+    for text, before, spans in pii.training_set(200, seed=5):
+        got = field.best(pii.Lattice(text, before))
+        hit, found, known = hit + len(set(got) & set(spans)), found + len(got), known + len(spans)
+    assert hit / known > 0.95 and hit / found > 0.95
+
+
+def test_field_is_the_best_segmentation(field):
+    """Dynamic programming against all segmentations of short stretches."""
+
+    def every(lattice, at):
+        if at >= len(lattice.tokens):
+            yield 0.0
+            return
+        yield from every(lattice, at + 1)
+        for i, j, f in lattice.segments:
+            if i == at:
+                top = float(field.scores(f).max())
+                for rest in every(lattice, j):
+                    yield top + rest
+
+    for text in ("+1 (269) 555-3296 4524132264652876", "10.0.0.1, 2024-01-02", "a@b.org 555-1234"):
+        lattice = pii.Lattice(text, "")
+        score = {(lattice.tokens[i][0], lattice.tokens[j - 1][1]): field.scores(f) for i, j, f in lattice.segments}
+        got = sum(float(score[a, b][pii.KINDS.index(k)]) for a, b, k in field.best(lattice))
+        assert got == pytest.approx(max(every(lattice, 0)))
+
+
+def test_detect_and_redact(spark, field):
+    docs = documents(spark)
+    texts = {d.doc_id: d.text for d in docs.collect()}
+    for r in pii.detect(docs, field).collect():
+        base = plain_spans(texts[r.doc_id])
+        assert r.base_spans == pii.written(base) and r.n_email == sum(k == "email" for _, k, _ in base)
+        assert set(filter(None, r.base_spans.split(","))) <= set(r.spans.split(","))
+    rows = pii.detect(odd_docs(spark), field).collect()
+    assert len(rows) == 10 and {(r.n_email, r.n_phone) for r in rows if r.doc_id == 7} == {(1, 1)}
+    clean = pii.redact(odd_docs(spark), field)
+    assert clean.columns == odd_docs(spark).columns and clean.where("doc_id = 7").first().text == "mail [EMAIL] or [PHONE]"
+    assert clean.where("text is null").count() == 2 and pii.redact(odd_docs(spark).where("false"), field).count() == 0
+
+
+# Filters.
+
+
+def plain_rule(url, rules):
+    m = re.search("://([^/?#]*)([^?#]*)", url or "")
+    host, path = (re.sub("[A-Z]", lambda c: c.group().lower(), m[1]), m[2]) if m else ("", "")
+    fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+    best = max(fits, key=lambda r: (len(r[0] + r[1]), len(r[0])), default=None)
+    return host, path, best and best[0] + best[1], best[2] if best else "allow"
+
+
+def test_url_filter(spark):
+    rules = [*urlfilter.RULES, ("b.net", "/", "block"), ("a.b.net", "", "allow"), ("zz", "/x", "block"), ("co.uk", "/", "block"), ("example.com", "/en/deep/", "allow")]
+    hosts = ["com", "x.com", "example.com", "www.Example.COM", "my-example.com", "a.b.net", "c.a.b.net", "b.net", "ab.net", "net", "zz", "a.zz", "bbc.co.uk", "co.uk", "example.com.", "a..com", "x.com:80", "", "comx", "com-x.org"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en/deep/1", "/es/a?b#c", "/fr/", "/x#y", "?q=/en/")] + [None, "", "no scheme", "a://b://c/d", "http:///en/"]
+    pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls)] + [(0, urls[0], "x", "y"), (None, urls[3], None, None)], "page_id long, url string, host string, stack string")
+    got = urlfilter.judge(pages, urlfilter.rules_frame(spark, rules)).collect()
+    assert len(got) == len(urls) + 2
+    for r in got:
+        if r.page_id is not None:
+            assert (r.host, r.path, r.rule, r.verdict) == plain_rule(urls[r.page_id], rules)
+    none = urlfilter.rules_frame(spark, rules).where("false")
+    assert {r.verdict for r in urlfilter.judge(pages, none).collect()} == {"allow"}
+    assert urlfilter.judge(pages.where("false"), urlfilter.rules_frame(spark, rules)).count() == 0
+
+
+def test_url_filter_against_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    assert sorted(map(repr, map(tuple, urlfilter.op9(spark, DATA).collect()))) == sorted(map(repr, c.sql(urlfilter.OP9_SQL).fetchall()))
+
+
+def plain_counts(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark):
+    docs = documents(spark)
+    texts = {d.doc_id: d.text for d in docs.collect()}
+    for r in quality.op10(spark, DATA).collect():
+        c = plain_counts(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == c
+        assert r.base_failed == (c[0] < 50 or 100 * c[4] > 50 * c[0]) and not (r.base_failed and r.kept)
+
+
+def test_quality_of_odd_rows(spark):
+    more = ["a a a a", "a b c a b c", "a b a b a", "x\nx\n\n\nx", "#*$%&|<> é\u00a0ü", "a b c d a b c e b c d"]
+    df = odd_docs(spark).unionByName(spark.createDataFrame([(100 + i, t, "en", "s", 1, "", 1, 1) for i, t in enumerate(more)], SCHEMA))
+    texts = {d.doc_id: d.text for d in df.collect()}
+    rows = quality.judge(df).collect()
+    assert len(rows) == 16
+    for r in rows:
+        if r.doc_id is not None:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_counts(texts[r.doc_id])
+    assert quality.keep(df).columns == df.columns and quality.judge(df.where("false")).count() == 0
+
+
+def plain_mcd(x, floor):
+    """The same fit in numpy, with exact medians and quantiles."""
+    x = np.unique(x, axis=0)
+    m = np.median(x, axis=0)
+    s = np.maximum(np.median(np.abs(x - m), axis=0) * 1.4826, floor)
+    inv = np.diag(1 / s**2)
+    far = lambda m, inv: np.einsum("ni,ij,nj->n", x - m, inv, x - m)
+
+    def estimate(part, share, cut):
+        c = np.cov(part.T, bias=True) * share / quality.chi2_cdf(cut, 7) + np.diag(floor**2)
+        return part.mean(axis=0), np.linalg.inv(c)
+
+    for _ in range(quality.STEPS):
+        d = far(m, inv)
+        m, inv = estimate(x[d <= np.quantile(d, quality.CORE)], quality.CORE, quality.chi2_quantile(quality.CORE, 5))
+    cut = quality.chi2_quantile(0.975, 5)
+    return estimate(x[far(m, inv) <= cut], 0.975, cut)
+
+
+def test_robust_fit_against_numpy(spark):
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(5, 5))
+    x = rng.normal(size=(3000, 5)) @ a + 2
+    x[:400] += 40  # a cluster of outliers
+    floor = np.array(list(quality.FLOOR.values()))
+    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, x1 double, x2 double, x3 double, x4 double, x5 double")
+    judged = quality._with_distance(df.join(quality.fit(df), "g")).collect()
+    m, inv = plain_mcd(x, floor)
+    want = {tuple(r): float((r - m) @ inv @ (r - m)) for r in x}
+    got = np.array([r.d2 for r in judged])
+    exact = np.array([want[r.x1, r.x2, r.x3, r.x4, r.x5] for r in judged])
+    np.testing.assert_allclose(got, exact, rtol=0.05, atol=0.3)
+    assert (got[exact > 200] > 100).all() and (exact > 200).sum() >= 400
+
+
+def test_chi_squared():
+    assert quality.chi2_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
+    assert quality.chi2_quantile(0.025, 5, tail=True) == pytest.approx(12.8325, abs=1e-3)
+
+
+def test_native_operators_run_no_python(spark):
+    for df in (urlfilter.op9(spark, DATA), quality.op10(spark, DATA)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
+
+
+def test_shared_folder_is_the_sessions(spark):
+    where = common.shared_dir(spark)
+    assert common.new_dir(spark, "x").startswith(where)
