@@ -66,6 +66,17 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
+#: Up to so many rows of a few numbers each (some tens of MB), counted first, a table is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if it is small; else joined by shuffling."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
