@@ -216,7 +216,8 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """The rows of ``docs`` that ``judge`` keeps, all columns as they are."""
     gone = judge(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text"))
     gone = common.materialise(gone.distinct(), "rejected")
-    return docs.join(common.broadcast_small(gone), F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col(text_col)) == F.col("gone_text")), "left_anti")
+    same = docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_text"])
+    return docs.join(common.broadcast_small(gone), same, "left_anti")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

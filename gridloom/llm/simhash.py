@@ -324,7 +324,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     """
     found = near_duplicates(docs, words, None, similarity, id_col, text_col)
     gone = common.materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    left = docs.join(common.broadcast_small(gone), F.col(id_col) == F.col("gone_id"), "left_anti")
+    left = docs.join(common.broadcast_small(gone), docs[id_col] == gone["gone_id"], "left_anti")
     if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
         left = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
     return left

@@ -18,7 +18,7 @@ from gridloom.llm.xxh64 import hash_ranges
 
 DATA = "/root/testdata/sf0.001"
 P = pytest.importorskip("public_tokenizers")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, label int, node long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, gone_id int, node long"
 
 
 def odd_docs(spark):
