@@ -85,21 +85,49 @@ def synthesise_mask(a: np.ndarray, photometric: str, extra: list[str], options:
     return None
 
 
-def _blocks(a: np.ndarray, options: Options, predictor: int, planar: bool):
-    """Compressed blocks in order; edge blocks are filled up with 0."""
+def _blocks(a: np.ndarray, options: Options, predictor: int, planar: bool, copy=None):
+    """Compressed blocks in order; edge blocks are filled up with 0. ``copy(plane, row, col)`` gives those that can be
+    taken from the source as they are, or None."""
     size = options.block
     planes = [a[:, :, i : i + 1] for i in range(a.shape[2])] if planar else [a]
-    for plane in planes:
+    for n, plane in enumerate(planes):
         for r in range(0, a.shape[0], size):
             for c in range(0, a.shape[1], size):
+                if copy and r + size <= a.shape[0] and c + size <= a.shape[1] and (same := copy(n, r, c)) is not None:
+                    yield same
+                    continue
                 part = plane[r : r + size, c : c + size]
                 part = np.pad(part, ((0, size - part.shape[0]), (0, size - part.shape[1]), (0, 0)))
                 part = tiff.predict(part, predictor)
                 yield tiff.compress(options.codec, part.astype(part.dtype.newbyteorder("<")).tobytes(), options.level)
 
 
+def encode_predictor(codec: str, dtype: np.dtype) -> int:
+    return 2 if codec != "none" and dtype.kind in "iu" else 1
+
+
+def copier(f, base: tiff.Layer, options: Options, col: int, row: int):
+    """copy(plane, row, col) of whole source blocks, where codec, predictor, block size, layout and byte order are the
+    output's and the window is aligned; else None, and everything is encoded anew. Bands that are selected from planes
+    are a renumbering; of chunky blocks they are not."""
+    size = options.block
+    planes = options.bands or list(range(1, base.bands + 1))
+    whole = list(planes) == list(range(1, base.bands + 1))
+    alike = base.tiled and base.block == (size, size) and base.codec == options.codec and base.planar == options.planar and base.order == "<"
+    if not alike or col % size or row % size or not (base.planar or whole) or base.predictor != encode_predictor(options.codec, base.dtype):
+        return None
+
+    def copy(plane: int, r: int, c: int) -> bytes | None:
+        if row + r + size > base.height or col + c + size > base.width:
+            return None
+        index = (row + r) // size * base.across + (col + c) // size
+        return tiff.payload(f, base, index + ((planes[plane] - 1) * base.across * base.down if base.planar else 0))
+
+    return copy
+
+
 def write(out, image: np.ndarray, options: Options, *, photometric: str = "minisblack", extra: list[str] | None = None, nodata: str | None = None, epsg: int | None = None,
-          affine: tuple | None = None, tiepoints: list[tuple] | None = None, mask: np.ndarray | None = None, extra_tags: dict | None = None) -> None:
+          affine: tuple | None = None, tiepoints: list[tuple] | None = None, mask: np.ndarray | None = None, extra_tags: dict | None = None, copy=None) -> None:
     """Write (rows, cols, bands) with its overviews to an open stream."""
     options.codec = layout.check_options(options.block, options.codec, options.level)
     if options.codec not in _CODES:
@@ -113,11 +141,11 @@ def write(out, image: np.ndarray, options: Options, *, photometric: str = "minis
         levels.append(shrink(levels[-1], 2, options.resampling, hole) if s == 2 * before else shrink(image, s, options.resampling, hole))
         before = s
     masks = [] if mask is None else [mask] + [np.where(shrink(mask, s, "nearest") > 0, 255, 0).astype(np.uint8) for s in scales]
-    predictor = 2 if options.codec != "none" and image.dtype.kind in "iu" else 1
+    predictor = encode_predictor(options.codec, image.dtype)
 
     layers = [(levels[0], 0, False)] + ([(masks[0], 0, True)] if masks else [])
     layers += [(a, 1, False) for a in levels[1:]] + [(a, 1, True) for a in masks[1:]]
-    payloads = [list(_blocks(a, options, 1 if is_mask else predictor, options.planar and not is_mask)) for a, _, is_mask in layers]
+    payloads = [list(_blocks(a, options, 1 if is_mask else predictor, options.planar and not is_mask, copy if not i else None)) for i, (a, _, is_mask) in enumerate(layers)]
     size = sum(len(b) for p in payloads for b in p)
     big = size + (1 << 20) > _CLASSIC_LIMIT
     word, slot = ("Q", 8) if big else ("I", 4)
@@ -208,8 +236,12 @@ def write(out, image: np.ndarray, options: Options, *, photometric: str = "minis
 
 
 def convert(source: str, target: str, options: Options | None = None) -> None:
-    """Read a GeoTIFF, take the window and bands asked for, and write it anew with overviews and, if it has one, a mask."""
+    """Read a GeoTIFF, take the window and bands asked for, and write it anew with overviews and, if it has one, a mask.
+
+    Blocks of the base image that are the same in the output are copied compressed; the others are encoded.
+    """
     options = options or Options()
+    options.codec = layout.check_options(options.block, options.codec, options.level)
     with tiff.open_file(source) as f:
         file = tiff.parse(f)
         base = file.images[0]
@@ -217,21 +249,21 @@ def convert(source: str, target: str, options: Options | None = None) -> None:
         full = next((m for m in file.masks if (m.width, m.height) == (base.width, base.height)), None)
         every = tiff.read_window(f, base, col, row, width, height)
         mask = tiff.read_window(f, full, col, row, width, height, [1]) if full is not None else None
-    mask = np.where(mask > 0, 255, 0).astype(np.uint8) if mask is not None else synthesise_mask(every, base.photometric, base.extra_samples, options)
-    image, extra, photometric = every, base.extra_samples, base.photometric
-    if options.bands:
-        image = every[:, :, [b - 1 for b in options.bands]]
-        first_extra = base.bands - len(extra)
-        extra = [extra[b - 1 - first_extra] for b in options.bands if b > first_extra]
-        photometric = "rgb" if len(options.bands) - len(extra) == 3 else "minisblack" if photometric == "rgb" else photometric
-    affine = base.affine
-    if affine:
-        ox, pw, skx, oy, sky, ph = affine
-        affine = (ox + col * pw + row * skx, pw, skx, oy + col * sky + row * ph, sky, ph)
-    ties = [(c - col, r - row, *rest) for c, r, *rest in base.tiepoints]
-    tags = {50844: (12, tuple(base.rpc))} if base.rpc else {}
-    with open(target, "wb") as out:
-        write(out, image, options, photometric=photometric, extra=extra, nodata=base.nodata, epsg=base.epsg, affine=affine, tiepoints=ties, mask=mask, extra_tags=tags)
+        mask = np.where(mask > 0, 255, 0).astype(np.uint8) if mask is not None else synthesise_mask(every, base.photometric, base.extra_samples, options)
+        image, extra, photometric = every, base.extra_samples, base.photometric
+        if options.bands:
+            image = every[:, :, [b - 1 for b in options.bands]]
+            first_extra = base.bands - len(extra)
+            extra = [extra[b - 1 - first_extra] for b in options.bands if b > first_extra]
+            photometric = "rgb" if len(options.bands) - len(extra) == 3 else "minisblack" if photometric == "rgb" else photometric
+        affine = base.affine
+        if affine:
+            ox, pw, skx, oy, sky, ph = affine
+            affine = (ox + col * pw + row * skx, pw, skx, oy + col * sky + row * ph, sky, ph)
+        ties = [(c - col, r - row, *rest) for c, r, *rest in base.tiepoints]
+        tags = {50844: (12, tuple(base.rpc))} if base.rpc else {}
+        with open(target, "wb") as out:
+            write(out, image, options, photometric=photometric, extra=extra, nodata=base.nodata, epsg=base.epsg, affine=affine, tiepoints=ties, mask=mask, extra_tags=tags, copy=copier(f, base, options, col, row))
 
 
 def assemble(tiles: DataFrame, by: str = "raster_id") -> DataFrame:

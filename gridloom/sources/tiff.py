@@ -487,7 +487,8 @@ def profiles(paths: DataFrame) -> DataFrame:
                         rows.append(profile(path, parse(f)) | {"error": None})
                 except (ValueError, OSError, struct.error) as e:
                     rows.append({"path": path, "error": str(e)})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _top_level(PROFILE)] + ["error"])
+            names = [c.split()[0] for c in _top_level(PROFILE)] + ["error"]
+            yield pd.DataFrame([[r.get(k) for k in names] for r in rows], columns=names, dtype=object)
 
     return paths.select("path").mapInPandas(run, PROFILE + ", error string")
 

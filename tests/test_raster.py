@@ -352,3 +352,35 @@ def test_reports(spark):
     found = layout.issues(c, lv)
     assert "no overviews" in {r.raster_id: r.report for r in layout.validation_text(found).collect()}["no_georef"]
     assert {r.raster_id for r in layout.verdicts(c, found).collect() if r.valid} >= {"good_cog", "masked"}
+
+
+@pytest.mark.parametrize("planar", [False, True])
+def test_aligned_blocks_are_copied_not_coded(tmp_path, monkeypatch, planar):
+    a = np.random.default_rng(8).integers(0, 99, (70, 64, 3)).astype(np.uint8)
+    src, dst = str(tmp_path / "a.tif"), str(tmp_path / "b.tif")
+    with open(src, "wb") as f:
+        f.write(make(a, cog.Options(block=16, planar=planar), photometric="rgb"))
+    coded = []
+    real = tiff.compress
+    monkeypatch.setattr(tiff, "compress", lambda codec, data, level=6: coded.append(1) or real(codec, data, level))
+
+    def run(**kw):
+        coded.clear()
+        cog.convert(src, dst, cog.Options(block=16, planar=planar, overviews=[], **kw))
+        with open(dst, "rb") as f:
+            base = tiff.parse(f).images[0]
+            return len(coded), tiff.read_window(f, base, 0, 0, base.width, base.height)
+
+    planes = 3 if planar else 1
+    n, got = run()
+    assert n == 4 * planes  # only the ragged lowest row of blocks
+    np.testing.assert_array_equal(got, a)
+    n, got = run(window=(16, 32, 32, 32))
+    assert n == 0
+    np.testing.assert_array_equal(got, a[32:64, 16:48])
+    n, got = run(window=(8, 32, 32, 32))
+    assert n == 4 * planes
+    np.testing.assert_array_equal(got, a[32:64, 8:40])
+    n, got = run(bands=[3, 1], window=(0, 0, 32, 32))
+    assert n == (0 if planar else 4)
+    np.testing.assert_array_equal(got, a[:32, :32, [2, 0]])
