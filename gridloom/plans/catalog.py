@@ -45,7 +45,7 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _height(spark: SparkSession, sf_dir: str) -> int:
-    """Rows of the vector raster; Parquet's statistics answer this without reading vectors."""
+    """Rows of the vector raster; of the table, only the id column is read."""
     return (rasters.table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
 
 
