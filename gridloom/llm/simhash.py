@@ -6,7 +6,9 @@ of some m - k blocks. m grows with the table, which keeps buckets small: the sea
 
 ``wide`` fingerprints are for similarities far below 1, which 64 bits can't tell apart: signs of a Walsh-Hadamard
 transform of the signed, hashed set of shingles. Similar documents differ in a known share of bits; keys are blocks of
-them, as many as it takes for pairs at the threshold to share one, and the distance is taken over 512 bits.
+them, as many as it takes for pairs at the threshold to share one. The distance over 512 bits, with SIGMAS standard
+deviations to spare, only names candidates: within each group that candidates connect, the sets of shingles themselves
+are compared, and links are exact.
 
 Equal fingerprints are one node. A bucket never emits its pairs: a search from node to node gives a spanning forest of
 the links in it. Buckets beyond LIMIT nodes are cut into chunks and compared chunk by chunk, in tasks of their own.
@@ -28,6 +30,8 @@ _SMALL = 12
 _BUCKETS = 4096  # of the hashed set, and so the most bits that a wide fingerprint can have
 _WIDE = 512  # bits of a wide fingerprint that are compared
 _MISS = 0.005
+SIGMAS = 4  # beyond the mean distance of a pair at the threshold that a candidate may differ
+GROUP_ROWS, GROUP_BYTES = 2048, 4_000_000  # rows, and bytes of text, of a group that are compared at once
 
 
 def shingles(texts: list[bytes | None], words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,15 +73,25 @@ def narrow_fingerprints(texts: list[bytes | None], words: int) -> np.ndarray:
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def wide_fingerprints(texts: list[bytes | None], words: int, bits: int) -> np.ndarray:
-    """Fingerprints of the sets of shingles, as rows of bits / 8 bytes; all zero without words."""
+def shingle_sets(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text's shingles, ascending, and the text that each belongs to."""
     buffer, start, end, counts = shingles(texts, words)
     owner = np.repeat(np.arange(len(texts)), counts)
     h = hash_ranges(buffer, start, end)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     first = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.zeros(0, bool)
-    h, owner = h[first], owner[first]
+    return h[first], owner[first]
+
+
+def wide_fingerprints(texts: list[bytes | None], words: int, bits: int) -> np.ndarray:
+    """Fingerprints of the sets of shingles, as rows of bits / 8 bytes, and 8 that tell sets of equal bits apart.
+
+    All zero without words.
+    """
+    h, owner = shingle_sets(texts, words)
+    digest = np.zeros(len(texts), np.uint64)
+    np.add.at(digest, owner, (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15))
     sign = np.where(h >> np.uint64(63), 1.0, -1.0)
     x = np.bincount(owner * _BUCKETS + (h % np.uint64(_BUCKETS)).astype(np.int64), weights=sign, minlength=len(texts) * _BUCKETS)
     x = x.reshape(len(texts), _BUCKETS).astype(np.float32)
@@ -87,7 +101,8 @@ def wide_fingerprints(texts: list[bytes | None], words: int, bits: int) -> np.nd
         x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), axis=2)
         step *= 2
     rows = np.random.default_rng(7).permutation(_BUCKETS)[:bits]
-    return np.packbits(x.reshape(len(texts), _BUCKETS)[:, rows] > 0, axis=1, bitorder="little")
+    signs = np.packbits(x.reshape(len(texts), _BUCKETS)[:, rows] > 0, axis=1, bitorder="little")
+    return np.concatenate((signs, digest.view(np.uint8).reshape(-1, 8)), axis=1)
 
 
 class Narrow:
@@ -120,7 +135,8 @@ class Wide:
         self.blocks = math.ceil(math.log(_MISS) / math.log(1 - (1 - differ) ** self.width))
         self.blocks = min(self.blocks, _BUCKETS // self.width)
         self.bits = max(_WIDE, -(-self.blocks * self.width // 8) * 8)
-        self.distance, self.lanes, self.bytes = round(differ * _WIDE), _WIDE // 64, self.bits // 8
+        spare = SIGMAS * math.sqrt(_WIDE * differ * (1 - differ))
+        self.distance, self.lanes, self.bytes = math.ceil(differ * _WIDE + spare), _WIDE // 64, self.bits // 8 + 8
 
     def keys(self, prints: np.ndarray) -> np.ndarray:
         bits = np.unpackbits(prints, axis=1, bitorder="little")[:, : self.blocks * self.width]
@@ -291,13 +307,108 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
+def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of a Jaccard similarity of ``similarity`` or more."""
+    rest = np.flatnonzero([len(x) > 0 for x in sets])  # an empty set is similar to none
+    if len(rest) < 2:
+        return []
+    size = np.array([len(x) for x in sets])
+    known, flat = np.unique(np.concatenate([sets[i] for i in rest]), return_inverse=True)
+    mark = np.zeros(len(known), np.int32)
+    of = np.split(flat, np.cumsum(size[rest])[:-1])
+    of = dict(zip(rest.tolist(), of, strict=True))
+    held, live = rest, np.ones(len(rest), bool)  # sets laid out in ``flat``, and those of them not yet reached
+    start = np.cumsum(size[held]) - size[held]
+    out = []
+    while live.any():
+        front = [int(held[live.argmax()])]
+        live[live.argmax()] = False
+        while front and live.any():
+            x = front.pop()
+            if 2 * live.sum() < len(held):
+                held = held[live]
+                flat, live = np.concatenate([of[i] for i in held.tolist()]), np.ones(len(held), bool)
+                start = np.cumsum(size[held]) - size[held]
+            mark[of[x]] = 1
+            both = np.add.reduceat(mark[flat], start)
+            mark[of[x]] = 0
+            near = live & (both >= similarity * (size[held] + size[x] - both) - 1e-9)
+            hit = held[near].tolist()
+            out += [(x, y) for y in hit]
+            front += hit
+            live &= ~near
+    return out
+
+
+def _compare(similarity: float):
+    """mapInArrow over rows sorted by component, lo, hi: links (a, b) among the sets of each run."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, nodes, sets = None, [], []
+
+        def finish():
+            if len(nodes) > 1 and (found := similar(sets, similarity)):
+                i, j = np.array(found).T
+                of = np.array(nodes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(of[i]), pa.array(of[j])], names=["a", "b"])
+
+        for batch in batches:
+            for c, lo, hi, node, raw in zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("component", "lo", "hi", "node", "set")], strict=True):
+                if key != (c, lo, hi):
+                    yield from finish()
+                    key, nodes, sets = (c, lo, hi), [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(raw, np.uint64))
+        yield from finish()
+
+    return run
+
+
+def exact_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float, rows: int = GROUP_ROWS) -> DataFrame:
+    """Pairs (a, b) of documents whose sets of shingles are similar, enough to connect all such ones of a group.
+
+    ``docs`` has doc_id and text (binary), ``groups`` node and component. Only texts of groups are read into sets, each
+    once. A group beyond ``rows`` rows or GROUP_BYTES is dealt into chunks, and every two chunks are compared in a task
+    of their own.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                h, owner = shingle_sets(part.column(1).to_pylist(), words)
+                edge = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[a:b].tobytes() for a, b in itertools.pairwise(edge)], pa.binary())], names=["node", "set"])
+
+    groups = common.materialise(groups, "groups")
+    ids = common.broadcast_small(groups.select(F.col("node").alias("doc_id")))
+    members = docs.join(ids, "doc_id", "left_semi")
+    weight = members.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")).join(common.broadcast_small(groups), "node")
+    weight = weight.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / rows, F.sum("bytes") / GROUP_BYTES)).cast("int").alias("chunks"))
+    weight = common.materialise(weight, "weights")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    cells = groups.join(common.broadcast_small(weight), "component").select(
+        "node", "component", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.greatest(F.col("chunks"), F.lit(1)) - 1)).alias("d")
+    ).select("node", "component", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"))
+    cells = common.materialise(cells, "cells")
+    on = ["component", "lo", "hi"]
+    sets = members.select("doc_id", "text").mapInArrow(run, "node long, set binary").join(common.broadcast_small(cells), "node")
+    found = sets.repartition(*on).sortWithinPartitions(*on).mapInArrow(_compare(similarity), "a long, b long")
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, distance: int | None = None, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT
 ) -> DataFrame:
     """doc_id, print, component_id (the smallest doc_id that links lead to, its own included) of each row.
 
     With ``distance``: 64-bit fingerprints over all shingles, linked up to that many differing bits; exact. Without:
-    wide fingerprints of the sets of shingles, linked at a Jaccard similarity of about ``similarity`` or more.
+    sets of shingles, linked at a Jaccard similarity of ``similarity`` or more. No other pair is linked, and a pair is
+    overlooked only where its wide fingerprints share no block (probability 0.005 at the threshold, less above).
 
     Null and empty texts share the print zero and so are linked with each other. Rows that share a doc_id are one
     document. Rows with null id link nothing and have a null component. Other columns are ignored; an empty table gives
@@ -311,6 +422,10 @@ def near_duplicates(
     nodes = common.materialise(nodes, "nodes")
     plan = wide or Narrow(rows, distance)
     of = components(links(nodes, plan, limit))
+    if wide:
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+        with common.small_batches(docs.sparkSession):
+            of = components(common.materialise(exact_links(texts, of, words, similarity), "similar"))
     named = common.materialise(
         nodes.join(of.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("print").alias("p"), F.coalesce("component", "node").alias("component_id")), "components"
     )

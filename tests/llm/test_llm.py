@@ -351,6 +351,26 @@ def test_wide_prints_find_pairs_at_the_threshold(spark):
             assert len(x & y) / len(x | y) >= 0.7
 
 
+def test_wide_links_are_exact_at_the_threshold(spark):
+    """Pairs just below, at and above 0.8 against brute force; small chunks give the same links."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in (*range(12, 29, 2), 20, 20, 20, 20, 20, 20):  # words changed in a block at the end: n of 200 shingles differ
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 204)]
+        texts += [" ".join(words), " ".join([*words[:-n], *(f"v{x}" for x in rng.integers(0, 10**9, n))])]
+    texts += ["one", "two", "three words here"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    near = [[len(x & y) / len(x | y) >= 0.8 for y in sets] for x in sets]
+    want = [min(j for j, yes in enumerate(row) if yes) for row in near]
+    assert 5 < sum(i != j for i, j in enumerate(want)) < len(texts) // 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert [of[i] for i in range(len(texts))] == want
+    groups = docs.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component"))
+    links = simhash.exact_links(docs.withColumn("text", F.col("text").cast("binary")), groups, 5, 0.8, rows=10).collect()
+    assert sorted((r.a, r.b) for r in links) == [(j, i) for i, j in enumerate(want) if i != j]
+
+
 # Toxicity.
 
 
