@@ -531,6 +531,16 @@ def test_quality_of_odd_rows(spark):
     assert quality.keep(df).columns == df.columns and quality.judge(df.where("false")).count() == 0
 
 
+def test_quality_on_labelled_rows(spark):
+    """Junk that passes the base rule is rejected, and hardly any clean document."""
+    sf = "/root/testdata/sf0.01"
+    labels = common.table(spark, sf, "labels").select("doc_id", "quality")
+    rows = quality.op10(spark, sf).where("not base_failed").join(labels, "doc_id").collect()
+    junk, clean = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert len(junk) > 20 and sum(junk) <= 0.05 * len(junk)
+    assert len(clean) > 200 and sum(clean) >= 0.98 * len(clean)
+
+
 def plain_mcd(x, floor):
     """The same fit in numpy, with exact medians and quantiles."""
     x = np.unique(x, axis=0)
