@@ -3,7 +3,8 @@
 The field scores whole candidate segments (digits, separators, check sums, words before), and dynamic programming over
 segments of bounded length chooses boundaries and kinds together. It is trained here, by maximum likelihood, on sentences
 made from a fixed seed: data of every kind in many notations, among dates, prices, versions and other harmless numbers.
-Only stretches with digits or ``@`` are searched, so its work follows the number of candidates, not the text's length.
+Only stretches with digits, ``@`` or an unbroken run of RUN or more letters and digits are searched, so its work follows
+the number of candidates, not the text's length. Such a run is one token, so a key of any length is one segment.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "secret", "ssn")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 LONGEST = 24  # tokens in a segment
+RUN = 16  # letters and digits in a row that are one token
 
 # The four fixed patterns. Possessive forms match the same spans in linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -76,13 +78,13 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 # Candidate segments.
 
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|[^A-Za-z0-9\s]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TOKEN = re.compile(rf"[A-Za-z0-9]{{{RUN},}}|[A-Za-z]+|[0-9]+|\s|[^A-Za-z0-9\s]")
+_TRIGGER = re.compile(rf"[0-9@]|[A-Za-z0-9]{{{RUN},}}")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def stretches(text: str):
-    """Maximal runs of neighbouring words with a digit or an at sign, as (start, end)."""
+    """Maximal runs of neighbouring words with a digit, an at sign or a long run, as (start, end)."""
     at, n = 0, len(text)
     lo = hi = -1
     while m := _TRIGGER.search(text, at):
@@ -110,10 +112,12 @@ class Lattice:
         words = [w.lower() for w in _WORD.findall(before[-40:])][-2:]
         tokens = [text[a:b] for a, b in self.tokens]
         n = len(tokens)
-        digits, blanks = [0], [0]
+        digits, blanks, runs = [0], [0], [0]
         for t in tokens:
-            digits.append(digits[-1] + (len(t) if t[0] in "0123456789" else 0))
+            run = len(t) >= RUN
+            digits.append(digits[-1] + (0 if run else len(t) if t[0] in "0123456789" else 0))
             blanks.append(blanks[-1] + t.isspace())
+            runs.append(runs[-1] + run)
         ok_start = [t[0].isascii() and t[0].isalnum() or t in "+(" for t in tokens]
         ok_end = [t[0].isascii() and t[0].isalnum() for t in tokens]
         self.segments: list[tuple[int, int, tuple[str, ...]]] = []  # first token, end token, features
@@ -126,10 +130,10 @@ class Lattice:
                 if not ok_start[i]:
                     continue
                 d = digits[j] - digits[i]
-                if d < 6 and not (j - i >= 5 and "@" in tokens[i:j]):
-                    continue
                 if d > 40:
                     break
+                if d < 6 and runs[j] == runs[i] and not (j - i >= 5 and "@" in tokens[i:j]):
+                    continue
                 left = tokens[i - 1] if i else " "
                 right = tokens[j] if j < n else " "
                 near = words if i == 0 else [t.lower() for t in tokens[max(0, i - 5) : i] if t[0].isalpha()][-2:] or (words if i < 4 else [])
@@ -172,7 +176,8 @@ def features(s: str, left: str, right: str, words: tuple[str, ...]) -> tuple[str
             out.append(f"iban={bool(re.fullmatch(r'[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}', bare)) and _iban(bare)}")
         run = max((len(x) for x in re.findall(r"[A-Za-z0-9_/+]+", s)), default=0)
         changes = len(re.findall(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]", s))
-        kind = "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) else "upper" if s.isupper() else "mixed" if s.isalnum() else "other"
+        kind = "word" if re.fullmatch(r"[A-Z]?[a-z]+", s) else "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) else "upper" if s.isupper() else "mixed" if s.isalnum() else "other"
+        out.append(f"cases={min(len(re.findall(r'(?<=[a-z])[A-Z]', s)), 6)}{n > 0}")
         out += [f"run={run // 4 if run < 40 else 10}", f"changes={min(changes, 5)}", f"alnum={s.isalnum()}", f"code={kind}{min(len(s) // 4, 10)}{changes > 2}"]
     if len(s) <= 24:
         out.append(f"shape={_shape(s)}")
@@ -303,8 +308,7 @@ def _one(r, kind: str) -> str:
         return f"{d(3)}-{d(2)}-{d(4)}"
     upper, lower, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
     code = lambda alphabet, n: "".join(_pick(r, alphabet) for _ in range(n))
-    s = _pick(r, ["AKIA" + code(upper + "0123456789", 16), code(hexa, int(r.integers(16, 41))), code(upper + lower + "0123456789", int(r.integers(20, 41))), "ghp_" + code(upper + lower + "0123456789", 36)])
-    return s if sum(x.isdigit() for x in s) >= 6 else s[:-6] + d(6)
+    return _pick(r, ["AKIA" + code(upper + "0123456789", 16), code(hexa, int(r.integers(16, 65))), code(upper + lower + "0123456789", int(r.integers(20, 65))), "ghp_" + code(upper + lower + "0123456789", 36)])
 
 
 def _harmless(r) -> str:
@@ -312,10 +316,19 @@ def _harmless(r) -> str:
     return _pick(r, [
         f"{d(4)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{d(4)}", f"{d(2)}.{d(2)}.{d(4)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(1)}.{d(1)}", d(4), f"{d(1)},{d(3)},{d(3)}", f"${d(3)}.{d(2)}", f"{d(2)}:{d(2)}:{d(2)}",
         f"{d(3)} {d(3)}", d(7), d(8), d(6), f"{d(2)}%", f"#{d(6)}", f"no.{d(5)}", f"{d(4)}-{d(4)}", f"{d(4)} {d(4)}", f"v{d(2)}.{d(2)}.{d(4)}", f"{d(3)}.{d(3)},{d(2)}", f"{d(4)}-{d(2)}-{d(2)}T{d(2)}:{d(2)}:{d(2)}",
-        f"abc{d(3)}", f"ISBN 978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{300 + int(d(2))}.{d(3)}.{d(3)}.{d(2)}", _bad_card(r), f"{d(5)} {d(5)} {d(5)}", f"@{d(2)} {d(2)}", "a @ b", f"page{d(2)}@{d(1)}",
+        _long_word(r), _long_word(r), f"abc{d(3)}", f"ISBN 978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{300 + int(d(2))}.{d(3)}.{d(3)}.{d(2)}", _bad_card(r), f"{d(5)} {d(5)} {d(5)}", f"@{d(2)} {d(2)}", "a @ b", f"page{d(2)}@{d(1)}",
     ])
 
 
+def _long_word(r) -> str:
+    """A word, name or run of words without blanks, of RUN or more letters."""
+    parts = []
+    while sum(map(len, parts)) < RUN:
+        parts.append("".join(_pick(r, "bdfgklmnprstvz") + _pick(r, "aeiou") + _pick(r, ["", "", "n", "r", "s", "ch"]) for _ in range(int(r.integers(1, 4)))))
+    word = "".join(parts)
+    return _pick(r, [word, word, word.capitalize(), word.upper(), "".join(p.capitalize() for p in parts), word + _digits(r, int(r.integers(1, 5)))])
+
+
 def _bad_card(r) -> str:
     s = _with_check(r, 16)
     return s[:-1] + str((int(s[-1]) + int(r.integers(1, 10))) % 10)

@@ -435,6 +435,27 @@ def test_field_on_new_sentences(field):
     assert hit / known > 0.95 and hit / found > 0.95
 
 
+def test_secrets_are_found_whole(field):
+    """Keys whatever their digits, up to 64 characters; long words stay."""
+    rng = np.random.default_rng(8)
+    letters, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+    code = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    makers = [
+        lambda: "AKIA" + code(letters + "0123456789", 16), lambda: "ghp_" + code(letters + letters.lower() + "0123456789", 36),
+        lambda: code(hexa, 40), lambda: code(hexa, 64), lambda: code(letters + letters.lower(), 40),
+    ]
+    for make in makers:
+        whole = 0
+        for _ in range(50):
+            key = make()
+            text = f'the value of token = "{key}" and more'
+            a = text.index(key)
+            whole += any(x <= a and y >= a + len(key) for x, _, y in pii.find(text, field)[1])
+        assert whole >= 48
+    for word in ("Donaudampfschifffahrtsgesellschaft", "internationalisation", "UNCHARACTERISTICALLY", "antidisestablishmentarianism"):
+        assert pii.find(f"the word {word} is long", field)[1] == []
+
+
 def test_field_is_the_best_segmentation(field):
     """Dynamic programming against all segmentations of short stretches."""
 
