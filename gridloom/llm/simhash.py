@@ -289,6 +289,32 @@ def links(nodes: DataFrame, plan: Narrow | Wide, limit: int = LIMIT) -> DataFram
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def thinned(edges: DataFrame, rows: int = 20_000) -> DataFrame:
+    """Fewer edges that connect the same nodes: every task keeps a spanning forest of about ``rows`` of them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            keep = []
+            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[b] = a
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    edges = common.materialise(edges.select("a", "b"), "edges")
+    return edges.repartition(max(1, -(-edges.count() // rows))).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of an edge, by smallest labels and pointer jumping.
 
@@ -421,7 +447,8 @@ def near_duplicates(
     nodes = prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
     nodes = common.materialise(nodes, "nodes")
     plan = wide or Narrow(rows, distance)
-    of = components(links(nodes, plan, limit))
+    found = links(nodes, plan, limit)
+    of = components(thinned(found) if wide else found)
     if wide:
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
         with common.small_batches(docs.sparkSession):

@@ -326,6 +326,15 @@ def test_components_of_a_chain(spark):
     assert simhash.components(edges.where("false")).count() == 0
 
 
+def test_thinned_edges_connect_the_same(spark):
+    """A dense group and a chain: far fewer edges, the same components."""
+    pairs = [(i, j) for i in range(60) for j in range(i)] + [(i, i + 1) for i in range(100, 130)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    few = common.materialise(simhash.thinned(edges, rows=300), "few")
+    assert few.count() <= 7 * 59 + 30
+    assert sorted(simhash.components(few).collect()) == sorted(simhash.components(edges).collect())
+
+
 def test_simhash_of_odd_rows(spark):
     for kw in ({"words": 4, "distance": 4}, {"words": 5}):
         rows = simhash.near_duplicates(odd_docs(spark), **kw).collect()
