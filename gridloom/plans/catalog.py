@@ -393,8 +393,8 @@ def _affine_fit(spark, sf_dir):
     return _rounded(geo.fit_affine(both).select(F.col("pw").alias("price_per_unit"), F.col("ox").alias("price_at_zero")), "price_per_unit", "price_at_zero")
 
 
-def _model(spark, sf_dir, model):
-    p = rasters.vectors(spark, sf_dir).where("row < 30 and col < 40").select(F.col("row").cast("long"), F.col("col").cast("long"))
+def _model(spark, sf_dir, model, where="row < 30 and col < 40"):
+    p = rasters.vectors(spark, sf_dir).where(where).select(F.col("row").cast("long"), F.col("col").cast("long"))
 
     def run(batches):
         for pdf in batches:
@@ -445,7 +445,7 @@ def rpc_example() -> list[float]:
 @query("rpc_inverse")
 def _rpc(spark, sf_dir):
     model = geo.Rpc(rpc_example())
-    return _model(spark, sf_dir, lambda col, row: model.inverse(col * 10.0, row * 10.0))
+    return _model(spark, sf_dir, lambda col, row: model.inverse(col * 10.0, row * 10.0), "true")
 
 
 @query("simplify_dp")

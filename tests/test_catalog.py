@@ -45,3 +45,17 @@ def test_average_needs_one_shuffle(spark):
     """The block average is partial before its only exchange."""
     plan = catalog.QUERIES["downsample_avg_2"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_avg" in plan
+
+
+def test_rpc_inverse_covers_the_raster(spark):
+    """Every pixel is there, and the model takes its coordinates back to it."""
+    import numpy as np
+
+    from gridloom.functions import geo
+    from gridloom.sources import rasters
+
+    got = catalog.QUERIES["rpc_inverse"](spark, DATA).toPandas()
+    assert len(got) == rasters.vectors(spark, DATA).count() > 1200
+    line, samp = geo.Rpc(catalog.rpc_example()).forward(got["y"].to_numpy(), got["x"].to_numpy(), np.full(len(got), 200.0))
+    np.testing.assert_allclose(line, got["row"] * 10.0, atol=0.02)
+    np.testing.assert_allclose(samp, got["col"] * 10.0, atol=0.02)
