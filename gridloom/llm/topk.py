@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm import common
 
-BLOCK, BATCH = 16_384, 256
+#: Rows of a block, queries that go through a block at once, and queries for which a task reads each block once.
+BLOCK, BATCH, GROUP = 16_384, 256, 2048
 #: Levels of impact: shares of a block's postings that stand at or above each.
 LEVELS = (0.12, 0.25, 0.36, 0.46, 0.56, 0.68, 0.82, 1.0)
 #: Rows scored first for a threshold, and the share of (row, query) pairs that may be left for exact scores.
@@ -26,25 +27,26 @@ SEEDS, LEFT = 512, 0.02
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """vec_id, v: floor(scale * component) of the rows that take part, one row an id (of several, the least vector).
+    """row, vec_id, v: a number for the row itself, its id, and floor(scale * component); each row that takes part.
 
-    Null ids, null or empty vectors, and vectors with a null or non-finite component take no part.
+    Rows of one id, equal or not, are rows of their own. Null ids, null vectors and vectors with a null or non-finite
+    component take no part. Row numbers are written with the rows, so no later stage can number them otherwise.
     """
     v = F.col(vector_col).cast("array<double>")
     fit = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long"))
-    rows = vectors.where(F.col(id_col).isNotNull() & fit & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.where(F.col(id_col).isNotNull() & fit)
+    return common.materialise(rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), whole.alias("v")), "vectors")
 
 
 class Block:
-    """Rows of one length: ids ascending, components, and posting segments by level and dimension."""
+    """Rows of one length: numbers and ids of the rows, components, and posting segments by level and dimension."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.rows = ids[order], rows[order]
+        self.numbers, self.ids, self.rows = numbers[order], ids[order], rows[order]
         size = np.sort(np.abs(self.rows), axis=None)[::-1]
-        edges = [int(size[min(len(size) - 1, int(len(size) * share))]) for share in LEVELS[:-1]] + [0]
+        edges = [int(size[min(len(size) - 1, int(len(size) * share))]) for share in LEVELS[:-1]] + [0] if len(size) else [0] * len(LEVELS)
         level = np.searchsorted(-np.array(edges), -np.abs(self.rows.T), side="left").astype(np.int8)
         # Segments one after another, by level, then dimension, then row; zero components need no posting.
         self.at = np.zeros((len(LEVELS), self.rows.shape[1], 2), np.int64)
@@ -55,12 +57,12 @@ class Block:
                 self.at[n, d] = end, end + len(part)
                 end += len(part)
                 parts.append(part)
-        self.postings = np.concatenate(parts).astype(np.uint16)
+        self.postings = np.concatenate(parts or [np.zeros(0)]).astype(np.uint16)
 
     def save(self, fs, path: str) -> None:
         small = np.int16 if int(np.abs(self.rows).max(initial=0)) < 2**15 else np.int64
         data = io.BytesIO()
-        np.savez(data, ids=self.ids, rows=self.rows.astype(small), at=self.at, postings=self.postings)
+        np.savez(data, numbers=self.numbers, ids=self.ids, rows=self.rows.astype(small), at=self.at, postings=self.postings)
         with fs.open_output_stream(path) as out:
             out.write(data.getvalue())
 
@@ -107,25 +109,26 @@ class Block:
         return [by_query[a:b, 1] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, worst: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, scores) for each query of rows other than its own that can be among its k best.
+        """(ids, scores) for each query of rows other than its own, which has the number ``own``, that can be among its
+        k best.
 
         ``worst``: the k-th best score known so far, -inf where fewer than k are known.
         """
         worst = worst.copy()
         if len(self.ids) > 2 * SEEDS and not np.isfinite(worst).all():
             seeds = self.exact(slice(0, SEEDS), queries).astype(np.float64)
-            seeds[self.ids[:SEEDS, None] == own[None, :]] = -np.inf
+            seeds[self.numbers[:SEEDS, None] == own[None, :]] = -np.inf
             worst = np.maximum(worst, np.partition(seeds, SEEDS - k, axis=0)[SEEDS - k])
         worst = np.where(np.isfinite(worst), worst, -1e30)
         out = []
         for i, rows in enumerate(self.candidates(queries, worst)):
-            rows = rows[self.ids[rows] != own[i]]
+            rows = rows[self.numbers[rows] != own[i]]
             out.append((self.ids[rows], self.exact(rows, queries[:, i])))
         return out
 
 
 def build(rows: DataFrame) -> tuple[list[tuple[int, str]], str]:
-    """Write index blocks of ``rows`` (vec_id, v) to the shared folder; (length, path) of each, and the folder.
+    """Write index blocks of ``rows`` (row, vec_id, v) to the shared folder; (length, path) of each, and the folder.
 
     A task that runs again writes under new names; only the names that tasks return count.
     """
@@ -141,22 +144,21 @@ def build(rows: DataFrame) -> tuple[list[tuple[int, str]], str]:
         def save(dim):
             fs.create_dir(base, recursive=True)
             path = f"{base}/{dim}-{uuid.uuid4().hex}.npz"
-            ids, vectors = zip(*held.pop(dim), strict=True)
-            Block(np.concatenate(ids), np.concatenate(vectors)).save(fs, path)
+            Block(*map(np.concatenate, zip(*held.pop(dim), strict=True))).save(fs, path)
             return pa.RecordBatch.from_pylist([{"dim": dim, "path": path}])
 
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             lengths = np.asarray(lists.value_lengths())
             flat, offsets = np.asarray(lists.flatten(), np.int64), np.concatenate(([0], lengths.cumsum()))
-            ids = np.asarray(batch.column(0), np.int64)
+            numbers, ids = (np.asarray(batch.column(i), np.int64) for i in (0, 1))
             for dim in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == dim)
                 for lo in range(0, len(own), 1024):
                     part = own[lo : lo + 1024]
                     vectors = flat[offsets[part][:, None] + np.arange(dim)]
-                    held.setdefault(dim, []).append((ids[part], vectors))
-                    if sum(len(i) for i, _ in held[dim]) + 1024 > BLOCK:
+                    held.setdefault(dim, []).append((numbers[part], ids[part], vectors))
+                    if sum(len(h[0]) for h in held[dim]) + 1024 > BLOCK:
                         yield save(dim)
         for dim in sorted(held):
             yield save(dim)
@@ -168,56 +170,71 @@ def build(rows: DataFrame) -> tuple[list[tuple[int, str]], str]:
 def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row, the k best other rows of ``rows`` by inner product.
 
-    Both tables have vec_id and v (see ``integers``). Ties go to the smaller vec_id; a query has fewer results where
-    fewer rows of its length exist. Each task takes some queries through all blocks, one block in memory at a time, and
-    carries what it has found into the next block. Nothing is approximate; empty tables give no rows.
+    Both tables have row, vec_id and v (see ``integers``). Ties go to the smaller vec_id; a query has fewer results where
+    fewer rows of its length exist. Rows that share an id are searched and found each; of a query only its own row is left
+    out. Each task takes up to GROUP queries through all blocks, one block in memory at a time, and carries what it has
+    found into the next block. Nothing is approximate; empty tables give no rows.
     """
-    blocks, root = build(rows)
+    blocks, root = build(rows.select("row", "vec_id", "v"))
     n = max(1, queries.count())
 
     def run(batches):
         import pyarrow as pa
 
         fs, _ = common.local_fs(root)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BATCH):
-                part = batch.slice(lo, BATCH)
-                ids = part.column(0).to_pylist()
-                vectors = [np.array(v, dtype=np.int64) for v in part.column(1).to_pylist()]
-                best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
-                for dim in {len(v) for v in vectors}:
-                    mine = [i for i, v in enumerate(vectors) if len(v) == dim]
-                    matrix, own = np.stack([vectors[i] for i in mine], axis=1), np.array([ids[i] for i in mine])
-                    for path in [p for d, p in blocks if d == dim]:
-                        worst = np.array([float(best[i][1][-1]) if len(best[i][1]) == k else -np.inf for i in mine])
-                        for i, (found, got) in zip(mine, Block.load(fs, path).search(matrix, own, k, worst), strict=True):
-                            have, scores = np.concatenate((best[i][0], found)), np.concatenate((best[i][1], got))
+
+        def found(group: pa.Table):
+            own, ids = (np.asarray(group.column(i).to_numpy(), np.int64) for i in (0, 1))
+            vectors = [np.array(v, dtype=np.int64) for v in group.column(2).to_pylist()]
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+            for dim in {len(v) for v in vectors}:
+                mine = [i for i, v in enumerate(vectors) if len(v) == dim]
+                for path in [p for d, p in blocks if d == dim]:
+                    block = Block.load(fs, path)
+                    for lo in range(0, len(mine), BATCH):
+                        part = mine[lo : lo + BATCH]
+                        worst = np.array([float(best[i][1][-1]) if len(best[i][1]) == k else -np.inf for i in part])
+                        matrix = np.stack([vectors[i] for i in part], axis=1)
+                        for i, (more, got) in zip(part, block.search(matrix, own[part], k, worst), strict=True):
+                            have, scores = np.concatenate((best[i][0], more)), np.concatenate((best[i][1], got))
                             order = np.lexsort((have, -scores))[:k]
                             best[i] = have[order], scores[order]
-                rank = np.concatenate([np.arange(1, len(s) + 1) for _, s in best])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, [len(s) for _, s in best]), pa.int64()), pa.array(rank, pa.int32()), pa.array(np.concatenate([h for h, _ in best]), pa.int64()), pa.array(np.concatenate([s for _, s in best]), pa.int64())],
-                    names=["query_id", "rank", "vec_id", "score"],
-                )
-
-    dealt = queries.select("vec_id", "v").repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // BATCH)), "vec_id")
+            count = [len(s) for _, s in best]
+            rank = np.concatenate([np.arange(1, c + 1) for c in count])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(ids, count), pa.int64()), pa.array(rank, pa.int32()), pa.array(np.concatenate([h for h, _ in best]), pa.int64()), pa.array(np.concatenate([s for _, s in best]), pa.int64())],
+                names=["query_id", "rank", "vec_id", "score"],
+            )
+
+        held, have = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH):
+                held.append(batch.slice(lo, BATCH))
+                have += held[-1].num_rows
+                if have >= GROUP:
+                    yield found(pa.Table.from_batches(held))
+                    held, have = [], 0
+        if have:
+            yield found(pa.Table.from_batches(held))
+
+    dealt = queries.select("row", "vec_id", "v").repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // GROUP)), "row")
     return dealt.mapInArrow(run, "query_id long, rank int, vec_id long, score long")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    rows = common.materialise(integers(common.table(spark, sf_dir, "embeddings")), "vectors")
+    rows = integers(common.table(spark, sf_dir, "embeddings"))
     return search(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.row <> q.row AND len(c.e) = len(q.e)
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
