@@ -151,9 +151,10 @@ def test_topk_against_sql(spark):
 
 
 def brute(rows, queries, k):
+    """``rows`` and ``queries``: (row, id, vector)."""
     out = []
-    for q, v in queries:
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))
+    for own, q, v in queries:
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for r, i, w in rows if r != own and len(w) == len(v))
         out += [(q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -161,21 +162,34 @@ def brute(rows, queries, k):
 def test_topk_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(i, [0.5, 0.0, -0.25, 0.0, 0.0, 0.0]) for i in range(300, 2400)]
-    rows += [(9001, None), (9002, []), (9003, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (9004, [float("nan")] * 6), (9005, [1.0, 2.0]), (None, [1.0] * 6), (40, [5.0] * 6), (9006, [1e9] * 6)]
+    rows += [(9001, None), (9002, []), (9003, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (9004, [float("nan")] * 6), (9005, [1.0, 2.0]), (None, [1.0] * 6), (40, [5.0] * 6), (9006, [1e9] * 6), (9007, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = topk.integers(df)
     got = whole.collect()
-    assert {9001, 9002, 9003, 9004}.isdisjoint(r.vec_id for r in got) and sum(r.vec_id == 40 for r in got) == 1
-    pairs = [(r.vec_id, r.v) for r in got]
-    found = topk.search(whole, whole.where("vec_id % 100 = 0 or vec_id > 9000"), 20)
-    assert sorted(map(tuple, found.collect())) == brute(pairs, [p for p in pairs if p[0] % 100 == 0 or p[0] > 9000], 20)
+    assert {9001, 9003, 9004}.isdisjoint(r.vec_id for r in got) and sum(r.vec_id == 40 for r in got) == 2
+    all_rows = [(r.row, r.vec_id, r.v) for r in got]
+    found = topk.search(whole, whole.where("vec_id % 20 = 0 or vec_id > 9000"), 20)
+    assert sorted(map(tuple, found.collect())) == brute(all_rows, [r for r in all_rows if r[1] % 20 == 0 or r[1] > 9000], 20)
     assert topk.search(whole.where("false"), whole.where("false"), 5).count() == 0
 
 
+def test_topk_of_repeated_rows_against_sql(spark, tmp_path):
+    """Repeated ids, equal or not, empty, null and odd vectors: query and SQL agree row by row."""
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0, 0.5]), (1, [0.25, 1.0]), (1, [0.25, 1.0]), (1, [2.0, 1.0]), (2, [0.5, 0.5]), (20, [1.0, 1.0]), (20, [1.0, 1.0]), (20, [3.0, 0.0])]
+    rows += [(40, []), (41, []), (42, None), (60, [None, 1.0]), (61, [float("inf"), 1.0]), (None, [1.0, 1.0])] + [(100 + i, rng.normal(size=2).tolist()) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(map(tuple, topk.op3(spark, str(tmp_path)).collect()))
+    assert got == sorted(c.sql(topk.OP3_SQL).fetchall())
+    assert sum(r[0] == 0 for r in got) == 20 and sum(r[0] == 20 for r in got) == 60 and sum(r[0] == 40 for r in got) == 1
+
+
 def test_topk_stops_before_the_last_level():
     rng = np.random.default_rng(0)
     x = np.floor(64 * rng.normal(scale=0.125, size=(8000, 64))).astype(np.int64)
-    b = topk.Block(np.arange(8000), x)
+    b = topk.Block(np.arange(8000), np.arange(8000), x)
     worst = np.sort(x @ x[0])[-20].astype(float)
     rows = b.candidates(x[:1].T, np.array([worst]))[0]
     assert len(rows) < 800 and set(np.flatnonzero(x @ x[0] >= worst)) <= set(rows.tolist())
@@ -395,13 +409,65 @@ def test_toxicity_on_held_out_rows(spark):
     assert all((r.score >= 0.7) == (r.predicted == 1) and 0 <= r.score <= 1 for r in got.values())
 
 
-def test_toxicity_of_odd_rows(spark):
-    model = toxicity.train(["you idiot here", "calm words here", "idiot idiot", "more calm words"] * 9, [1, 0, 1, 0] * 9)
+def plain_distance(model, text):
+    """Distances by compressing each window of the whole text anew, with compressors made for it alone."""
+    import zstandard as zstd
+
+    data = re.sub(rb"[^a-z0-9\x80-\xff]+", b" ", text.encode().lower()).strip()
+    data = b" " + data + b" " + toxicity._EDGE
+    size = []
+    for content in (model.ordinary, model.toxic):
+        c = zstd.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=6, min_match=5, target_length=64, strategy=zstd.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+        made = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=c)
+        size.append([len(made.compress(data[i : i + 80])) for i in range(0, max(1, len(data) - 40), 40)])
+    return [a - b for a, b in zip(*size, strict=True)]
+
+
+@pytest.fixture(scope="module")
+def small_model():
+    rng = np.random.default_rng(0)
+    calm = ["".join(rng.choice(list("aeioubdgklmnrst"), rng.integers(2, 9))) for _ in range(400)]
+
+    def text(bad):
+        w = list(rng.choice(calm, 80))
+        for at in rng.choice(80, 6, replace=False) if bad else ():
+            w[at] = str(rng.choice(["zorkface", "quimplet", "frazzhole"]))
+        return " ".join(w)
+
+    kinds = [int(k) for k in rng.random(600) < 0.3]
+    return toxicity.train([text(k) for k in kinds], kinds), text
+
+
+def test_toxicity_distances_by_brute_force(small_model):
+    model, text = small_model
+    scorer = model.scorer()
+    for t in [text(1), text(0), "zorkface", "x" * 1000, "Éa ß 日本語 " * 40, "a\x00b\u00a0c"]:
+        assert scorer.distances(t).tolist() == plain_distance(model, t)
+    right = [(scorer.score(text(k)) >= toxicity.THRESHOLD) == k for k in [0, 1] * 100]
+    assert sum(right) >= 190
+
+
+def test_toxicity_reads_whole_texts_with_and_without_blanks(small_model):
+    model, text = small_model
+    scorer = model.scorer()
+    words = text(1).split()
+    assert scorer.score(" ".join(words)) >= 0.7 and scorer.score("\u00a0".join(words)) >= 0.7
+    assert max(scorer.distances("".join(words))) >= model.threshold
+    late = "lorem ipsum dolor " * 20_000 + "zorkface quimplet"
+    assert max(scorer.distances(late)[-3:]) >= model.threshold > max(scorer.distances(late)[:-3])
+
+
+def test_toxicity_of_odd_rows(spark, small_model):
+    model, _ = small_model
     rows = toxicity.score(odd_docs(spark), model).collect()
     assert len(rows) == 10 and {r.score for r in rows if r.doc_id in (2, 3, 6)} == {0.0}
+    assert len({r.score for r in rows if r.doc_id == 1}) == 1
+    assert toxicity.score(odd_docs(spark).where("false"), model).count() == 0 and toxicity.keep(odd_docs(spark).where("false"), model).count() == 0
     assert toxicity.keep(odd_docs(spark), model).columns == odd_docs(spark).columns
     labels = spark.createDataFrame([(None, 1), (1, None), (4, 0), (4, 1)], "doc_id long, toxic int")
     toxicity.fit(odd_docs(spark), labels)
+    assert {r.score for r in toxicity.score(odd_docs(spark), toxicity.fit(odd_docs(spark), labels.where("false"))).collect()} == {0.0, 0.5}
+    assert not [r for r in odd_docs(spark).select(toxicity.held_out(F.col("doc_id")).alias("h")).collect() if r.h is None]
     toxicity.train([], [])
 
 
