@@ -27,7 +27,7 @@ from gridloom.llm.xxh64 import hash_ranges
 
 LIMIT = 8192
 _SMALL = 12
-_BUCKETS = 4096  # of the hashed set, and so the most bits that a wide fingerprint can have
+_BUCKETS = 4096  # of the hashed set, and so the bits that one transform gives; wider prints take several
 _WIDE = 512  # bits of a wide fingerprint that are compared
 _MISS = 0.005
 SIGMAS = 4  # beyond the mean distance of a pair at the threshold that a candidate may differ
@@ -92,17 +92,26 @@ def wide_fingerprints(texts: list[bytes | None], words: int, bits: int) -> np.nd
     h, owner = shingle_sets(texts, words)
     digest = np.zeros(len(texts), np.uint64)
     np.add.at(digest, owner, (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15))
+    parts = []
+    for k in range(0, bits, _BUCKETS):
+        if k:  # another transform, of the same set hashed anew
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        parts.append(_signs(h, owner, len(texts), k // _BUCKETS)[:, : (bits - k) // 8])
+    return np.concatenate((*parts, digest.view(np.uint8).reshape(-1, 8)), axis=1)
+
+
+def _signs(h: np.ndarray, owner: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Signs of a Walsh-Hadamard transform of each hashed set, in a fixed random order, as rows of bytes."""
     sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-    x = np.bincount(owner * _BUCKETS + (h % np.uint64(_BUCKETS)).astype(np.int64), weights=sign, minlength=len(texts) * _BUCKETS)
-    x = x.reshape(len(texts), _BUCKETS).astype(np.float32)
+    x = np.bincount(owner * _BUCKETS + (h % np.uint64(_BUCKETS)).astype(np.int64), weights=sign, minlength=n * _BUCKETS)
+    x = x.reshape(n, _BUCKETS).astype(np.float32)
     step = 1
     while step < _BUCKETS:
-        x = x.reshape(len(texts), -1, 2, step)
+        x = x.reshape(n, -1, 2, step)
         x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), axis=2)
         step *= 2
-    rows = np.random.default_rng(7).permutation(_BUCKETS)[:bits]
-    signs = np.packbits(x.reshape(len(texts), _BUCKETS)[:, rows] > 0, axis=1, bitorder="little")
-    return np.concatenate((signs, digest.view(np.uint8).reshape(-1, 8)), axis=1)
+    rows = np.random.default_rng(7 + seed).permutation(_BUCKETS)
+    return np.packbits(x.reshape(n, _BUCKETS)[:, rows] > 0, axis=1, bitorder="little")
 
 
 class Narrow:
@@ -126,14 +135,16 @@ class Narrow:
 
 
 class Wide:
-    """Keys of wide fingerprints: blocks whose number makes a pair at the threshold share one."""
+    """Keys of wide fingerprints: blocks whose number makes a pair at the threshold share one, whatever the table's size.
+
+    Blocks get wider with the table, so that buckets stay small, and then it takes more of them, and more bits.
+    """
 
     def __init__(self, nodes: int, similarity: float):
         cosine = 2 * similarity / (1 + similarity)
         differ = math.acos(cosine) / math.pi  # share of bits in which such a pair differs
         self.width = max(12, math.ceil(math.log2(max(nodes, 2)) - 6))
         self.blocks = math.ceil(math.log(_MISS) / math.log(1 - (1 - differ) ** self.width))
-        self.blocks = min(self.blocks, _BUCKETS // self.width)
         self.bits = max(_WIDE, -(-self.blocks * self.width // 8) * 8)
         spare = SIGMAS * math.sqrt(_WIDE * differ * (1 - differ))
         self.distance, self.lanes, self.bytes = math.ceil(differ * _WIDE + spare), _WIDE // 64, self.bits // 8 + 8
@@ -231,14 +242,17 @@ def _link(distance: int, lanes: int, keys: list[str], limit: int | None):
 
 
 def fingerprints(docs: DataFrame, words: int, wide: Wide | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, print (8 bytes, or a wide one's) of each row; null and empty texts have the print zero."""
+    """doc_id, text_hash, print (8 bytes, or a wide one's) of each row; null and empty texts have the print zero.
+
+    A row is known by doc_id and text_hash together: ids may repeat, with other texts.
+    """
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            texts = batch.column(2)
             size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
             group = size.cumsum() // 1_000_000  # about a megabyte at a time; a longer text by itself
             edge = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(size)])) if len(size) else [0]
@@ -249,9 +263,17 @@ def fingerprints(docs: DataFrame, words: int, wide: Wide | None = None, id_col:
                         got = narrow_fingerprints(part, words).view(np.uint8).reshape(-1, 8)
                     else:
                         got = wide_fingerprints(part, words, wide.bits)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "print"])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array([x.tobytes() for x in got], pa.binary())], names=["doc_id", "text_hash", "print"]
+                    )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, print binary")
+    rows = _texts(docs, id_col, text_col).select("doc_id", "text_hash", "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, print binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def links(nodes: DataFrame, plan: Narrow | Wide, limit: int = LIMIT) -> DataFrame:
@@ -393,10 +415,10 @@ def _compare(similarity: float):
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, words: int, similarity: float, rows: int = GROUP_ROWS) -> DataFrame:
-    """Pairs (a, b) of documents whose sets of shingles are similar, enough to connect all such ones of a group.
+    """Pairs (a, b) of nodes whose sets of shingles are similar, enough to connect all such ones of a group.
 
-    ``docs`` has doc_id and text (binary), ``groups`` node and component. Only texts of groups are read into sets, each
-    once. A group beyond ``rows`` rows or GROUP_BYTES is dealt into chunks, and every two chunks are compared in a task
+    ``docs`` has doc_id, text_hash and text (binary); ``groups`` has node, component, and the doc_id and text_hash of the
+    row that stands for the node. Only texts of groups are read into sets, each once. A group beyond ``rows`` rows or GROUP_BYTES is dealt into chunks, and every two chunks are compared in a task
     of their own.
     """
 
@@ -411,9 +433,9 @@ def exact_links(docs: DataFrame, groups: DataFrame, words: int, similarity: floa
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[a:b].tobytes() for a, b in itertools.pairwise(edge)], pa.binary())], names=["node", "set"])
 
     groups = common.materialise(groups, "groups")
-    ids = common.broadcast_small(groups.select(F.col("node").alias("doc_id")))
-    members = docs.join(ids, "doc_id", "left_semi")
-    weight = members.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")).join(common.broadcast_small(groups), "node")
+    of = common.broadcast_small(groups.select("node", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")))
+    members = docs.join(of, (F.col("doc_id") == F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
+    weight = members.select("node", F.octet_length("text").alias("bytes")).join(common.broadcast_small(groups.select("node", "component")), "node")
     weight = weight.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / rows, F.sum("bytes") / GROUP_BYTES)).cast("int").alias("chunks"))
     weight = common.materialise(weight, "weights")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -422,11 +444,33 @@ def exact_links(docs: DataFrame, groups: DataFrame, words: int, similarity: floa
     ).select("node", "component", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"))
     cells = common.materialise(cells, "cells")
     on = ["component", "lo", "hi"]
-    sets = members.select("doc_id", "text").mapInArrow(run, "node long, set binary").join(common.broadcast_small(cells), "node")
+    sets = members.select("node", "text").mapInArrow(run, "node long, set binary").join(common.broadcast_small(cells), "node")
     found = sets.repartition(*on).sortWithinPartitions(*on).mapInArrow(_compare(similarity), "a long, b long")
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _grouped(docs: DataFrame, words: int, distance: int | None, similarity: float, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """doc_id, text_hash, print of each row, and ``first``: the smallest (doc_id, text_hash) of its group."""
+    rows = docs.count()
+    wide = Wide(rows, similarity) if distance is None else None
+    prints = common.materialise(fingerprints(docs, words, wide, id_col, text_col), "prints")
+    nodes = prints.where("doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    # Numbers of nodes are written with them, so no later stage can number them otherwise.
+    nodes = common.materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "row"), "nodes")
+    found = links(nodes, wide or Narrow(rows, distance), limit)
+    of = components(thinned(found) if wide else found)
+    if wide:
+        groups = nodes.join(of.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("node", "component", "row.doc_id", "row.text_hash")
+        with common.small_batches(docs.sparkSession):
+            of = components(common.materialise(exact_links(_texts(docs, id_col, text_col), groups, words, similarity), "similar"))
+    linked = common.materialise(nodes.select("node", "row").join(of.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("node", "component", "row"), "linked")
+    first = linked.groupBy("component").agg(F.min("row").alias("first"))
+    named = linked.select("node", "component").join(first, "component").select(F.col("node").alias("n"), "first")
+    named = nodes.join(named, F.col("node") == F.col("n"), "left").select(F.col("print").alias("p"), F.coalesce("first", "row").alias("first"))
+    named = common.materialise(named, "components")
+    return prints.join(named, F.col("print") == F.col("p"), "left").select("doc_id", "text_hash", "print", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, distance: int | None = None, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT
 ) -> DataFrame:
@@ -434,42 +478,36 @@ def near_duplicates(
 
     With ``distance``: 64-bit fingerprints over all shingles, linked up to that many differing bits; exact. Without:
     sets of shingles, linked at a Jaccard similarity of ``similarity`` or more. No other pair is linked, and a pair is
-    overlooked only where its wide fingerprints share no block (probability 0.005 at the threshold, less above).
+    overlooked only where its wide fingerprints share no block (probability 0.005 at the threshold, less above, at every
+    size of the table).
 
-    Null and empty texts share the print zero and so are linked with each other. Rows that share a doc_id are one
-    document. Rows with null id link nothing and have a null component. Other columns are ignored; an empty table gives
-    none.
+    Null and empty texts share the print zero and so are linked with each other. Rows that share a doc_id are linked by
+    their texts like any other rows. Rows with null id link nothing and have a null component. Other columns are ignored;
+    an empty table gives none.
     """
-    plan: Narrow | Wide
-    rows = docs.count()
-    wide = Wide(rows, similarity) if distance is None else None
-    prints = common.materialise(fingerprints(docs, words, wide, id_col, text_col), "prints")
-    nodes = prints.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
-    nodes = common.materialise(nodes, "nodes")
-    plan = wide or Narrow(rows, distance)
-    found = links(nodes, plan, limit)
-    of = components(thinned(found) if wide else found)
-    if wide:
-        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-        with common.small_batches(docs.sparkSession):
-            of = components(common.materialise(exact_links(texts, of, words, similarity), "similar"))
-    named = common.materialise(
-        nodes.join(of.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("print").alias("p"), F.coalesce("component", "node").alias("component_id")), "components"
-    )
-    return prints.join(named, F.col("print") == F.col("p"), "left").select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return _grouped(docs, words, distance, similarity, id_col, text_col, limit).select("doc_id", "print", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates, that of the smallest id; all columns as they are.
 
-    Of rows that share an id one stays; rows with null id all do.
+    A text goes only if its group has another one that stays. Of rows that share id and text one stays; rows that share an
+    id and have texts of their own all stay; rows with null id do too. Null and empty texts are one group.
     """
-    found = near_duplicates(docs, words, None, similarity, id_col, text_col)
-    gone = common.materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    left = docs.join(common.broadcast_small(gone), docs[id_col] == gone["gone_id"], "left_anti")
-    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
-        left = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
-    return left
+    found = common.materialise(_grouped(docs, words, None, similarity, id_col, text_col, LIMIT).select("doc_id", "text_hash", "first"), "groups")
+    other = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_hash") != F.col("first.text_hash"))
+    gone = common.materialise(found.where(other).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    again = found.where(~other).groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    again = common.materialise(again, "again")
+
+    def same(rows: DataFrame):
+        return (docs[id_col] == rows["gone_id"]) & (F.xxhash64(docs[text_col].cast("binary")) == rows["gone_hash"])
+
+    if not again.limit(1).count():
+        return docs.join(common.broadcast_small(gone), same(gone), "left_anti")
+    left = docs.join(common.broadcast_small(both := common.materialise(gone.unionByName(again), "gone")), same(both), "left_anti")
+    once = docs.join(common.broadcast_small(again), same(again), "left_semi").dropDuplicates([id_col, text_col])
+    return left.unionByName(once)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -331,6 +331,37 @@ def test_more_blocks_in_larger_tables():
     assert len(simhash.Narrow(1000, 4).masks) == 15 and len(simhash.Narrow(10**9, 4).masks) > 15
     small, large = simhash.Wide(1000, 0.8), simhash.Wide(10**8, 0.8)
     assert large.width > small.width and large.blocks > small.blocks
+    differ = np.arccos(2 * 0.8 / 1.8) / np.pi
+    for n in (10, 10**6, 10**9, 10**10, 10**11):
+        plan = simhash.Wide(n, 0.8)
+        assert (1 - (1 - differ) ** plan.width) ** plan.blocks <= 0.005 and plan.bits >= plan.blocks * plan.width
+
+
+@pytest.mark.parametrize("size", [10**4, 10**9, 10**11])
+def test_pairs_at_exactly_the_threshold_share_a_block(size):
+    """Recall of candidates at a similarity of exactly 0.8 under the plan for tables of that many rows."""
+    rng = np.random.default_rng(2)
+    plan, hit, n = simhash.Wide(size, 0.8), 0, 200
+    for _ in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 184)]  # 180 shingles; 20 of either text are its own: 160 / 200
+        pair = [" ".join([*words[:-20], *(f"{k}{x}" for x in rng.integers(0, 10**9, 20))]).encode() for k in "ab"]
+        sets = [simhash.shingle_sets([t], 5)[0] for t in pair]
+        both = len(np.intersect1d(*sets))
+        assert both / (len(sets[0]) + len(sets[1]) - both) == 0.8
+        prints = simhash.wide_fingerprints(pair, 5, plan.bits)
+        keys = plan.keys(prints)
+        near = np.bitwise_count(prints[0, : plan.lanes * 8] ^ prints[1, : plan.lanes * 8]).sum() <= plan.distance
+        hit += bool((keys[0] == keys[1]).any() and near)
+    assert hit >= 0.97 * n
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    """Rows that share an id: a text without a copy is never lost, a copy always goes."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(3, "a"), (5, "a"), (5, "b"), (3, "b"), (7, "c"), (7, "c"), (7, "d"), (None, "a"), (None, "a")]
+    docs = spark.createDataFrame([(i, texts[k], k) for i, k in rows], "doc_id long, text string, k string")
+    left = sorted((r.doc_id or -1, r.k) for r in simhash.keep_one(docs).collect())
+    assert left == [(-1, "a"), (-1, "a"), (3, "a"), (3, "b"), (7, "c"), (7, "d")]
 
 
 def test_components_of_a_chain(spark):
@@ -389,8 +420,9 @@ def test_wide_links_are_exact_at_the_threshold(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert [of[i] for i in range(len(texts))] == want
-    groups = docs.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component"))
-    links = simhash.exact_links(docs.withColumn("text", F.col("text").cast("binary")), groups, 5, 0.8, rows=10).collect()
+    known = simhash._texts(docs, "doc_id", "text")
+    groups = known.select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("component"), "doc_id", "text_hash")
+    links = simhash.exact_links(known, groups, 5, 0.8, rows=10).collect()
     assert sorted((r.a, r.b) for r in links) == [(j, i) for i, j in enumerate(want) if i != j]
 
 
