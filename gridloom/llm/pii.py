@@ -3,8 +3,13 @@
 The field scores whole candidate segments (digits, separators, check sums, words before), and dynamic programming over
 segments of bounded length chooses boundaries and kinds together. It is trained here, by maximum likelihood, on sentences
 made from a fixed seed: data of every kind in many notations, among dates, prices, versions and other harmless numbers.
-Only stretches with digits, ``@`` or an unbroken run of RUN or more letters and digits are searched, so its work follows
-the number of candidates, not the text's length. Such a run is one token, so a key of any length is one segment.
+Only stretches with digits, ``@``, an unbroken run of RUN or more letters and digits, or a value behind a word such as
+``password=`` are searched, so its work follows the number of candidates, not the text's length. Such a run is one token,
+so a key of any length is one segment.
+
+An entity is bounded: at most LONGEST tokens, BLANKS blanks and DIGITS digits outside long runs. A segment is a candidate if
+it has MIN_DIGITS digits, a long run, ``@``, or is such a value. The search goes through a stretch token by token and holds
+only the part of the best path that later tokens may still change, so a text may be of any length.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from gridloom.llm import common
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "secret", "ssn")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
-LONGEST = 24  # tokens in a segment
+LONGEST, BLANKS, DIGITS, MIN_DIGITS = 24, 6, 40, 6  # of a segment, see above
 RUN = 16  # letters and digits in a row that are one token
 
 # The four fixed patterns. Possessive forms match the same spans in linear time.
@@ -80,15 +85,37 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 _TOKEN = re.compile(rf"[A-Za-z0-9]{{{RUN},}}|[A-Za-z]+|[0-9]+|\s|[^A-Za-z0-9\s]")
 _TRIGGER = re.compile(rf"[0-9@]|[A-Za-z0-9]{{{RUN},}}")
+#: A word that announces a secret, and what stands between it and its value.
+_ANNOUNCED = re.compile(r"(?:[Pp]assw(?:or)?d|PASSWORD|[Pp]wd|[Pp]assphrase|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy])[\"']?[ ]?[=:][ ]?[\"']?(?=[^\s\"'])")
+_CLOSING = set("\"',;)]}")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _triggers(text: str):
+    """(start, end) of what makes its word worth a search, ascending by start."""
+    announced = _ANNOUNCED.finditer(text) if "=" in text or ":" in text else iter(())
+    value = next(announced, None)
+    at = 0
+    while m := _TRIGGER.search(text, at):
+        while value and value.start() <= m.start():
+            yield value.start(), value.end() + 1
+            value = next(announced, None)
+        yield m.span()
+        at = m.end()
+        while at < len(text) and not text[at].isspace():
+            at += 1
+    while value:
+        yield value.start(), value.end() + 1
+        value = next(announced, None)
+
+
 def stretches(text: str):
-    """Maximal runs of neighbouring words with a digit, an at sign or a long run, as (start, end)."""
-    at, n = 0, len(text)
+    """Maximal runs of neighbouring words with a digit, an at sign, a long run or an announced value, as (start, end)."""
+    n = len(text)
     lo = hi = -1
-    while m := _TRIGGER.search(text, at):
-        a, b = m.start(), m.end()
+    for a, b in _triggers(text):
+        if b <= hi:
+            continue
         while a > max(hi, 0) and not text[a - 1].isspace():
             a -= 1
         while b < n and not text[b].isspace():
@@ -99,45 +126,81 @@ def stretches(text: str):
             if lo >= 0:
                 yield lo, hi
             lo, hi = a, b
-        at = b
     if lo >= 0:
         yield lo, hi
 
 
+_HELD = 4096  # tokens of a stretch that are held before the oldest go
+
+
+def candidates(text: str, before: str):
+    """For each token of a stretch, in order: (start, end, segments that end with it), a segment being (its first token,
+    features). Only the last tokens are held."""
+    outside = [w.lower() for w in _WORD.findall(before[-40:])][-2:]
+    announced = (m.end() for m in _ANNOUNCED.finditer(text))
+    value = next(announced, -1)
+    found = _TOKEN.finditer(text)
+    tokens, starts, digits, blanks, runs, signs, values = [], [], [0], [0], [0], [0], []
+    base = 0  # number of the first token held
+
+    def push(m) -> None:
+        nonlocal value
+        t = m.group()
+        run = len(t) >= RUN
+        tokens.append(t)
+        starts.append(m.start())
+        digits.append(digits[-1] + (len(t) if not run and t[0] in "0123456789" else 0))
+        blanks.append(blanks[-1] + t.isspace())
+        runs.append(runs[-1] + run)
+        signs.append(signs[-1] + (t == "@"))
+        while 0 <= value < m.start():
+            value = next(announced, -1)
+        values.append(value == m.start())
+
+    m = next(found, None)
+    while m:
+        push(m)
+        end = m.end()
+        m = next(found, None)
+        right = m.group() if m else " "
+        j = len(tokens)
+        ends_well = tokens[-1][0].isascii() and tokens[-1][0].isalnum()
+        closes = right.isspace() or right in _CLOSING
+        out = []
+        if ends_well or closes:
+            for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
+                if blanks[j] - blanks[i] > BLANKS or digits[j] - digits[i] > DIGITS:
+                    break
+                first = tokens[i][0]
+                given = values[i] and closes and blanks[j] == blanks[i] and end - starts[i] >= 6
+                if not given:
+                    if not ends_well or not (first.isascii() and first.isalnum() or first in "+("):
+                        continue
+                    if digits[j] - digits[i] < MIN_DIGITS and runs[j] == runs[i] and not (j - i >= 5 and signs[j] > signs[i]):
+                        continue
+                left = tokens[i - 1] if i else " "
+                if i == 0:
+                    near = outside if not base else []
+                else:
+                    near = [t.lower() for t in tokens[max(0, i - 5) : i] if t[0].isalpha()][-2:] or (outside if i + base < 4 else [])
+                out.append((i + base, features(text[starts[i] : end], left, right, tuple(near)) + (("given",) if given else ())))
+        yield starts[-1], end, out
+        if j >= _HELD:
+            gone = j - 2 * LONGEST
+            base += gone
+            for held in (tokens, starts, digits, blanks, runs, signs, values):
+                del held[:gone]
+
+
 class Lattice:
-    """Tokens of one stretch and the segments that could be data, each with its features."""
+    """Tokens of one short stretch and the segments that could be data, each with its features."""
 
     def __init__(self, text: str, before: str):
-        self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        words = [w.lower() for w in _WORD.findall(before[-40:])][-2:]
-        tokens = [text[a:b] for a, b in self.tokens]
-        n = len(tokens)
-        digits, blanks, runs = [0], [0], [0]
-        for t in tokens:
-            run = len(t) >= RUN
-            digits.append(digits[-1] + (0 if run else len(t) if t[0] in "0123456789" else 0))
-            blanks.append(blanks[-1] + t.isspace())
-            runs.append(runs[-1] + run)
-        ok_start = [t[0].isascii() and t[0].isalnum() or t in "+(" for t in tokens]
-        ok_end = [t[0].isascii() and t[0].isalnum() for t in tokens]
+        self.tokens: list[tuple[int, int]] = []
         self.segments: list[tuple[int, int, tuple[str, ...]]] = []  # first token, end token, features
-        for j in range(1, n + 1):
-            if not ok_end[j - 1]:
-                continue
-            for i in range(j - 1, max(-1, j - 1 - LONGEST), -1):
-                if blanks[j] - blanks[i] > 6:
-                    break
-                if not ok_start[i]:
-                    continue
-                d = digits[j] - digits[i]
-                if d > 40:
-                    break
-                if d < 6 and runs[j] == runs[i] and not (j - i >= 5 and "@" in tokens[i:j]):
-                    continue
-                left = tokens[i - 1] if i else " "
-                right = tokens[j] if j < n else " "
-                near = words if i == 0 else [t.lower() for t in tokens[max(0, i - 5) : i] if t[0].isalpha()][-2:] or (words if i < 4 else [])
-                self.segments.append((i, j, features(text[self.tokens[i][0] : self.tokens[j - 1][1]], left, right, tuple(near))))
+        for start, end, segments in candidates(text, before):
+            self.tokens.append((start, end))
+            self.segments += [(i, len(self.tokens), f) for i, f in segments]
 
 
 def _shape(s: str) -> str:
@@ -186,7 +249,7 @@ def features(s: str, left: str, right: str, words: tuple[str, ...]) -> tuple[str
 
 
 def _edge(t: str) -> str:
-    return "_" if t.isspace() else "9" if t[0].isdigit() else "a" if t[0].isalpha() else t[0]
+    return " " if t.isspace() else "9" if t[0].isdigit() else "a" if t[0].isalpha() else t[0]
 
 
 def _iban(s: str) -> bool:
@@ -203,28 +266,48 @@ class Field:
     def scores(self, feats: tuple[str, ...]) -> np.ndarray:
         return sum((self.weights[f] for f in feats if f in self.weights), self.none)
 
-    def best(self, lattice: Lattice) -> list[tuple[int, int, str]]:
-        """(start, end, kind) of the best segmentation: characters within the stretch."""
-        n = len(lattice.tokens)
-        ending: list[list] = [[] for _ in range(n + 1)]
-        for i, j, feats in lattice.segments:
-            ending[j].append((i, self.scores(feats)))
-        value, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for i, s in ending[j]:
+    def best(self, stretch) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of the best segmentation: characters within the stretch, from its ``candidates``.
+
+        Of equal sums, the one with fewer segments towards the end. What the last LONGEST tokens have in common of their
+        best paths is settled and leaves the memory.
+        """
+        out: list[tuple[int, int, str]] = []
+        # Of tokens since ``base``: their limits, the best sum up to each, and the segment that ends there, if any.
+        base, limits, value, back = 0, [], [0.0], [None]
+
+        def path(j: int, stop: int):
+            """Segments of the best path to token j, last first, and the places it goes through."""
+            spans, places = [], {j}
+            while j > stop:
+                if back[j - base] is None:
+                    j -= 1
+                else:
+                    i, k = back[j - base]
+                    spans.append((limits[i - base][0], limits[j - 1 - base][1], KINDS[k]))
+                    j = i
+                places.add(j)
+            return spans, places
+
+        for start, end, segments in stretch:
+            limits.append((start, end))
+            top, at = value[-1], None
+            for i, feats in segments:
+                s = self.scores(feats)
                 k = int(s.argmax())
-                if value[i] + s[k] > value[j]:
-                    value[j], back[j] = value[i] + s[k], (i, k)
-        out, j = [], n
-        while j > 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, k = back[j]
-                out.append((lattice.tokens[i][0], lattice.tokens[j - 1][1], KINDS[k]))
-                j = i
-        return out[::-1]
+                if value[i - base] + s[k] > top:
+                    top, at = value[i - base] + s[k], (i, k)
+            value.append(top)
+            back.append(at)
+            n = base + len(limits)
+            if len(limits) >= _HELD:
+                shared = set.intersection(*(path(j, base)[1] for j in range(n - LONGEST, n + 1)))
+                settled = max(shared)
+                out += path(settled, base)[0][::-1]
+                gone = settled - base
+                base = settled
+                del limits[:gone], value[:gone], back[:gone]
+        return out + path(base + len(limits), base)[0][::-1]
 
     def gradient(self, lattice: Lattice, gold: dict[tuple[int, int], int]) -> dict[str, np.ndarray]:
         """Observed less expected feature counts, by forward and backward sums over segmentations."""
@@ -308,7 +391,17 @@ def _one(r, kind: str) -> str:
         return f"{d(3)}-{d(2)}-{d(4)}"
     upper, lower, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
     code = lambda alphabet, n: "".join(_pick(r, alphabet) for _ in range(n))
-    return _pick(r, ["AKIA" + code(upper + "0123456789", 16), code(hexa, int(r.integers(16, 65))), code(upper + lower + "0123456789", int(r.integers(20, 65))), "ghp_" + code(upper + lower + "0123456789", 36)])
+    both = upper + lower + "0123456789"
+    return _pick(r, [
+        "AKIA" + code(upper + "0123456789", 16), code(hexa, int(r.integers(16, 65))), code(both, int(r.integers(20, 65))),
+        _pick(r, ["ghp_", "sk_live_", "pk_test_", "glpat-", "xoxb-"]) + code(_pick(r, [both, both, upper + lower]), int(r.integers(20, 41))),
+    ])
+
+
+def _password(r) -> str:
+    """A short secret, to stand behind a word that announces it."""
+    word = "".join(_pick(r, "bdfghklmnprstvz") + _pick(r, "aeiou") + _pick(r, ["", "n", "r", "t"]) for _ in range(int(r.integers(2, 4))))
+    return _pick(r, [word + _digits(r, 1) + word[:3], word.capitalize() + _digits(r, int(r.integers(2, 5))), word + _pick(r, "!#$_") + _digits(r, 2), _digits(r, 3) + word + _pick(r, "!?*")])
 
 
 def _harmless(r) -> str:
@@ -348,7 +441,15 @@ def training_set(n: int = 700, seed: int = 11) -> list[tuple[str, str, list[tupl
         text, spans = "", []
         before = _pick(r, ["", "the edhe", "of thonin", "und eine", "le queau"])
         for k in range(int(r.integers(1, 4))):
-            if r.random() < 0.5:
+            if r.random() < 0.12:
+                glue = _pick(r, ["password=", "password: ", "pwd=", "Password: ", "secret=", "token: ", 'token = "', "api_key=", "passwd: "])
+                hidden = r.random() < 0.6
+                piece = _password(r) if hidden else _long_word(r)[: int(r.integers(4, 12))].lower().rstrip("0123456789")
+                text += glue
+                if hidden:
+                    spans.append((len(text), len(text) + len(piece), "secret"))
+                text += piece + ('"' if glue[-1] == '"' else "")
+            elif r.random() < 0.5:
                 kind = _pick(r, KINDS)
                 if k == 0 and r.random() < 0.3:
                     before = _pick(r, _BEFORE[kind])
@@ -384,6 +485,12 @@ def train(rows: list | None = None, epochs: int = 6, rate: float = 0.4, decay: f
     return field
 
 
+@lru_cache(1)
+def trained() -> Field:
+    """The field trained on the made sentences, once a process; the same in every process."""
+    return train()
+
+
 def find(text: str | None, field: Field) -> tuple[list, list]:
     """Base spans, and all spans: the base ones and the field's that overlap none of them."""
     if not text:
@@ -391,10 +498,7 @@ def find(text: str | None, field: Field) -> tuple[list, list]:
     base = base_spans(text)
     added, k = [], 0
     for lo, hi in stretches(text):
-        lattice = Lattice(text[lo:hi], text[max(0, lo - 40) : lo])
-        if not lattice.segments:
-            continue
-        for a, b, kind in field.best(lattice):
+        for a, b, kind in field.best(candidates(text[lo:hi], text[max(0, lo - 40) : lo])):
             added.append((lo + a, kind, lo + b))
     ends: list[tuple[int, int]] = []
     for a, _, b in base:  # merged, so that one look backwards is enough
@@ -418,10 +522,11 @@ def written(spans: list) -> str:
 def detect(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_spans, spans.
 
-    Null and empty texts have no spans. Texts are searched whole. Offsets are in code points. Repeated rows are searched
-    each; other columns are ignored.
+    Null and empty texts have no spans. Texts are searched whole. Offsets are in code points. Of segmentations with equal
+    sums the one found first counts, so a text always has the same spans. Repeated rows are searched each; rows with null id
+    too; other columns are ignored; an empty table gives none.
     """
-    weights = (field or train()).weights
+    weights = (field or trained()).weights
 
     def run(batches):
         import pyarrow as pa
@@ -442,8 +547,8 @@ def detect(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id",
 
 
 def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span of the text replaced by its kind in brackets; all columns stay, null texts too."""
-    weights = (field or train()).weights
+    """``docs`` with each span of the text replaced by its kind in brackets; all columns and rows stay, null texts too."""
+    weights = (field or trained()).weights
 
     def run(batches):
         import pyarrow as pa

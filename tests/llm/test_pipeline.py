@@ -37,7 +37,7 @@ def test_each_decision(spark, stages):
     assert sorted(ids(good)) == sorted(r.doc_id for r in quality.judge(calm).where("kept").collect())
     groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(good).collect()}
     assert sorted(ids(single)) == sorted(set(groups.values()))
-    field = pii.train()
+    field = pii.trained()
     want = {r.doc_id: pii.cover(r.text, pii.find(r.text, field)[1]) for r in single.collect()}
     assert {r.doc_id: r.text for r in clean.collect()} == want
     assert all(r.n_chars == len(r.text) for r in clean.collect())
