@@ -1,9 +1,15 @@
 """Quality rules: base counts, and robust multivariate outliers by language and source; DataFrame functions only.
 
 Each document gives a vector of transformed statistics. Per language and source a minimum-covariance-determinant fit
-finds centre and scatter of the bulk: it starts from medians, then repeats concentration steps (keep the 75 % of vectors
-nearest by Mahalanobis distance, estimate anew), then one reweighting step. A document is rejected where its distance is
-beyond that of nearly all clean ones. Equal vectors of a group count once in the fit, so copies can't become the bulk.
+finds centre and scatter of the bulk. It goes out from three starts (medians and median deviations of the group; those of
+its language; correlations of squashed deviations) and repeats concentration steps: keep the 75 % of vectors nearest by
+Mahalanobis distance, estimate anew. After two steps the start with the smallest determinant goes on, until the determinant
+settles; the smallest is kept, and one reweighting step follows. A document is rejected where its distance is beyond that of
+nearly all clean ones. Equal vectors of a group count once in the fit, so copies can't become the bulk.
+
+Every group has a fit of its own, of whatever size. Centre and scatter are shrunk towards those of the language, as if the
+group had SHRINK_CENTRE and SHRINK_SCATTER more vectors there, and those of the language towards those of all: the fewer
+vectors, the more. This is the regularised form of the estimate, and changes smoothly with a group's size.
 """
 
 from __future__ import annotations
@@ -19,11 +25,13 @@ _SYMBOLS = "[#*$%&|<>]"
 FEATURES = ("x1", "x2", "x3", "x4", "x5")
 #: Least standard deviation taken for each feature: below it, differences mean nothing.
 FLOOR = {"x1": 0.10, "x2": 0.05, "x3": 0.10, "x4": 0.06, "x5": 0.10}
-CORE, STEPS, MIN_GROUP = 0.75, 3, 200
+CORE, FIRST_STEPS, MOST_STEPS, SETTLED = 0.75, 2, 10, 0.01
+SHRINK_CENTRE, SHRINK_SCATTER = 10, 50
+#: Of quantiles: their rank is off by at most one in so many, so they are exact in smaller groups.
+ACCURACY = 10_000
 #: Probability that a clean Gaussian vector would be rejected: a limit of d2 = 30.9. Clean statistics have longer tails; the
 #: limit is set from measured ones, and leaves 0.99 of the documents labelled clean (README).
 REJECT = 1e-5
-BROADCAST_GROUPS = 5_000
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -112,24 +120,6 @@ def _features() -> dict[str, Column]:
     }
 
 
-def _groups(vectors: DataFrame) -> DataFrame:
-    """lang, source -> group: their own where there are MIN_GROUP vectors, else the small sources of a language
-    together, else all such languages together."""
-    n = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = n.where(F.col("n") < MIN_GROUP).groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    own = F.concat_ws("\u0001", F.lit("s"), F.coalesce("lang", F.lit("\u0002")), F.coalesce("source", F.lit("\u0002")))
-    pooled = F.concat_ws("\u0001", F.lit("l"), F.coalesce("lang", F.lit("\u0002")))
-    return n.join(small.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").select(
-        "lang", "source", F.when(F.col("n") >= MIN_GROUP, own).when(F.col("n_lang") >= MIN_GROUP, pooled).otherwise("all").alias("g")
-    )
-
-
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_GROUPS else df
-
-
-
-
 _P = len(FEATURES)
 _MEAN = [f"m{i}" for i in range(_P)]
 _LOW = {(i, j): f"l{i}{j}" for i in range(_P) for j in range(i + 1)}
@@ -145,45 +135,111 @@ def _with_distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, _P)), F.col("z0") * F.col("z0")))
 
 
-def _estimate(df: DataFrame, share: float, cut: float) -> DataFrame:
-    """Mean and Cholesky factor per group of the vectors given, the ``share`` nearest, within ``cut`` of a chi-squared."""
-    consistent = share / chi2_cdf(cut, _P + 2)
-    cov = {(i, j): F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in _LOW}
-    out = df.groupBy("g").agg(*[F.avg(x).alias(_MEAN[i]) for i, x in enumerate(FEATURES)], *cov.values())
+def _factor(df: DataFrame, cov) -> DataFrame:
+    """``df`` with the Cholesky factor of the scatter cov(i, j), and the logarithm of its determinant."""
     for i, j in sorted(_LOW):
-        value = F.col(f"c{i}{j}") * consistent
-        if i == j:
-            value = value + FLOOR[FEATURES[i]] ** 2
+        value = cov(i, j) + F.lit(FLOOR[FEATURES[i]] ** 2 if i == j else 0.0)
         for k in range(j):
             value = value - F.col(_LOW[i, k]) * F.col(_LOW[j, k])
         # The floor keeps each pivot positive; rounding can't take more than a little of it.
-        out = out.withColumn(_LOW[i, j], F.sqrt(F.greatest(value, F.lit(FLOOR[FEATURES[i]] ** 2 / 4))) if i == j else value / F.col(_LOW[j, j]))
-    return out.select("g", *_MEAN, *_LOW.values())
+        df = df.withColumn(_LOW[i, j], F.sqrt(F.greatest(value, F.lit(FLOOR[FEATURES[i]] ** 2 / 4))) if i == j else value / F.col(_LOW[j, j]))
+    return df.withColumn("logdet", 2 * sum((F.log(F.col(_LOW[i, i])) for i in range(1, _P)), F.log(F.col(_LOW[0, 0]))))
 
 
-def fit(vectors: DataFrame) -> DataFrame:
-    """Centre and scatter per group ``g`` from the vectors x1.. of all rows: a row per group."""
-    distinct = common.materialise(vectors.select("g", *FEATURES).distinct(), "vectors")
-    n = distinct.select("g").distinct().count()
-    middle = distinct.groupBy("g").agg(*[F.percentile_approx(x, 0.5, 1000).alias(_MEAN[i]) for i, x in enumerate(FEATURES)])
-    middle = common.materialise(middle, "mcd")
-    spread = distinct.join(_small(middle, n), "g").groupBy("g").agg(
-        *[F.first(_MEAN[i]).alias(_MEAN[i]) for i in range(_P)],
-        *[F.percentile_approx(F.abs(F.col(x) - F.col(_MEAN[i])), 0.5, 1000).alias(f"s{i}") for i, x in enumerate(FEATURES)],
+def _estimate(near: DataFrame, consistent: float) -> DataFrame:
+    """g, lg, s, mean, factor, logdet of each group and start from the vectors given, shrunk as the module says.
+
+    ``consistent`` makes up for the scatter that was cut off with the vectors that are far.
+    """
+    cov = {(i, j): (F.covar_pop(FEATURES[i], FEATURES[j]) * consistent).alias(f"c{i}{j}") for i, j in _LOW}
+    own = near.groupBy("g", "lg", "s").agg(F.count("*").alias("n"), *[F.avg(x).alias(_MEAN[i]) for i, x in enumerate(FEATURES)], *cov.values())
+    own = common.materialise(own, "mcd")
+    parts = [*_MEAN, *(f"c{i}{j}" for i, j in _LOW)]
+
+    def pooled(to: str, *by: str) -> DataFrame:
+        return own.groupBy(*by).agg(F.sum("n").alias(f"n_{to}"), *[(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"{to}_{c}") for c in parts])
+
+    def shrunk(c: str, n: str, of: str, to: str) -> Column:
+        k = F.lit(float(SHRINK_CENTRE if c in _MEAN else SHRINK_SCATTER))
+        return (F.col(n) * F.col(of + c) + k * F.col(to + c)) / (F.col(n) + k)
+
+    every = pooled("all", "s").withColumnRenamed("s", "s_all")  # a row a start
+    lang = pooled("lang", "lg", "s").join(F.broadcast(every), F.col("s") == F.col("s_all"))
+    lang = lang.select(F.col("lg").alias("lg_of"), F.col("s").alias("s_of"), *[shrunk(c, "n_lang", "lang_", "all_").alias(f"to_{c}") for c in parts])
+    out = own.join(lang, (F.col("lg") == F.col("lg_of")) & (F.col("s") == F.col("s_of")))
+    out = out.select("g", "lg", "s", *[shrunk(c, "n", "", "to_").alias(c) for c in parts])
+    return _factor(out, lambda i, j: F.col(f"c{i}{j}")).select("g", "lg", "s", *_MEAN, *_LOW.values(), "logdet")
+
+
+def _middle(df: DataFrame, by: str) -> DataFrame:
+    """Median and 1.4826 times the median deviation (or the floor) of each feature."""
+    middle = common.materialise(df.groupBy(by).agg(*[F.percentile_approx(x, 0.5, ACCURACY).alias(f"a{i}") for i, x in enumerate(FEATURES)]), "mcd")
+    spread = df.join(middle.withColumnRenamed(by, "of"), F.col(by) == F.col("of")).groupBy(by).agg(
+        *[F.first(f"a{i}").alias(f"a{i}") for i in range(_P)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"a{i}")), 0.5, ACCURACY).alias(f"d{i}") for i, x in enumerate(FEATURES)]
     )
+    scale = [F.greatest(F.col(f"d{i}") * 1.4826, F.lit(FLOOR[x])).alias(f"d{i}") for i, x in enumerate(FEATURES)]
+    return common.materialise(spread.select(by, *[f"a{i}" for i in range(_P)], *scale), "mcd")
+
+
+def _starts(distinct: DataFrame) -> DataFrame:
+    """g, lg, s, mean, factor of the three starts of each group."""
+    groups = distinct.select("g", "lg").distinct()
+    own, lang = _middle(distinct, "g"), _middle(distinct, "lg")
     zero = F.lit(0.0)
-    params = spread.select("g", *_MEAN, *[(F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOOR[FEATURES[i]])) if i == j else zero).alias(name) for (i, j), name in _LOW.items()])
-    params = common.materialise(params, "mcd")
-    for _ in range(STEPS):
-        far = _with_distance(distinct.join(_small(params, n), "g")).select("g", *FEATURES, "d2")
-        edge = common.materialise(far.groupBy("g").agg(F.percentile_approx("d2", CORE, 1000).alias("edge")), "mcd")
-        near = far.join(_small(edge, n), "g").where("d2 <= edge")
-        params = common.materialise(_estimate(near, CORE, chi2_quantile(CORE, _P)), "mcd")
+    plain = [*[F.col(f"a{i}").alias(_MEAN[i]) for i in range(_P)], *[(F.col(f"d{i}") if i == j else zero).alias(name) for (i, j), name in _LOW.items()]]
+    first = groups.join(own, "g").select("g", "lg", F.lit(0).alias("s"), *plain)
+    second = groups.join(lang, "lg").select("g", "lg", F.lit(1).alias("s"), *plain)
+    # Squashed deviations have bounded weight, so their correlations are robust; the scales are those of the medians.
+    squashed = distinct.join(own.withColumnRenamed("g", "of"), F.col("g") == F.col("of"))
+    squashed = squashed.select("g", "lg", *[F.col(f"a{i}") for i in range(_P)], *[F.col(f"d{i}") for i in range(_P)], *[F.tanh((F.col(x) - F.col(f"a{i}")) / F.col(f"d{i}")).alias(f"t{i}") for i, x in enumerate(FEATURES)])
+    moments = squashed.groupBy("g", "lg").agg(*[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "ad" for i in range(_P)], *[F.covar_pop(f"t{i}", f"t{j}").alias(f"v{i}{j}") for i, j in _LOW])
+    root = lambda i, j: F.greatest(F.sqrt(F.col(f"v{i}{i}") * F.col(f"v{j}{j}")), F.lit(1e-12))
+    third = moments.select("g", "lg", F.lit(2).alias("s"), *[F.col(f"a{i}").alias(_MEAN[i]) for i in range(_P)],
+                           *[(F.col(f"d{i}") * F.col(f"d{j}") * (F.lit(1.0) if i == j else F.col(f"v{i}{j}") / root(i, j))).alias(f"c{i}{j}") for i, j in _LOW])
+    third = _factor(third, lambda i, j: F.col(f"c{i}{j}")).select("g", "lg", "s", *_MEAN, *_LOW.values())
+    return common.materialise(first.unionByName(second).unionByName(third), "mcd")
+
+
+def _with_params(distinct: DataFrame, params: DataFrame) -> DataFrame:
+    """The distances of all vectors. ``params`` is a written table, so Spark knows its size and broadcasts it if small."""
+    mine = params.withColumnRenamed("g", "of").drop("lg", "logdet", "settled")
+    return _with_distance(distinct.join(mine, F.col("g") == F.col("of")))
+
+
+def _concentrate(distinct: DataFrame, params: DataFrame) -> DataFrame:
+    """One step: the nearest CORE of each group's vectors under ``params``, estimated anew."""
+    far = _with_params(distinct, params)
+    edge = far.groupBy("g", "s").agg(F.percentile_approx("d2", CORE, ACCURACY).alias("edge"))
+    edge = common.materialise(edge.select(F.col("g").alias("g_of"), F.col("s").alias("s_of"), "edge"), "mcd")
+    near = far.join(edge, (F.col("g") == F.col("g_of")) & (F.col("s") == F.col("s_of"))).where(F.col("d2") <= F.col("edge") * (1 + 1e-9))
+    return _estimate(near, CORE / chi2_cdf(chi2_quantile(CORE, _P), _P + 2))
+
+
+def fit(vectors: DataFrame) -> DataFrame:
+    """Centre and scatter per group ``g`` from the vectors x1.. of all rows, ``lg`` being its language: a row per group.
+
+    Of starts with equal determinants the first counts. No vectors give no rows.
+    """
+    distinct = common.materialise(vectors.select("g", "lg", *FEATURES).distinct(), "vectors")
+    params = _starts(distinct)
+    for _ in range(FIRST_STEPS):
+        params = common.materialise(_concentrate(distinct, params), "mcd")
+    best = params.groupBy("g", "lg").agg(F.min_by(F.struct(*_MEAN, *_LOW.values(), "logdet"), F.struct("logdet", "s")).alias("p"))
+    best = common.materialise(best.select("g", "lg", F.lit(0).alias("s"), "p.*", F.lit(False).alias("settled")), "mcd")
+    for _ in range(MOST_STEPS):
+        then = _concentrate(distinct, best).select(F.col("g").alias("g_of"), F.struct(*_MEAN, *_LOW.values(), "logdet").alias("then"))
+        was = F.struct(*_MEAN, *_LOW.values(), "logdet")
+        on = F.col("settled") | (F.col("then.logdet") >= F.col("logdet"))
+        done = on | (F.col("then.logdet") >= F.col("logdet") - SETTLED)
+        best = best.join(then, F.col("g") == F.col("g_of")).select("g", "lg", "s", F.when(on, was).otherwise(F.col("then")).alias("p"), done.alias("settled"))
+        best = common.materialise(best.select("g", "lg", "s", "p.*", "settled"), "mcd")
+        if not best.where("not settled").limit(1).count():
+            break
     cut = chi2_quantile(0.975, _P)
-    near = _with_distance(distinct.join(_small(params, n), "g")).where(F.col("d2") <= cut)
-    better = _estimate(near, 0.975, cut)
+    near = _with_params(distinct, best).where(F.col("d2") <= cut)
+    better = common.materialise(_estimate(near, 0.975 / chi2_cdf(cut, _P + 2)).select("g", *_MEAN, *_LOW.values()), "mcd")
     # A group none of whose vectors is that near keeps the core's estimate.
-    left = params.join(better.select("g"), "g", "left_anti")
+    left = best.join(better.select("g"), "g", "left_anti").select("g", *_MEAN, *_LOW.values())
     return common.materialise(better.unionByName(left), "mcd")
 
 
@@ -191,19 +247,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Per row of ``docs``: doc_id, the base counts, base_failed, kept, and d2 (null where the base rule fails).
 
     base_failed: under 50 words, or over half the words in repeated 3-word windows. The fit takes all other rows of the
-    table. Null language or source is a group like any other; groups under MIN_GROUP vectors are pooled. Null and empty
-    texts fail the base rule. Repeated rows are judged each; other columns are ignored.
+    table. Null language or source is a group like any other. Null and empty texts fail the base rule. Repeated rows are
+    judged each, alike; rows with null ids too. A distance at the limit is kept. An empty table gives no rows; other columns
+    are ignored.
     """
     stats = common.materialise(statistics(docs, id_col, text_col), "statistics")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = stats.withColumn("base_failed", failed).withColumns(_features())
+    lang, source = (F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in ("lang", "source"))
+    rows = stats.withColumn("base_failed", failed).withColumns(_features()).withColumns({"g": F.concat_ws("\u0001", lang, source), "lg": lang})
     good = rows.where("not base_failed")
-    groups = common.materialise(_groups(good), "groups")
-    n = groups.count()
-    named = groups.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "g")
-    on = F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs"))
-    params = fit(good.join(_small(named, n), on))
-    judged = _with_distance(rows.join(_small(named, n), on, "left").join(_small(params, n), "g", "left"))
+    params = fit(good)
+    mine = params.withColumnRenamed("g", "of")
+    judged = _with_distance(rows.join(mine, F.col("g") == F.col("of"), "left"))
     limit = chi2_quantile(REJECT, _P, tail=True)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     return judged.select(
@@ -214,7 +269,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns as they are."""
+    """The rows of ``docs`` that ``judge`` keeps, all columns as they are. Rows are told apart by id and text."""
     gone = judge(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text"))
     gone = common.materialise(gone.distinct(), "rejected")
     same = docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_text"])

@@ -691,39 +691,117 @@ def test_quality_on_labelled_rows(spark):
     assert len(clean) > 200 and sum(clean) >= 0.98 * len(clean)
 
 
-def plain_mcd(x, floor):
-    """The same fit in numpy, with exact medians and quantiles."""
-    x = np.unique(x, axis=0)
-    m = np.median(x, axis=0)
-    s = np.maximum(np.median(np.abs(x - m), axis=0) * 1.4826, floor)
-    inv = np.diag(1 / s**2)
-    far = lambda m, inv: np.einsum("ni,ij,nj->n", x - m, inv, x - m)
-
-    def estimate(part, share, cut):
-        c = np.cov(part.T, bias=True) * share / quality.chi2_cdf(cut, 7) + np.diag(floor**2)
-        return part.mean(axis=0), np.linalg.inv(c)
-
-    for _ in range(quality.STEPS):
-        d = far(m, inv)
-        m, inv = estimate(x[d <= np.quantile(d, quality.CORE)], quality.CORE, quality.chi2_quantile(quality.CORE, 5))
+def plain_mcd(vectors):
+    """The same fit in numpy: {(language, group): rows} to {group: (centre, inverse scatter)}."""
+    floor = np.array(list(quality.FLOOR.values()))
+    x = {k: np.unique(np.array(v), axis=0) for k, v in vectors.items()}
+    rank = lambda v, p: np.sort(v, axis=0)[max(int(np.ceil(p * len(v))), 1) - 1]
+    far = lambda v, m, c: np.einsum("ni,ij,nj->n", v - m, np.linalg.inv(c), v - m)
+
+    def middle(v):
+        m = rank(v, 0.5)
+        return m, np.maximum(rank(np.abs(v - m), 0.5) * 1.4826, floor)
+
+    def estimate(near, consistent):
+        own = {k: (len(v), v.mean(axis=0), np.cov(v.T, bias=True).reshape(5, 5) * consistent) for k, v in near.items() if len(v)}
+
+        def pooled(some):
+            n = sum(o[0] for o in some)
+            return (n, *(sum(o[0] * o[i] for o in some) / n for i in (1, 2)))
+
+        def shrunk(a, b):
+            return a[0], (a[0] * a[1] + quality.SHRINK_CENTRE * b[1]) / (a[0] + quality.SHRINK_CENTRE), (a[0] * a[2] + quality.SHRINK_SCATTER * b[2]) / (a[0] + quality.SHRINK_SCATTER)
+
+        every = pooled(own.values())
+        lang = {lg: shrunk(pooled([o for k, o in own.items() if k[0] == lg]), every) for lg in {k[0] for k in own}}
+        return {k: (m, c + np.diag(floor**2)) for k, o in own.items() for _, m, c in [shrunk(o, lang[k[0]])]}
+
+    def step(params):
+        core = {}
+        for k, v in x.items():
+            d = far(v, *params[k])
+            core[k] = v[d <= rank(d, quality.CORE) * (1 + 1e-9)]
+        return estimate(core, quality.CORE / quality.chi2_cdf(quality.chi2_quantile(quality.CORE, 5), 7))
+
+    logdet = lambda p: np.linalg.slogdet(p[1])[1]
+    starts = [{}, {}, {}]
+    for k, v in x.items():
+        m, s = middle(v)
+        lang_m, lang_s = middle(np.concatenate([w for q, w in x.items() if q[0] == k[0]]))
+        c = np.cov(np.tanh((v - m) / s).T, bias=True).reshape(5, 5)
+        root = np.maximum(np.sqrt(np.outer(np.diag(c), np.diag(c))), 1e-12)
+        r = c / root
+        np.fill_diagonal(r, 1.0)
+        starts[0][k], starts[1][k], starts[2][k] = (m, np.diag(s**2)), (lang_m, np.diag(lang_s**2)), (m, np.outer(s, s) * r + np.diag(floor**2))
+    for _ in range(quality.FIRST_STEPS):
+        starts = [step(p) for p in starts]
+    best = {k: min((p[k] for p in starts), key=logdet) for k in x}
+    settled = dict.fromkeys(x, False)
+    for _ in range(quality.MOST_STEPS):
+        then = step(best)
+        for k in x:
+            was, now = logdet(best[k]), logdet(then[k])
+            done = settled[k] or now >= was - quality.SETTLED
+            if not settled[k] and now < was:
+                best[k] = then[k]
+            settled[k] = done
+        if all(settled.values()):
+            break
     cut = quality.chi2_quantile(0.975, 5)
-    return estimate(x[far(m, inv) <= cut], 0.975, cut)
+    better = estimate({k: v[far(v, *best[k]) <= cut] for k, v in x.items()}, 0.975 / quality.chi2_cdf(cut, 7))
+    return {k: (m, np.linalg.inv(c)) for k in x for m, c in [better.get(k, best[k])]}
 
 
 def test_robust_fit_against_numpy(spark):
+    """Groups of very different sizes: one with a cluster of outliers, one of a few vectors, one of a single one."""
     rng = np.random.default_rng(4)
     a = rng.normal(size=(5, 5))
-    x = rng.normal(size=(3000, 5)) @ a + 2
-    x[:400] += 40  # a cluster of outliers
-    floor = np.array(list(quality.FLOOR.values()))
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, x1 double, x2 double, x3 double, x4 double, x5 double")
-    judged = quality._with_distance(df.join(quality.fit(df), "g")).collect()
-    m, inv = plain_mcd(x, floor)
-    want = {tuple(r): float((r - m) @ inv @ (r - m)) for r in x}
+    rows = [("de", "de1", *map(float, r)) for r in rng.normal(size=(600, 5)) @ a + 2]
+    for n, r in enumerate(rows[:100]):
+        rows[n] = (*r[:2], *(v + 40 for v in r[2:]))
+    rows += [("de", "de2", *map(float, r)) for r in rng.normal(size=(9, 5)) @ a] + [("de", "de3", 1.0, 2.0, 3.0, 4.0, 5.0)] * 3
+    rows += [("fr", "fr1", *map(float, r)) for r in rng.normal(size=(80, 5))]
+    df = spark.createDataFrame(rows, "lg string, g string, x1 double, x2 double, x3 double, x4 double, x5 double")
+    params = quality.fit(df)
+    judged = quality._with_distance(df.join(params, "g")).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[:2], []).append(r[2:])
+    plain = plain_mcd(groups)
+    want = {(k[1], tuple(v)): float((np.array(v) - m) @ inv @ (np.array(v) - m)) for k, (m, inv) in plain.items() for v in groups[k]}
     got = np.array([r.d2 for r in judged])
-    exact = np.array([want[r.x1, r.x2, r.x3, r.x4, r.x5] for r in judged])
-    np.testing.assert_allclose(got, exact, rtol=0.05, atol=0.3)
-    assert (got[exact > 200] > 100).all() and (exact > 200).sum() >= 400
+    exact = np.array([want[r.g, (r.x1, r.x2, r.x3, r.x4, r.x5)] for r in judged])
+    np.testing.assert_allclose(got, exact, rtol=0.02, atol=0.05)
+    assert (got[exact > 200] > 100).all() and (exact > 200).sum() >= 100
+    assert quality.fit(df.where("false")).count() == 0
+
+
+def test_quality_verdicts_against_numpy(spark):
+    """``kept`` of every document, from the texts' counts to the limit."""
+    sf = "/root/testdata/sf0.01"
+    docs = {d.doc_id: d for d in common.table(spark, sf, "documents").collect()}
+    vectors, of = {}, {}
+    for i, d in docs.items():
+        n_words, chars, symbols, dup, repeat = plain_counts(d.text)
+        if n_words < 50 or 100 * repeat > 50 * n_words:
+            continue
+        lines = max(1, sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in d.text.split("\n")))
+        upper = len(re.findall("[A-Z]", d.text))
+        of[i] = np.array([np.log(max(chars, 1) / n_words), np.sqrt(symbols / max(chars, 1)), np.sqrt(repeat / n_words), np.sqrt(upper / max(chars, 1)), np.sqrt(dup / lines)])
+        vectors.setdefault((d.lang, (d.lang, d.source)), []).append(of[i])
+    plain = plain_mcd(vectors)
+    limit = quality.chi2_quantile(quality.REJECT, 5, tail=True)
+    rows = quality.op10(spark, sf).collect()
+    assert len(rows) == len(docs) and {r.doc_id for r in rows if not r.base_failed} == set(of)
+    for r in rows:
+        if r.base_failed:
+            assert not r.kept and r.d2 is None
+            continue
+        m, inv = plain[docs[r.doc_id].lang, (docs[r.doc_id].lang, docs[r.doc_id].source)]
+        d2 = float((of[r.doc_id] - m) @ inv @ (of[r.doc_id] - m))
+        assert r.d2 == pytest.approx(d2, rel=0.02, abs=0.05)
+        assert abs(d2 - limit) < 0.1 or r.kept == (d2 <= limit)
+    assert sum(not r.kept for r in rows) > sum(r.base_failed for r in rows)
 
 
 def test_chi_squared():
