@@ -18,9 +18,11 @@ _MADE: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder as a URI; one of our own only where the setting is absent (tests, local mode)."""
+    """The cluster's shared folder as a URI; one of our own only in local mode, where driver and executors share a disk."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where if "://" in where or where.startswith("file:") else "file://" + where
@@ -77,6 +79,20 @@ def broadcast_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def tasks_for(df: DataFrame, each: int = 64_000_000, most: int = 10_000, at_most_each: int = 512_000_000) -> int:
+    """How many tasks to sort ``df`` in: by the size that Spark knows of its files, some per core at least.
+
+    Beyond ``most`` tasks of ``each`` bytes tasks grow rather than their number, up to ``at_most_each``. Where no size is
+    known (rows that are no file's) it is the session's number of shuffle partitions.
+    """
+    spark = df.sparkSession
+    least = 4 * spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size > 1 << 60:
+        return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(-(-size // each), max(most, -(-size // at_most_each))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,8 +3,9 @@
 A shard is two files. ``.ids`` holds the ids of its documents one after another (little endian, 2 bytes where the
 vocabulary allows). ``.ef`` holds two monotone sequences in Elias-Fano code: the start of each document plus the end of
 the last, and the documents' ids less the first. A sequence of n values up to u takes n * (2 + log2(u / n)) bits: the low
-bits packed, the high bits as a unary bit vector. ``select`` finds the i-th value through a sample of every 256th one bit,
-so an offset is read without a table of 64-bit numbers.
+bits packed, the high bits as a unary bit vector. ``select`` finds the i-th value from the place of every 256th one bit,
+which is all that is made at load; a reader that goes through a shard selects the first value of each run and takes its
+neighbours from the same bits. No table of 64-bit offsets is made.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from gridloom.llm import common, tokens
 
 _MAGIC = b"GLEF0001"
-_SAMPLE = 256
-_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+_SAMPLE, _STRETCH = 256, 65_536
 
 
 class EliasFano:
@@ -29,10 +29,17 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = _ONES[high].cumsum(dtype=np.int64)
-        #: The byte of the high bits that holds each 256th one bit, and the one bits before that byte.
-        self.sample = np.searchsorted(ones, np.arange(0, n, _SAMPLE), side="right").astype(np.uint32)
-        self.before = np.where(self.sample > 0, ones[self.sample.astype(np.int64) - 1], 0) if n else ones[:0]
+        # The select structure: for each _SAMPLE-th one bit, its place among the high bits. Places are found a stretch of
+        # high bits at a time; what stays is n / _SAMPLE numbers of 32 bits, if the high bits are that few.
+        self.sample = np.zeros(-(-n // _SAMPLE), dtype=np.uint32 if len(high) < 1 << 29 else np.uint64)
+        seen = 0
+        for lo in range(0, len(high), _STRETCH):
+            at = np.flatnonzero(np.unpackbits(high[lo : lo + _STRETCH], bitorder="little"))
+            first = -seen % _SAMPLE
+            some = at[first::_SAMPLE]
+            k = (seen + first) // _SAMPLE
+            self.sample[k : k + len(some)] = some + 8 * lo
+            seen += len(at)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -68,21 +75,28 @@ class EliasFano:
         """The i-th value, from 0; reads the high bits from the nearest sample on."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        byte, seen = int(self.sample[i // _SAMPLE]), int(self.before[i // _SAMPLE])
-        while seen + int(_ONES[self.high[byte]]) <= i:
-            seen += int(_ONES[self.high[byte]])
+        seen = i - i % _SAMPLE
+        place = int(self.sample[i // _SAMPLE])
+        byte = place // 8
+        word = int(self.high[byte]) >> place % 8 << place % 8
+        while seen + word.bit_count() <= i:
+            seen += word.bit_count()
             byte += 1
-        bit = [k for k in range(8) if self.high[byte] >> k & 1][i - seen]
+            word = int(self.high[byte])
+        for _ in range(i - seen):
+            word &= word - 1
+        bit = (word & -word).bit_length() - 1
         return ((byte * 8 + bit - i) << self.low_bits) | int(self._lows(i, i + 1)[0])
 
     def slice(self, lo: int, hi: int) -> np.ndarray:
-        """Values lo to hi - 1 at once."""
+        """Values lo to hi - 1 at once: a run of neighbours from one select."""
         if lo >= hi:
             return np.zeros(0, dtype=np.int64)
-        byte, seen = int(self.sample[lo // _SAMPLE]), int(self.before[lo // _SAMPLE])
-        last = hi // _SAMPLE + 1
-        end = int(self.sample[last]) + 1 if last < len(self.sample) else len(self.high)
-        at = np.flatnonzero(np.unpackbits(self.high[byte:end], bitorder="little"))[lo - seen : hi - seen] + byte * 8
+        first, last = lo // _SAMPLE, hi // _SAMPLE + 1
+        byte = int(self.sample[first]) // 8
+        end = int(self.sample[last]) // 8 + 1 if last < len(self.sample) else len(self.high)
+        at = np.flatnonzero(np.unpackbits(self.high[byte:end], bitorder="little")) + byte * 8
+        at = at[at >= int(self.sample[first])][lo - first * _SAMPLE : hi - first * _SAMPLE]
         return ((at - np.arange(lo, hi)) << self.low_bits) | self._lows(lo, hi)
 
 
@@ -152,11 +166,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_
     """
     spark = docs.sparkSession
     root = common.new_dir(spark, "ids")
-    dealt = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .repartitionByRange("id", F.xxhash64("text"))
-        .sortWithinPartitions("id", F.xxhash64("text"), "text")
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    dealt = rows.repartitionByRange(common.tasks_for(rows), "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
 
     def run(batches):
         import pyarrow as pa

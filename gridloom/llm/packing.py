@@ -157,7 +157,7 @@ def pack(encoded: DataFrame, length: int = 2048) -> DataFrame:
         if done:
             yield flush()
 
-    dealt = encoded.repartitionByRange("curve_key", "doc_id", F.xxhash64("ids")).sortWithinPartitions("curve_key", "doc_id", "ids")
+    dealt = encoded.repartitionByRange(common.tasks_for(encoded), "curve_key", "doc_id", F.xxhash64("ids")).sortWithinPartitions("curve_key", "doc_id", "ids")
     return dealt.mapInArrow(run, schema)
 
 

@@ -9,12 +9,17 @@ substrings probe the sorted hashes of the pieces, which gives a table (word, sta
 * ``merges`` joins, in every word at once, the adjacent pair with the best score, until none is a piece. That is how a
   model of type BPE encodes; no search for a best sum gives the same ids.
 
+Words beyond LONG characters go alone: the same search from start to start, and merges from a heap of pairs, so the work
+grows with the length (times its logarithm) and not with its square.
+
 Characters without a piece become their UTF-8 bytes' pieces.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
+import math
 import re
 import struct
 import zlib
@@ -27,6 +32,7 @@ from gridloom.llm import common
 MARK = "\u2581"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+\\Z")
+LONG = 64
 _UNKNOWN_PENALTY = 10.0  # as the library has it, below the least score
 
 
@@ -144,6 +150,8 @@ class Pieces:
         Of equal sums, the earlier start of the last piece.
         """
         n, size = words.shape
+        if size > LONG:
+            return [self._one(words[k : k + 1], ids[k : k + 1], self._best_sum) for k in range(n)]
         score = np.where(ids >= 0, self.scores[ids], -np.inf)
         alone = ids[:, :, 0] < 0
         score[:, :, 0] = np.where(alone, self.worst, score[:, :, 0])
@@ -167,6 +175,8 @@ class Pieces:
     def merges(self, words: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """Each word by merging: always the best-scored adjacent pair, of equal ones the leftmost."""
         n, size = words.shape
+        if size > LONG:
+            return [self._one(words[k : k + 1], ids[k : k + 1], self._merged) for k in range(n)]
         end = np.tile(np.arange(1, size + 2), (n, 1))  # of the symbol that starts here; 0: none starts here
         end[:, size] = 0
         place = np.arange(size)
@@ -187,6 +197,56 @@ class Pieces:
         w, i = np.nonzero(end[:, :size])
         return self._flat(words, ids, w, i, end[w, i])
 
+    def _one(self, word: np.ndarray, ids: np.ndarray, method) -> bytes:
+        """One long word, by a method that gives the ends of its segments."""
+        ends = np.array(method(ids[0]), dtype=np.int64)
+        return self._flat(word, ids, np.zeros(len(ends), np.int64), np.concatenate(([0], ends[:-1])), ends)[0]
+
+    def _best_sum(self, ids: np.ndarray) -> list[int]:
+        """``viterbi`` for one word: each start passes its sum on; of equal sums the first to come stays."""
+        size = len(ids)
+        best, back = [0.0] + [-math.inf] * size, [0] * (size + 1)
+        for lo in range(0, size, 4096):
+            part = ids[lo : lo + 4096].copy()
+            score = np.where(part >= 0, self.scores[part], -np.inf)
+            score[:, 0] = np.where(part[:, 0] < 0, self.worst, score[:, 0])
+            at, length = np.nonzero(score > -np.inf)
+            for i, n, s in zip((at + lo).tolist(), (length + 1).tolist(), score[at, length].tolist(), strict=True):
+                total = best[i] + s
+                if total > best[i + n]:
+                    best[i + n], back[i + n] = total, i
+        ends, j = [], size
+        while j:
+            ends.append(j)
+            j = back[j]
+        return ends[::-1]
+
+    def _merged(self, ids: np.ndarray) -> list[int]:
+        """``merges`` for one word: pairs wait in a heap by score and place; one whose halves have changed is passed over."""
+        size, most = ids.shape
+        end = list(range(1, size + 1))  # of the symbol that starts here; 0: none starts here
+        before = list(range(-1, size - 1))
+        scores, heap = self.scores, []
+
+        def push(i: int, middle: int) -> None:
+            stop = end[middle]
+            if stop - i <= most and (piece := ids[i, stop - i - 1]) >= 0:
+                heapq.heappush(heap, (-scores[piece], i, middle, stop))
+
+        for i in range(size - 1):
+            push(i, i + 1)
+        while heap:
+            _, i, middle, stop = heapq.heappop(heap)
+            if end[i] != middle or end[middle] != stop:
+                continue
+            end[i], end[middle] = stop, 0
+            if stop < size:
+                before[stop] = i
+                push(i, stop)
+            if i:
+                push(before[i], i)
+        return [e for e in end if e]
+
     def _flat(self, words: np.ndarray, ids: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[bytes]:
         """Each word's ids as little-endian 32-bit integers, from its segments (w, i, j) in order."""
         got = ids[w, i, j - i - 1]
@@ -326,7 +386,9 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     """Both encodings of each whole text, decoded again.
 
     doc_id, n_viterbi, viterbi_crc32 (the best sum of scores), n_ids, ids_crc32 (the model type's own ids), same_text
-    (both decode to the text itself).
+    (both decode to the text itself). Null and empty texts have no ids; a null text decodes to an empty one and counts as
+    the same. Of equal sums the earlier start of the last piece wins, of equal pairs the leftmost. Repeated rows and rows
+    with null id give a row each; an empty table gives none; other columns are ignored.
     """
 
     def run(batches):

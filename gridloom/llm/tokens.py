@@ -76,13 +76,18 @@ class Units(dict):
 
 
 class CachedEncoder:
-    """Texts to little-endian id bytes. ``cap`` bounds the cached units, ``longest`` the length of a cached unit."""
+    """Texts to little-endian id bytes. ``cap`` bounds the cached units, ``longest`` the length of a cached unit.
 
-    def __init__(self, path: str, kind: str, dtype: str = "<u2", cap: int = 300_000, longest: int = 32):
+    ``special_as_text``: the string of a special token in a text is ordinary text, as the notes that come with the
+    vocabularies load them, so no document can forge the end of another. Without it such a string is its one id.
+    """
+
+    def __init__(self, path: str, kind: str, dtype: str = "<u2", cap: int = 300_000, longest: int = 32, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.units = {"word": word_units, "byte": byte_units}[kind]
@@ -123,6 +128,8 @@ class CachedEncoder:
         """The ids of a text; None counts as empty."""
         if not text:
             return b""
+        if any(t in text for t in self.special):  # it may stand within a unit, or cut one
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         units = self.units(text)
         self.looked_up += len(units)
         out = b"".join(map(self.cache.__getitem__, units))

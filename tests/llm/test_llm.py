@@ -46,6 +46,23 @@ def test_cached_tokens_are_the_librarys(spark, name, kind):
         assert np.frombuffer(e.encode(t), "<u2").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name, kind, special", [("word_bpe_49k.json", "word", "<|startoftext|>"), ("byte_bpe_50k.json", "byte", "<|endoftext|>")])
+def test_strings_of_special_tokens_are_text(name, kind, special):
+    """As the vocabularies' own notes load them; an untouched tokenizer reads such a string as one control token."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(P.path(name))
+    e = tokens.CachedEncoder(P.path(name), kind)
+    control = plain.token_to_id(special)
+    for text in (f"a {special} b", special, f"x{special}{special} y", f"{special}\n{special}"):
+        ids = np.frombuffer(e.encode(text), "<u2").tolist()
+        assert control not in ids and control in plain.encode(text, add_special_tokens=False).ids
+        with_control = tokens.CachedEncoder(P.path(name), kind, special_as_text=False)
+        assert np.frombuffer(with_control.encode(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+    for text in ("a <| b |>", "no special string <|end|> here", "a  b\n"):
+        assert np.frombuffer(e.encode(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=" \n\tab.,'É1\u00a0\u2003\x1c", max_size=40))
 def test_cached_tokens_on_odd_spacing(text):
@@ -64,6 +81,14 @@ def test_elias_fano(values, shift):
         assert e.slice(lo, hi).tolist() == values[lo:hi].tolist()
 
 
+def test_select_keeps_no_table_of_offsets():
+    """What a reader holds beyond the coded bits is a number for every 256th value."""
+    values = np.sort(np.random.default_rng(1).integers(0, 10**7, 100_000))
+    e = eliasfano.EliasFano.of(values)
+    assert e.sample.nbytes <= 4 * (len(values) // 256 + 1) and not any(isinstance(a, np.ndarray) and a.dtype == np.int64 for a in vars(e).values())
+    assert [e.select(i) for i in range(0, 100_000, 97)] == values[::97].tolist()
+
+
 def test_elias_fano_is_small():
     values = np.arange(0, 3_000_000, 300)
     bits = len(eliasfano.EliasFano.of(values).to_bytes()) * 8 / len(values)
@@ -222,6 +247,29 @@ def test_pieces_are_the_librarys(spark):
         assert ids == theirs or v.scores[ids].sum() > v.scores[theirs].sum()
 
 
+def test_long_words_are_encoded_as_short_ones(monkeypatch):
+    """The heap of pairs and the search from start to start against the library and the vectorised forms."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    own, v = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoinshrdlué日1."), int(n))) for n in rng.integers(65, 300, 40)] + ["a" * 200, "ab" * 90]
+    long = [pieces.Encoder(v, ("viterbi", "merges")).encode([w]) for w in words]
+    for w, (_, m) in zip(words, long, strict=True):
+        assert np.frombuffer(m[0], "<u4").tolist() == own.encode(w)
+    monkeypatch.setattr(pieces, "LONG", 10**9)
+    assert long == [pieces.Encoder(v, ("viterbi", "merges")).encode([w]) for w in words]
+
+
+def test_a_megabyte_without_blanks_is_encoded():
+    v = pieces.Pieces(P.path("piece_bpe_32k.model"))
+    text = "".join(np.random.default_rng(4).choice(list("etaoinshrdlu"), 1_000_000))
+    best, merged = pieces.Encoder(v, ("viterbi", "merges")).encode([text])
+    for ids in (np.frombuffer(best[0], "<u4"), np.frombuffer(merged[0], "<u4")):
+        assert pieces.decode(v, ids) == text
+
+
 def test_pieces_of_odd_rows(spark):
     rows = pieces.round_trip(odd_docs(spark), P.path("piece_bpe_32k.model")).collect()
     assert len(rows) == 10 and all(r.same_text for r in rows)
