@@ -165,13 +165,12 @@ def trace(valid: np.ndarray, compat: bool = False) -> list[list[tuple[float, flo
         return [[(0.0, 0.0), (w, 0.0), (w, h), (0.0, h)]]
     a = np.pad(valid, 1).astype(np.uint8)
     code = 8 * a[:-1, :-1] + 4 * a[:-1, 1:] + 2 * a[1:, 1:] + a[1:, :-1]
-    point = ((0.5, 0.0), (1.0, 0.5), (0.5, 1.0), (0.0, 0.5))
+    middle = [fp.edge_middle(k) for k in range(4)]
+    shapes = [fp.pieces(fp.straight(k) if compat else k) for k in range(16)]
     pieces = []
     for r, c in np.argwhere((code > 0) & (code < 15)).tolist():
-        k = int(code[r, c])
-        if compat:
-            k = {5: 6, 10: 9}.get(k, k)
-        pieces += [(c + point[i][0], r + point[i][1], c + point[j][0], r + point[j][1]) for i, j in fp.EDGES[k]]
+        for i, j in shapes[code[r, c]]:
+            pieces.append((c + middle[i][0], r + middle[i][1], c + middle[j][0], r + middle[j][1]))
     return fp.join_rings(sorted(pieces), compat)
 
 
@@ -266,6 +265,12 @@ def serialise(rings: list, kind: str, properties: dict, compat: bool = False) ->
     return "MULTIPOLYGON(" + ", ".join(f"(({t}))" for t in texts) + ")"
 
 
+def metrics_of_geojson(text: str) -> dict | None:
+    """``ring_metrics`` of the first ring of a footprint's GeoJSON; None of an empty one."""
+    rings = fp.rings_of_geojson(text)
+    return ring_metrics(rings[0]) if rings else None
+
+
 def ring_metrics(ring: list[tuple[float, float]]) -> dict:
     """Area, box, centroid (the first vertex counts twice, as the closing one) and vertices of a ring."""
     closed = np.array([*ring, ring[0]])

@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RADIUS = 6_378_137.0
 
@@ -169,6 +169,16 @@ class Grid:
         return mix(self.x), mix(self.y)
 
 
+def subsample(points: DataFrame, most: int, order: str, by: str = "raster_id") -> DataFrame:
+    """Every k-th tie point of each raster in the order given, with the least k that leaves ``most`` or fewer.
+
+    The points of a raster stand in one tag, so a window per raster is bounded; rasters are spread over the cluster.
+    """
+    whole = Window.partitionBy(by)
+    numbered = points.withColumns({"_i": F.row_number().over(whole.orderBy(order)) - 1, "_n": F.count("*").over(whole)})
+    return numbered.where(F.col("_i") % F.greatest(F.lit(1), F.ceil(F.col("_n") / most)) == 0).drop("_i", "_n")
+
+
 def spline_kernel(r2):
     r2 = np.asarray(r2, float)
     return np.where(r2 > 0, 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1)), 0.0)
@@ -207,11 +217,18 @@ class Spline:
         return out[..., 0], out[..., 1]
 
 
+#: Powers of (lon, lat, height) in the 20 terms of a rational polynomial, in the order that the tag fixes.
+RPC_TERMS = np.array([
+    (0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (2, 0, 0), (0, 2, 0), (0, 0, 2),
+    (1, 1, 1), (3, 0, 0), (1, 2, 0), (1, 0, 2), (2, 1, 0), (0, 3, 0), (0, 1, 2), (2, 0, 1), (0, 2, 1), (0, 0, 3),
+])
+
+
 class Rpc:
-    """Rational polynomials from (lat, lon, height) to pixels, and their inverse by Newton's method.
+    """Rational polynomials from (lat, lon, height) to pixels, and their inverse.
 
     ``values`` are the 92 numbers of the tag: 2 errors, 5 offsets, 5 scales (line, sample, lat, lon, height), 4 x 20
-    coefficients.
+    coefficients. Everything is computed in the model's own units, offset and scaled.
     """
 
     def __init__(self, values):
@@ -219,46 +236,58 @@ class Rpc:
         if len(v) < 92:
             raise ValueError("an RPC model has 92 numbers")
         self.offset, self.scale = v[2:7], v[7:12]
-        self.line_num, self.line_den, self.samp_num, self.samp_den = v[12:92].reshape(4, 20)
+        self.polynomials = v[12:92].reshape(4, 20)  # line above and below, sample above and below
 
-    def forward(self, lat, lon, height):
-        """(line, sample) with the centre of the first pixel at 0.5."""
+    def _own(self, lat, lon, height):
+        """(3, n): longitude, latitude and height in the model's units; longitudes go the short way round."""
         d = np.asarray(lon, float) - self.offset[3]
-        d = np.where(d < -270, d + 360, np.where(d > 270, d - 360, d))
-        x, y, z = d / self.scale[3], (lat - self.offset[2]) / self.scale[2], (height - self.offset[4]) / self.scale[4]
-        one = np.ones_like(x)
-        t = np.stack(np.broadcast_arrays(
-            one, x, y, z, x * y, x * z, y * z, x * x, y * y, z * z, x * y * z, x**3, x * y * y, x * z * z, x * x * y, y**3, y * z * z, x * x * z, y * y * z, z**3
-        ))
-
-        def ratio(num, den):
-            a, b = np.tensordot(num, t, 1), np.tensordot(den, t, 1)
-            return np.where(np.abs(b) > np.finfo(float).eps, a / np.where(b == 0, 1, b), a)
+        d = np.where(np.abs(d) > 270, d - np.copysign(360, d), d)
+        return np.stack(np.broadcast_arrays(d / self.scale[3], (lat - self.offset[2]) / self.scale[2], (height - self.offset[4]) / self.scale[4]))
+
+    def _values(self, p: np.ndarray, along: int | None = None) -> np.ndarray:
+        """(4, n): the polynomials at points p, or their derivatives along axis ``along``."""
+        powers = RPC_TERMS.copy()
+        factor = np.ones(len(powers))
+        if along is not None:
+            factor = powers[:, along].astype(float)
+            powers[:, along] = np.maximum(powers[:, along] - 1, 0)
+        table = p[None] ** np.arange(4).reshape(4, *[1] * p.ndim)  # powers 0 to 3 of each axis
+        terms = table[powers[:, 0], 0] * table[powers[:, 1], 1] * table[powers[:, 2], 2]
+        return np.tensordot(self.polynomials * factor, terms, 1)
+
+    def _ratios(self, values: np.ndarray) -> np.ndarray:
+        """(2, n): line and sample; a denominator that vanishes counts as 1."""
+        below = values[1::2]
+        return values[::2] / np.where(np.abs(below) > np.finfo(float).eps, below, 1.0)
 
-        return ratio(self.line_num, self.line_den) * self.scale[0] + self.offset[0] + 0.5, ratio(self.samp_num, self.samp_den) * self.scale[1] + self.offset[1] + 0.5
+    def forward(self, lat, lon, height):
+        """(line, sample) with the centre of the first pixel at 0.5."""
+        line, sample = self._ratios(self._values(self._own(lat, lon, height)))
+        return line * self.scale[0] + self.offset[0] + 0.5, sample * self.scale[1] + self.offset[1] + 0.5
 
     def inverse(self, col, row, height=None):
-        """(lon, lat) of pixels, by at most 20 steps with numeric slopes."""
+        """(lon, lat) of pixels: Newton's method with the polynomials' own derivatives, for all points at once."""
         col, row = np.atleast_1d(np.asarray(col, float)), np.atleast_1d(np.asarray(row, float))
-        height = np.full(col.shape, self.offset[4]) if height is None else np.broadcast_to(np.asarray(height, float), col.shape)
-        lat, lon = np.full(col.shape, self.offset[2]), np.full(col.shape, self.offset[3])
-        live = np.ones(col.shape, bool)
-        eps = 1e-7
-        for _ in range(20):
-            line, samp = self.forward(lat, lon, height)
-            dl, ds = row - line, col - samp
-            live &= ~((np.abs(dl) < 1e-9) & (np.abs(ds) < 1e-9))
-            if not live.any():
+        height = self.offset[4] if height is None else height
+        goal = np.stack(((row - 0.5 - self.offset[0]) / self.scale[0], (col - 0.5 - self.offset[1]) / self.scale[1]))
+        p = np.zeros((3, *col.shape))
+        p[2] = (np.asarray(height, float) - self.offset[4]) / self.scale[4]
+        for _ in range(25):
+            values = self._values(p)
+            now = self._ratios(values)
+            slopes = []  # of both ratios, by the quotient rule, along longitude and latitude
+            for axis in (0, 1):
+                d = self._values(p, axis)
+                below = np.where(np.abs(values[1::2]) > np.finfo(float).eps, values[1::2], 1.0)
+                slopes.append((d[::2] - now * d[1::2]) / below)
+            jacobian = np.moveaxis(np.array(slopes), (0, 1), (-1, -2))  # (..., ratio, axis)
+            solvable = np.abs(np.linalg.det(jacobian)) > 1e-14
+            step = np.linalg.solve(np.where(solvable[..., None, None], jacobian, np.eye(2)), np.moveaxis(goal - now, 0, -1)[..., None])[..., 0]
+            step = np.where(solvable[..., None], step, 0.0)
+            p[:2] += np.moveaxis(step, -1, 0)
+            if np.abs(step).max(initial=0) < 1e-14:
                 break
-            l1, s1 = self.forward(lat + eps, lon, height)
-            l2, s2 = self.forward(lat, lon + eps, height)
-            a, b, c, d = (l1 - line) / eps, (l2 - line) / eps, (s1 - samp) / eps, (s2 - samp) / eps
-            det = a * d - b * c
-            live &= np.abs(det) > np.finfo(float).eps
-            safe = np.where(live, det, 1)
-            lat = np.where(live, lat + (dl * d - ds * b) / safe, lat)
-            lon = np.where(live, lon + (-dl * c + ds * a) / safe, lon)
-        return lon, lat
+        return p[0] * self.scale[3] + self.offset[3], p[1] * self.scale[2] + self.offset[2]
 
     def on_terrain(self, col, row, height_at, steps: int = 5, tolerance: float = 1e-4):
         """(lon, lat) where the ray meets the ground: ``height_at(lon, lat)`` and the inverse in turn."""

@@ -1,7 +1,8 @@
 """Outlines of valid areas: cells, segments, rings, and their measures.
 
 Cells and segments are plain aggregations over pixels, spread over the cluster. Joining a raster's segments to rings is
-sequential; it is done per raster, on segments that were merged along straight runs first unless their vertices matter.
+sequential and done per raster; where the vertices within straight borders don't matter, ``rings(merge=True)`` unites runs
+on the cluster first, and a task gets a segment per bend instead of one per pixel.
 """
 
 from __future__ import annotations
@@ -11,12 +12,32 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Which edges a cell's outline joins, by cell code 8 * top left + 4 * top right + 2 * bottom right + bottom left.
-#: Edges: 0 top, 1 right, 2 bottom, 3 left. The two saddles have two pieces each.
-EDGES = {
-    1: [(3, 2)], 2: [(2, 1)], 3: [(3, 1)], 4: [(0, 1)], 5: [(0, 3), (2, 1)], 6: [(0, 2)], 7: [(0, 3)],
-    8: [(3, 0)], 9: [(0, 2)], 10: [(0, 1), (3, 2)], 11: [(0, 1)], 12: [(3, 1)], 13: [(2, 1)], 14: [(3, 2)],
-}
+#: Corners of a cell, clockwise from the top left, with their weights in its code. Edge k joins corner k and the next.
+CORNERS = ((0.0, 0.0, 8), (1.0, 0.0, 4), (1.0, 1.0, 2), (0.0, 1.0, 1))
+
+
+def edge_middle(k: int) -> tuple[float, float]:
+    """(x, y) of the middle of edge k, from the cell's top left corner."""
+    (x0, y0, _), (x1, y1, _) = CORNERS[k], CORNERS[(k + 1) % 4]
+    return (x0 + x1) / 2, (y0 + y1) / 2
+
+
+def pieces(code: int) -> list[tuple[int, int]]:
+    """Which edges a cell's outline joins, from the corners that are valid.
+
+    An edge is crossed where just one of its corners is valid. Two crossed edges are joined. Four are a saddle, two valid
+    corners across from each other: they are bridged, so each invalid corner is cut off by a piece between its two edges.
+    """
+    valid = [bool(code & w) for _, _, w in CORNERS]
+    crossed = [k for k in range(4) if valid[k] != valid[(k + 1) % 4]]
+    if len(crossed) < 4:
+        return [(crossed[0], crossed[1])] if crossed else []
+    return [tuple(sorted(((k - 1) % 4, k))) for k in range(4) if not valid[k]]
+
+
+def straight(code: int) -> int:
+    """The code whose one piece stands for a saddle where compatibility is asked for: both lose a valid corner's cut."""
+    return {5: 6, 10: 9}.get(code, code)
 
 
 def cells(mask: DataFrame, *by: str) -> DataFrame:
@@ -29,17 +50,31 @@ def cells(mask: DataFrame, *by: str) -> DataFrame:
 
 
 def segments(cell: DataFrame, compat: bool = False) -> DataFrame:
-    """x0, y0, x1, y1 in pixels; ``compat`` resolves saddles as one straight piece (5 as 6, 10 as 9), which is lossy."""
-    code = F.when(F.col("code") == 5, 6).when(F.col("code") == 10, 9).otherwise(F.col("code")) if compat else F.col("code")
-    by_code = F.create_map(*[x for k, v in EDGES.items() for x in (F.lit(k), F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in v]))])
-    point = lambda e, axis: F.element_at(F.array(*[F.lit(v) for v in ((0.5, 1.0, 0.5, 0.0) if axis == "x" else (0.0, 0.5, 1.0, 0.5))]), e + 1)
+    """x0, y0, x1, y1 in pixels, from the lower edge number to the higher; ``compat`` resolves a saddle as one straight
+    piece, which is lossy."""
+    codes = {k: pieces(straight(k) if compat else k) for k in range(1, 15)}
+    middle = [edge_middle(k) for k in range(4)]
+    segment = lambda i, j: F.struct(*[F.lit(v).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (*middle[i], *middle[j]), strict=True)])
+    by_code = F.create_map(*[x for k, v in codes.items() for x in (F.lit(k), F.array(*[segment(i, j) for i, j in v]))])
     keep = [c for c in cell.columns if c != "code"]
-    s = cell.where("code between 1 and 14").select(*keep, F.explode(by_code[code]).alias("e"))
-    return s.select(
-        *[c for c in keep if c not in ("row", "col")],
-        *[(F.col("col") + point(F.col(f"e.{k}"), "x")).alias(f"x{i}") for i, k in enumerate("ab")],
-        *[(F.col("row") + point(F.col(f"e.{k}"), "y")).alias(f"y{i}") for i, k in enumerate("ab")],
-    ).select(*[c for c in keep if c not in ("row", "col")], "x0", "y0", "x1", "y1")
+    s = cell.where("code between 1 and 14").select(*keep, F.explode(by_code[F.col("code")]).alias("e"))
+    return s.select(*[c for c in keep if c not in ("row", "col")], *[(F.col("col" if n[0] == "x" else "row") + F.col(f"e.{n}")).alias(n) for n in ("x0", "y0", "x1", "y1")])
+
+
+def merge_runs(segment: DataFrame, *by: str) -> DataFrame:
+    """Segments with straight runs made one segment each, so long borders are few rows; diagonal ones stay as they are.
+
+    Runs are found line by line, within a window per raster and line: a row number that grows like the position marks a run.
+    """
+    level, upright = segment.where("y0 = y1"), segment.where("x0 = x1")
+    out = segment.where("x0 <> x1 and y0 <> y1").select(*by, "x0", "y0", "x1", "y1")
+    for part, along, line in ((level, "x", "y"), (upright, "y", "x")):
+        ordered = part.select(*by, F.col(f"{line}0").alias("line"), F.least(f"{along}0", f"{along}1").alias("lo"), F.greatest(f"{along}0", f"{along}1").alias("hi"))
+        w = Window.partitionBy(*by, "line").orderBy("lo")
+        runs = ordered.withColumn("run", F.col("lo") - F.row_number().over(w)).groupBy(*by, "line", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        place = {f"{along}0": "lo", f"{along}1": "hi", f"{line}0": "line", f"{line}1": "line"}
+        out = out.unionByName(runs.select(*by, *[F.col(place[n]).alias(n) for n in ("x0", "y0", "x1", "y1")]))
+    return out
 
 
 def area(ring: list[tuple[float, float]]) -> float:
@@ -89,9 +124,13 @@ def join_rings(pieces: list[tuple[float, float, float, float]], compat: bool = F
 _RINGS = "ring_id int, n_vertices int, area double, pts array<struct<x:double,y:double>>"
 
 
-def rings(segment: DataFrame, by: str = "raster_id", compat: bool = False) -> DataFrame:
-    """A row per ring of each raster; a raster's segments are gathered, as their chain is one sequence."""
+def rings(segment: DataFrame, by: str = "raster_id", compat: bool = False, merge: bool = False) -> DataFrame:
+    """A row per ring of each raster; a raster's segments are gathered, as their chain is one sequence.
+
+    ``merge`` unites straight runs first: the same areas, fewer vertices.
+    """
     kind = dict(segment.dtypes)[by]
+    segment = merge_runs(segment, by) if merge else segment
 
     def run(pdf):
         import pandas as pd
@@ -160,6 +199,29 @@ def close(a: dict[str, Column], b: dict[str, Column], tolerance: float) -> Colum
     return near & (bbox_iou(a, b) >= 0.999)
 
 
+def rings_of_geojson(text: str) -> list[list[tuple[float, float]]]:
+    """All rings of a FeatureCollection, Feature or geometry (Polygon or MultiPolygon), without their closing points."""
+    out: list[list[tuple[float, float]]] = []
+    work = [json.loads(text)]
+    while work:
+        g = work.pop(0)
+        if g is None:
+            continue
+        kind = g.get("type")
+        if kind == "FeatureCollection":
+            work = [f.get("geometry") for f in g["features"]] + work
+        elif kind == "Feature":
+            work.insert(0, g.get("geometry"))
+        elif kind in ("Polygon", "MultiPolygon"):
+            for polygon in g["coordinates"] if kind == "MultiPolygon" else [g["coordinates"]]:
+                for ring in polygon:
+                    points = [(float(p[0]), float(p[1])) for p in ring]
+                    out.append(points[:-1] if len(points) > 1 and points[0] == points[-1] else points)
+        else:
+            raise ValueError(f"no outline: {kind}")
+    return out
+
+
 def hausdorff(a: Column, b: Column) -> Column:
     """Symmetric vertex-to-vertex distance of two point arrays, within the row."""
 
@@ -205,13 +267,16 @@ def _closed(pts: Column) -> Column:
     return F.concat(pts, F.slice(pts, F.lit(1), F.lit(1)))
 
 
-def geojson(ring: DataFrame, by: str = "raster_id", properties: tuple[str, ...] = ()) -> DataFrame:
-    """One FeatureCollection a raster: a MultiPolygon in which each ring is a polygon of its own."""
+def geojson(ring: DataFrame, by: str = "raster_id", properties: tuple[str, ...] = (), epsg: int | None = None) -> DataFrame:
+    """One FeatureCollection a raster: a MultiPolygon in which each ring is a polygon of its own.
+
+    ``epsg``: the system that the points are in, null for pixels and what isn't known.
+    """
     polygon = F.array(F.transform(_closed(F.col("pts")), lambda p: F.array(p.x, p.y)))
     grouped = ring.groupBy(by, *properties).agg(F.transform(F.array_sort(F.collect_list(F.struct("ring_id", polygon.alias("p")))), lambda s: s.p).alias("coordinates"))
     geometry = F.struct(F.lit("MultiPolygon").alias("type"), "coordinates")
-    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties, F.lit(4326).alias("epsg")).alias("properties"))
-    return grouped.select(by, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("geojson"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties, F.lit(epsg).cast("int").alias("epsg")).alias("properties"))
+    return grouped.select(by, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features")), {"ignoreNullFields": "false"}).alias("geojson"))
 
 
 EMPTY_GEOJSON = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": None, "properties": {"empty": True}}]})

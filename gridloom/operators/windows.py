@@ -19,7 +19,8 @@ class Affine:
     sky: float
     ph: float
 
-    def to_map(self, col: float, row: float) -> tuple[float, float]:
+    def to_map(self, col, row):
+        """(x, y) of a pixel: of numbers, arrays or Columns."""
         return self.ox + col * self.pw + row * self.skx, self.oy + col * self.sky + row * self.ph
 
     def to_pixel(self, x: float, y: float) -> tuple[float, float]:

@@ -160,10 +160,10 @@ def _overlap(spark, sf_dir):
     return tiles.overlap(spark, 1000, 700, 256, 96).withColumn("n_pixels", F.col("n_pixels").cast("long"))
 
 
-@query("pad_edge_tiles", f"WITH {_LI}, {_LIP} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, CAST(band AS INTEGER) AS band, round(value, 6) AS value FROM lip WHERE row < 40 UNION ALL SELECT r, c, b, 0.0 FROM generate_series(0, 47) AS x(r), generate_series(0, 95) AS y(c), generate_series(1, 4) AS z(b) WHERE r >= 40 OR c >= 64")
+@query("pad_edge_tiles", f"WITH {_LI}, {_LIP}, s AS (SELECT max(l_suppkey) + 1 AS h FROM lineitem) SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, CAST(band AS INTEGER) AS band, round(value, 6) AS value FROM lip UNION ALL SELECT r, c, b, 0.0 FROM s, generate_series(0, CAST(ceil(h / 48.0) * 48 AS BIGINT) - 1) AS x(r), generate_series(0, 95) AS y(c), generate_series(1, 4) AS z(b) WHERE r >= h OR c >= 64")
 def _pad(spark, sf_dir):
-    p = rasters.bands_to_pixels(rasters.sales_cells(spark, sf_dir)).where("row < 40")
-    return _cast(tiles.pad(p, 64, 40, 48))
+    height = (rasters.table(spark, sf_dir, "lineitem").agg(F.max("l_suppkey")).first()[0] or 0) + 1
+    return _cast(tiles.pad(rasters.bands_to_pixels(rasters.sales_cells(spark, sf_dir)), 64, height, 48))
 
 
 @query("planar_block_renumber", "SELECT CAST((n - 1) * 6 + t AS BIGINT) AS block_index, CAST(n AS INTEGER) AS band, CAST((o - 1) * 6 + t AS BIGINT) AS source_block FROM (VALUES (1, 3), (2, 1), (3, 3)) AS m(n, o), generate_series(0, 5) AS g(t)")
@@ -293,14 +293,15 @@ def _choose_georef(spark, sf_dir):
 
 
 _CELLS = f"{_EMB}, v AS (SELECT row, col FROM emb WHERE value > 0), cell AS (SELECT row + dr AS row, col + dc AS col, sum(w) AS code FROM v, (VALUES (1, 1, 8), (1, 0, 4), (0, 0, 2), (0, 1, 1)) AS k(dr, dc, w) GROUP BY ALL)"
-_PIECES = ", ".join(f"({c}, {n}, {a}, {b})" for c, v in footprint.EDGES.items() for n, (a, b) in enumerate(v))
-_POINT = "CASE {e} WHEN 0 THEN {p0} WHEN 1 THEN {p1} WHEN 2 THEN {p2} ELSE {p3} END"
+#: Segments from the four corner bits: the crossed edges of a cell, and for a saddle, the two cuts around what isn't valid.
+_SEG = """bit AS (SELECT row, col, code >= 8 AS tl, code % 8 >= 4 AS tr, code % 4 >= 2 AS br, code % 2 = 1 AS bl FROM cell),
+ crossed AS (SELECT *, list_filter([CASE WHEN tl <> tr THEN 0 END, CASE WHEN tr <> br THEN 1 END, CASE WHEN br <> bl THEN 2 END, CASE WHEN bl <> tl THEN 3 END], lambda v: v IS NOT NULL) AS e FROM bit),
+ joined AS (SELECT row, col, unnest(CASE WHEN len(e) = 2 THEN [[e[1], e[2]]] WHEN len(e) = 4 AND tl THEN [[0, 1], [2, 3]] WHEN len(e) = 4 THEN [[0, 3], [1, 2]] ELSE [] END) AS p FROM crossed),
+ seg AS (SELECT col + [0.5, 1, 0.5, 0][p[1] + 1] AS x0, row + [0, 0.5, 1, 0.5][p[1] + 1] AS y0, col + [0.5, 1, 0.5, 0][p[2] + 1] AS x1, row + [0, 0.5, 1, 0.5][p[2] + 1] AS y1 FROM joined)"""
 
 
 def _seg_sql() -> str:
-    x = lambda e: f"col + {_POINT.format(e=e, p0=0.5, p1=1.0, p2=0.5, p3=0.0)}"
-    y = lambda e: f"row + {_POINT.format(e=e, p0=0.0, p1=0.5, p2=1.0, p3=0.5)}"
-    return f"seg AS (SELECT {x('a')} AS x0, {y('a')} AS y0, {x('b')} AS x1, {y('b')} AS y1 FROM cell JOIN (VALUES {_PIECES}) AS e(c, n, a, b) ON code = c)"
+    return _SEG
 
 
 def _valid(spark, sf_dir):
@@ -379,22 +380,28 @@ def _hausdorff(spark, sf_dir):
 @query("affine_apply", f"WITH {_EMB} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(CAST(10.0 + col * 0.5 + row * 0.1 AS DOUBLE), 6) AS x, round(CAST(300.0 + col * 0.2 - row * 0.5 AS DOUBLE), 6) AS y FROM emb")
 def _affine_apply(spark, sf_dir):
     p = rasters.vectors(spark, sf_dir).select(F.col("row").cast("long"), F.col("col").cast("long"))
-    return p.select("row", "col", F.round(10.0 + F.col("col") * 0.5 + F.col("row") * 0.1, 6).alias("x"), F.round(300.0 + F.col("col") * 0.2 - F.col("row") * 0.5, 6).alias("y"))
+    x, y = windows.Affine(10.0, 0.5, 0.1, 300.0, 0.2, -0.5).to_map(F.col("col"), F.col("row"))
+    return p.select("row", "col", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-_TIES = [(0.0, 0.0, 10.0, 30.0), (39.0, 0.0, 11.0, 30.0), (0.0, 29.0, 10.0, 29.0), (39.0, 29.0, 11.0, 29.0), (20.0, 15.0, 10.5, 29.5)]
+#: Two slopes of a plane from variances and covariances, where the operator solves the normal equations.
+_PLANE_SQL = """WITH p AS (SELECT l_returnflag AS f, CAST(l_quantity AS DOUBLE) AS c, CAST(l_linenumber AS DOUBLE) AS r, CAST(l_extendedprice AS DOUBLE) / 1000 AS x, CAST(l_tax AS DOUBLE) * 100 AS y FROM lineitem),
+ m AS (SELECT f, avg(c) AS mc, avg(r) AS mr, avg(x) AS mx, avg(y) AS my, var_pop(c) AS vc, var_pop(r) AS vr, covar_pop(c, r) AS cr, covar_pop(c, x) AS cx, covar_pop(r, x) AS rx, covar_pop(c, y) AS cy, covar_pop(r, y) AS ry FROM p GROUP BY f),
+ b AS (SELECT *, (cx * vr - rx * cr) / (vc * vr - cr * cr) AS xc, (rx * vc - cx * cr) / (vc * vr - cr * cr) AS xr, (cy * vr - ry * cr) / (vc * vr - cr * cr) AS yc, (ry * vc - cy * cr) / (vc * vr - cr * cr) AS yr FROM m)
+ SELECT f, round(mx - xc * mc - xr * mr, 6) AS ox, round(xc, 6) AS pw, round(xr, 6) AS skx, round(my - yc * mc - yr * mr, 6) AS oy, round(yc, 6) AS sky, round(yr, 6) AS ph FROM b"""
 
 
-@query("affine_fit", "SELECT round(regr_slope(s, c), 6) AS price_per_unit, round(regr_intercept(s, c), 6) AS price_at_zero FROM (SELECT CAST(l_quantity AS DOUBLE) AS c, CAST(l_extendedprice AS DOUBLE) AS s FROM lineitem)")
+@query("affine_fit", _PLANE_SQL)
 def _affine_fit(spark, sf_dir):
-    li = rasters.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("col"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
-    # The second axis is made of two parallel rows, so the plane's slope along the first is the plain regression's.
-    both = li.select("col", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("row"), "x", "y")
-    return _rounded(geo.fit_affine(both).select(F.col("pw").alias("price_per_unit"), F.col("ox").alias("price_at_zero")), "price_per_unit", "price_at_zero")
+    li = rasters.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("f"), F.col("l_quantity").cast("double").alias("col"), F.col("l_linenumber").cast("double").alias("row"), (F.col("l_extendedprice") / 1000).alias("x"), (F.col("l_tax") * 100).alias("y")
+    )
+    return _rounded(geo.fit_affine(li, "f"), "ox", "pw", "skx", "oy", "sky", "ph")
 
 
-def _model(spark, sf_dir, model, where="row < 30 and col < 40"):
-    p = rasters.vectors(spark, sf_dir).where(where).select(F.col("row").cast("long"), F.col("col").cast("long"))
+def _model(spark, sf_dir, model):
+    """Coordinates of every pixel of the vector raster."""
+    p = rasters.vectors(spark, sf_dir).select(F.col("row").cast("long"), F.col("col").cast("long"))
 
     def run(batches):
         for pdf in batches:
@@ -404,21 +411,26 @@ def _model(spark, sf_dir, model, where="row < 30 and col < 40"):
     return _rounded(p.mapInPandas(run, "row long, col long, x double, y double"), "x", "y")
 
 
-@query("gcp_grid", f"WITH {_EMB} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(10 + CAST(col AS DOUBLE) / 39, 6) AS x, round(30 - CAST(row AS DOUBLE) / 29, 6) AS y FROM emb WHERE row < 30 AND col < 40")
+@query("gcp_grid", f"WITH {_EMB}, {_SIZE} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(10 + CASE WHEN col <= 20 THEN col / 20.0 ELSE 1 + (col - 20) * 2 / 43.0 END, 6)::DOUBLE AS x, round(30 - CAST(row AS DOUBLE) / (h - 1) + CASE WHEN col <= 20 THEN col / 40.0 ELSE 0.5 END, 6)::DOUBLE AS y FROM emb, dim")
 def _gcp_grid(spark, sf_dir):
-    return _model(spark, sf_dir, geo.Grid.of(_TIES[:4]))
+    last = _height(spark, sf_dir) - 1.0
+    ties = [(c, r, x, y - r / last) for c, x, y in ((0.0, 10.0, 30.0), (20.0, 11.0, 30.5), (63.0, 13.0, 30.5)) for r in (0.0, last)]
+    return _model(spark, sf_dir, geo.Grid.of(ties))
 
 
-def _tps_sql() -> str:
-    s = geo.Spline.of(_TIES)
-    u = lambda c, r: f"CASE WHEN pow(col - {c!r}, 2) + pow(row - {r!r}, 2) > 0 THEN 0.5 * (pow(col - {c!r}, 2) + pow(row - {r!r}, 2)) * ln(pow(col - {c!r}, 2) + pow(row - {r!r}, 2)) ELSE 0 END"
-    axis = lambda k: " + ".join([f"({float(w)!r}) * {u(float(c), float(r))}" for c, r, w in zip(s.col, s.row, s.weights[:-3, k], strict=True)] + [f"({float(s.weights[-3, k])!r}) + ({float(s.weights[-2, k])!r}) * col + ({float(s.weights[-1, k])!r}) * row"])
-    return f"WITH {_EMB} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round({axis(0)}, 6) AS x, round({axis(1)}, 6) AS y FROM emb WHERE row < 30 AND col < 40"
+#: Four corners of a square and its centre. By symmetry the corners have one weight and the centre minus four times it, so
+#: the spline has a closed form: a plane, and a bump that is 0 at the corners and 1 at the centre.
+_TPS_SQL = f"""WITH {_EMB}, u AS (SELECT 0.5 * q * ln(q) AS half, 0.5 * 4 * s * ln(4 * s) AS side, 0.5 * 2 * 4 * s * ln(2 * 4 * s) AS diagonal, s FROM (SELECT 31.5 * 31.5 AS s, 2 * 31.5 * 31.5 AS q)),
+ w AS (SELECT 1 / (8 * half - 2 * side - diagonal) AS w, half FROM u),
+ k AS (SELECT row, col, [pow(col, 2) + pow(row, 2), pow(col - 63, 2) + pow(row, 2), pow(col, 2) + pow(row - 63, 2), pow(col - 63, 2) + pow(row - 63, 2), pow(col - 31.5, 2) + pow(row - 31.5, 2)] AS d FROM emb),
+ b AS (SELECT row, col, 1 - 4 * w * half + w * (list_sum(list_transform(d[1:4], lambda v: CASE WHEN v > 0 THEN 0.5 * v * ln(v) ELSE 0 END)) - 4 * CASE WHEN d[5] > 0 THEN 0.5 * d[5] * ln(d[5]) ELSE 0 END) AS bump FROM k, w)
+ SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(10 + 0.5 * col + bump, 6) AS x, round(30 - 0.25 * row + 2 * bump, 6) AS y FROM b"""
 
 
-@query("tps_eval", _tps_sql())
+@query("tps_eval", _TPS_SQL)
 def _tps(spark, sf_dir):
-    return _model(spark, sf_dir, geo.Spline.of(_TIES))
+    corners = [(c, r, 10 + 0.5 * c, 30 - 0.25 * r) for c in (0.0, 63.0) for r in (0.0, 63.0)]
+    return _model(spark, sf_dir, geo.Spline.of([*corners, (31.5, 31.5, 10 + 0.5 * 31.5 + 1, 30 - 0.25 * 31.5 + 2)]))
 
 
 @query("webmercator_to_wgs84", "SELECT c_custkey, round(degrees(CAST(c_custkey AS DOUBLE) * 1000 / 6378137), 6) AS lon, round(degrees(2 * atan(exp(c_acctbal * 500 / 6378137.0)) - pi() / 2), 6) AS lat FROM customer")
@@ -428,7 +440,23 @@ def _mercator(spark, sf_dir):
     return c.select("c_custkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-@query("utm_to_wgs84")
+def _utm_sql() -> str:
+    """The inverse series to the fourth order in the third flattening, and latitude by a series of its own."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    a = 6_378_137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    back = (n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 / 1440 * n**4, 17 / 480 * n**3 - 37 / 840 * n**4, 4397 / 161280 * n**4)
+    lat = (2 * n - 2 / 3 * n**2 - 2 * n**3 + 116 / 45 * n**4, 7 / 3 * n**2 - 8 / 5 * n**3 - 227 / 45 * n**4, 56 / 15 * n**3 - 136 / 35 * n**4, 4279 / 630 * n**4)
+    u = " - ".join(["xi", *(f"{b!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(back, 1))])
+    v = " - ".join(["eta", *(f"{b!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(back, 1))])
+    phi = " + ".join(["chi", *(f"{d!r} * sin({2 * j} * chi)" for j, d in enumerate(lat, 1))])
+    return f"""WITH c AS (SELECT c_custkey, c_custkey * 100.0 + 300000 AS x, c_acctbal * 100 + 4000000 AS y FROM customer),
+ s AS (SELECT *, CAST(y AS DOUBLE) / {a!r} AS xi, (CAST(x AS DOUBLE) - 500000) / {a!r} AS eta FROM c),
+ t AS (SELECT *, {u} AS u, {v} AS v FROM s), q AS (SELECT *, asin(sin(u) / cosh(v)) AS chi FROM t)
+ SELECT c_custkey, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(69 + degrees(atan2(sinh(v), cos(u))), 6) AS lon, round(degrees({phi}), 6) AS lat, true AS known FROM q"""
+
+
+@query("utm_to_wgs84", _utm_sql())
 def _utm(spark, sf_dir):
     c = rasters.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 100.0 + 300_000).alias("x"), (F.col("c_acctbal") * 100 + 4_000_000).alias("y"))
     return _rounded(geo.reproject(c, 32642), "lon", "lat")
@@ -442,10 +470,16 @@ def rpc_example() -> list[float]:
     return [0.0, 0.0, 500.0, 400.0, 45.0, 9.0, 200.0, 500.0, 400.0, 0.05, 0.07, 500.0, *line_num, *den, *samp_num, *den]
 
 
-@query("rpc_inverse")
+#: The example's polynomials by hand, at the height offset; turned round by repeated substitution, as they are nearly linear.
+_RPC_SQL = f"""WITH RECURSIVE {_EMB}, g AS (SELECT row, col, (row * 10.0 - 500.5) / 500 AS l, (col * 10.0 - 400.5) / 400 AS s FROM emb),
+ i AS (SELECT row, col, l, s, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, 0 AS n FROM g UNION ALL SELECT row, col, l, s, s - 0.01 * y - 0.002 * x * x, 0.02 * x + 0.003 * x * y - l, n + 1 FROM i WHERE n < 40)
+ SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(9 + 0.07 * x, 6) AS x, round(45 + 0.05 * y, 6) AS y FROM i WHERE n = 40"""
+
+
+@query("rpc_inverse", _RPC_SQL)
 def _rpc(spark, sf_dir):
     model = geo.Rpc(rpc_example())
-    return _model(spark, sf_dir, lambda col, row: model.inverse(col * 10.0, row * 10.0), "true")
+    return _model(spark, sf_dir, lambda col, row: model.inverse(col * 10.0, row * 10.0))
 
 
 @query("simplify_dp")
@@ -522,11 +556,7 @@ def _batch_status(spark, sf_dir):
     return layout.batch_counts(_plan(spark, sf_dir))
 
 
-@query("subsample_gcps", "SELECT s_suppkey, s_nationkey FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier) WHERE i % CAST(ceil(n / 40.0) AS BIGINT) = 0")
+@query("subsample_gcps", "SELECT s_suppkey, s_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier) WHERE i % greatest(1, CAST(ceil(n / 3.0) AS BIGINT)) = 0")
 def _subsample(spark, sf_dir):
-    from pyspark.sql import Window
-
-    s = rasters.table(spark, sf_dir, "supplier")
-    stride = max(1, -(-s.count() // 40))
-    i = F.row_number().over(Window.orderBy("s_suppkey")) - 1
-    return s.withColumn("i", i).where(F.col("i") % stride == 0).select("s_suppkey", "s_nationkey")
+    """Suppliers as tie points, nations as rasters."""
+    return geo.subsample(rasters.table(spark, sf_dir, "supplier"), 3, "s_suppkey", "s_nationkey").select("s_suppkey", "s_nationkey")
