@@ -47,7 +47,7 @@ def info(path: str) -> dict:
         if head[4:8] in (b"jP  ", b"ftyp") or (head[:2] not in (b"II", b"MM") and path.split("?")[0].lower().endswith((".jp2", ".j2k", ".j2c"))):
             f.seek(0)
             data = f.read()
-            return {"raster_id": path.rsplit("/", 1)[-1], "path": path, "driver": "JP2OpenJPEG", "compression": "jpeg2000", "tiled": True, "overviews": [], "gml": sidecar.jp2_xml(data)} | sidecar.jp2_header(data)
+            return {"raster_id": path, "path": path, "driver": "JP2OpenJPEG", "compression": "jpeg2000", "tiled": True, "overviews": [], "gml": sidecar.jp2_xml(data)} | sidecar.jp2_header(data)
         return tiff.profile(path, tiff.parse(f))
 
 
@@ -284,18 +284,30 @@ def batch(spark: SparkSession, paths: DataFrame, folder: str, kind: str = "cog",
 
     ``paths`` has a column path; ``folder`` is one that all executors share. Kinds: cog, footprint.
     """
-    import os
+    from pyarrow import fs
 
     extension = ".tif" if kind == "cog" else {"geojson": ".geojson", "wkt": ".wkt", "flat": ".wkt.txt"}[(options or FootprintOptions()).format]
-    os.makedirs(folder, exist_ok=True)
-    existing = spark.createDataFrame([(n,) for n in os.listdir(folder)], "output string")
+    system, base = tiff.file_system(folder)
+    system.create_dir(base, recursive=True)
+    # Files get their names when they are complete; what an executor left unfinished is a .part and counts for nothing.
+    names = [i.base_name for i in system.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.File and not i.base_name.endswith(".part")]
+    existing = spark.createDataFrame([(n,) for n in names], "output string")
 
     def job(path: str, output: str) -> None:
         if kind == "cog":
             cog.convert(path, f"{folder}/{output}", options)
         else:
-            with open(f"{folder}/{output}", "w") as out:
-                out.write(footprint(path, options)["body"])
+            write_text(f"{folder}/{output}", footprint(path, options)["body"])
 
     return layout.run_batch(layout.batch_plan(sidecar.listing(paths), existing, extension, overwrite), job)
 
+
+def write_text(target: str, text: str) -> None:
+    """Write a text file under a name of its own, then give it its name."""
+    import uuid
+
+    system, name = tiff.file_system(target)
+    held = f"{name}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(held) as out:
+        out.write(text.encode())
+    system.move(held, name)

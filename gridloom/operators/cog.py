@@ -3,17 +3,24 @@
 A file is written front to back: header, structural metadata, all directories, then overview blocks from the smallest
 level up, and the base image last. Overviews are sub-directories of the base; with a mask, all directories are in one
 chain: base, its mask, overviews, their masks.
+
+Nothing holds a whole image. Each layer is encoded some blocks at a time into a part of its own beside the target; an
+overview is made from the part before it, read back by windows; then the parts are joined under a unique name, and the file
+gets its own name only when it is complete. Overviews and masks that the source has are taken from it, and blocks that are
+the same in the output are copied as they are.
 """
 
 from __future__ import annotations
 
+import io
 import struct
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from gridloom.operators import layout, resample
+from gridloom.operators import layout, resample, windows
 from gridloom.sources import tiff
 
 _CODES = {"none": 1, "lzw": 5, "deflate": 8, "zstd": 50000}
@@ -32,6 +39,7 @@ class Options:
     mask_from_alpha: bool = True
     black_rgb: bool = False
     planar: bool = False
+    fresh: bool = False  # make overviews anew even where the source has them
 
 
 def shrink(a: np.ndarray, scale: int, method: str, nodata: float | None = None) -> np.ndarray:
@@ -75,94 +83,270 @@ def _taps(size: int, scale: int, method: str) -> np.ndarray:
     return out
 
 
-def synthesise_mask(a: np.ndarray, photometric: str, extra: list[str], options: Options) -> np.ndarray | None:
-    """255 where valid, from alpha or from black, or None."""
+def mask_maker(photometric: str, extra: list[str], bands: int, dtype: np.dtype, options: Options):
+    """A function from samples (rows, cols, all bands) to 255 where valid, from alpha or from black; or None."""
     alpha = next((i for i, e in enumerate(extra) if "alpha" in e), None)
     if options.mask_from_alpha and alpha is not None:
-        return np.where(a[:, :, a.shape[2] - len(extra) + alpha] > 0, 255, 0).astype(np.uint8)[:, :, None]
-    if options.black_rgb and a.shape[2] == 3 and photometric == "rgb" and not extra and a.dtype == np.uint8:
-        return np.where((a != 0).any(axis=2), 255, 0).astype(np.uint8)[:, :, None]
+        band = bands - len(extra) + alpha
+        return lambda a: np.where(a[:, :, band : band + 1] > 0, 255, 0).astype(np.uint8)
+    if options.black_rgb and bands == 3 and photometric == "rgb" and not extra and dtype == np.uint8:
+        return lambda a: np.where((a != 0).any(axis=2, keepdims=True), 255, 0).astype(np.uint8)
     return None
 
 
-def _blocks(a: np.ndarray, options: Options, predictor: int, planar: bool, copy=None):
-    """Compressed blocks in order; edge blocks are filled up with 0. ``copy(plane, row, col)`` gives those that can be
-    taken from the source as they are, or None."""
-    size = options.block
-    planes = [a[:, :, i : i + 1] for i in range(a.shape[2])] if planar else [a]
-    for n, plane in enumerate(planes):
-        for r in range(0, a.shape[0], size):
-            for c in range(0, a.shape[1], size):
-                if copy and r + size <= a.shape[0] and c + size <= a.shape[1] and (same := copy(n, r, c)) is not None:
-                    yield same
-                    continue
-                part = plane[r : r + size, c : c + size]
-                part = np.pad(part, ((0, size - part.shape[0]), (0, size - part.shape[1]), (0, 0)))
-                part = tiff.predict(part, predictor)
-                yield tiff.compress(options.codec, part.astype(part.dtype.newbyteorder("<")).tobytes(), options.level)
-
-
 def encode_predictor(codec: str, dtype: np.dtype) -> int:
     return 2 if codec != "none" and dtype.kind in "iu" else 1
 
 
-def copier(f, base: tiff.Layer, options: Options, col: int, row: int):
-    """copy(plane, row, col) of whole source blocks, where codec, predictor, block size, layout and byte order are the
-    output's and the window is aligned; else None, and everything is encoded anew. Bands that are selected from planes
-    are a renumbering; of chunky blocks they are not."""
-    size = options.block
-    planes = options.bands or list(range(1, base.bands + 1))
-    whole = list(planes) == list(range(1, base.bands + 1))
-    alike = base.tiled and base.block == (size, size) and base.codec == options.codec and base.planar == options.planar and base.order == "<"
-    if not alike or col % size or row % size or not (base.planar or whole) or base.predictor != encode_predictor(options.codec, base.dtype):
+class Scratch:
+    """Where encoded layers wait for their file: beside the target, or in memory for a stream of one's own."""
+
+    def __init__(self, target: str | None = None):
+        self.system, name = tiff.file_system(target) if target else (None, "")
+        self.stem, self.made = f"{name}.{uuid.uuid4().hex}", []
+
+    def create(self):
+        self.made.append(f"{self.stem}.{len(self.made)}.part" if self.system else io.BytesIO())
+        return len(self.made) - 1, self.system.open_output_stream(self.made[-1]) if self.system else self.made[-1]
+
+    def open(self, n: int):
+        return self.system.open_input_file(self.made[n]) if self.system else io.BytesIO(self.made[n].getvalue())
+
+    def clear(self) -> None:
+        from pyarrow import fs
+
+        if self.system:
+            for name in self.made:
+                if self.system.get_file_info(name).type != fs.FileType.NotFound:
+                    self.system.delete_file(name)
+
+
+class Pixels:
+    """A layer that is an array (rows, cols, bands)."""
+
+    def __init__(self, a: np.ndarray):
+        self.a = a
+        self.height, self.width, self.bands = a.shape
+        self.dtype = a.dtype.newbyteorder("=")
+
+    def read(self, col: int, row: int, width: int, height: int) -> np.ndarray:
+        return self.a[row : row + height, col : col + width]
+
+    def copy(self, plane: int, row: int, col: int) -> bytes | None:
         return None
 
-    def copy(plane: int, r: int, c: int) -> bytes | None:
-        if row + r + size > base.height or col + c + size > base.width:
+
+class FromFile:
+    """A window of a file's layer, some of its bands. Of a mask, 255 where it isn't 0.
+
+    ``copy`` gives a compressed block where it is the output's as it stands: codec, predictor, block size, layout and byte
+    order alike, the window aligned, the block whole. Planes are renumbered; chunky blocks have all bands or are coded anew.
+    """
+
+    def __init__(self, f, layer: tiff.Layer, window: tuple[int, int, int, int], bands: list[int] | None = None, options: Options | None = None, mask: bool = False):
+        self.f, self.layer, self.mask = f, layer, mask
+        self.col, self.row, self.width, self.height = window
+        self.chosen = [1] if mask else bands or list(range(1, layer.bands + 1))
+        self.bands, self.dtype = len(self.chosen), np.dtype(np.uint8) if mask else layer.dtype.newbyteorder("=")
+        self.size, whole = options.block if options else 0, self.chosen == list(range(1, layer.bands + 1))
+        self.alike = bool(
+            options and layer.tiled and layer.block == (self.size, self.size) and layer.codec == options.codec and layer.order == "<" and self.col % self.size == 0 and self.row % self.size == 0
+            and (layer.planar and options.planar and not mask or whole and not layer.planar and (mask or not options.planar))
+            and layer.predictor == (1 if mask else encode_predictor(options.codec, layer.dtype)) and (not mask or layer.bits == 8)
+        )
+
+    def read(self, col: int, row: int, width: int, height: int) -> np.ndarray:
+        a = tiff.read_window(self.f, self.layer, self.col + col, self.row + row, width, height, self.chosen)
+        return np.where(a > 0, 255, 0).astype(np.uint8) if self.mask else a
+
+    def copy(self, plane: int, row: int, col: int) -> bytes | None:
+        row, col = self.row + row, self.col + col
+        # A block at the source's own edge was filled up by its writer, and may be at the output's edge only.
+        whole = row + self.size <= self.layer.height and col + self.size <= self.layer.width
+        if not self.alike or not whole:
             return None
-        index = (row + r) // size * base.across + (col + c) // size
-        return tiff.payload(f, base, index + ((planes[plane] - 1) * base.across * base.down if base.planar else 0))
+        index = row // self.size * self.layer.across + col // self.size
+        return tiff.payload(self.f, self.layer, index + ((self.chosen[plane] - 1) * self.layer.across * self.layer.down if self.layer.planar else 0))
+
+
+class Smaller:
+    """A layer at 1 / scale of another. A window is made from the window behind it and a margin that covers all taps."""
+
+    MARGIN = 2
+
+    def __init__(self, source, scale: int, method: str, nodata: float | None = None):
+        self.source, self.scale, self.method, self.nodata = source, scale, method, nodata
+        self.width, self.height = max(1, source.width // scale), max(1, source.height // scale)
+        self.bands, self.dtype = source.bands, source.dtype
+
+    def read(self, col: int, row: int, width: int, height: int) -> np.ndarray:
+        (c0, c1, x0, x1), (r0, r1, y0, y1) = (self._behind(at, n, size, whole) for at, n, size, whole in ((col, width, self.width, self.source.width), (row, height, self.height, self.source.height)))
+        a = shrink(self.source.read(x0, y0, x1 - x0, y1 - y0), self.scale, self.method, self.nodata)
+        return a[row - r0 : row - r0 + height, col - c0 : col - c0 + width]
+
+    def _behind(self, at: int, n: int, size: int, whole: int) -> tuple[int, int, int, int]:
+        lo, hi = max(0, at - self.MARGIN), min(size, at + n + self.MARGIN)
+        return lo, hi, lo * self.scale, whole if hi == size else hi * self.scale
+
+    def copy(self, plane: int, row: int, col: int) -> bytes | None:
+        return None
+
+
+class Synthesised:
+    """The mask of an image with alpha, or of a colour image whose black is nothing."""
+
+    def __init__(self, source, make):
+        self.source, self.make = source, make
+        self.width, self.height, self.bands, self.dtype = source.width, source.height, 1, np.dtype(np.uint8)
+
+    def read(self, col: int, row: int, width: int, height: int) -> np.ndarray:
+        return self.make(self.source.read(col, row, width, height))
+
+    def copy(self, plane: int, row: int, col: int) -> bytes | None:
+        return None
+
+
+@dataclass
+class Encoded:
+    """A layer whose blocks are in the scratch: its tags, the sizes of its blocks, and where they are."""
+
+    place: int
+    width: int
+    height: int
+    bands: int
+    dtype: np.dtype
+    counts: list[int]
+    reduced: bool
+    mask: bool
+    planar: bool
+    predictor: int
+    options: Options
 
-    return copy
+    def layer(self) -> tiff.Layer:
+        """As a directory of the scratch file, so that it can be read like any other."""
+        offsets = np.concatenate(([0], np.cumsum(self.counts)[:-1])).astype(int).tolist()
+        return tiff.Layer({
+            256: (self.width,), 257: (self.height,), 258: (self.dtype.itemsize * 8,) * self.bands, 259: (_CODES[self.options.codec],), 277: (self.bands,), 284: (2 if self.planar else 1,), 317: (self.predictor,),
+            322: (self.options.block,), 323: (self.options.block,), 324: tuple(o + 1 for o in offsets), 325: tuple(self.counts), 339: ({"u": 1, "i": 2, "f": 3}[self.dtype.kind],) * self.bands,
+        }, "<")
 
+    def source(self, scratch: Scratch, keep: list) -> FromFile:
+        keep.append(scratch.open(self.place))
+        return FromFile(_Shifted(keep[-1]), self.layer(), (0, 0, self.width, self.height))
 
-def write(out, image: np.ndarray, options: Options, *, photometric: str = "minisblack", extra: list[str] | None = None, nodata: str | None = None, epsg: int | None = None,
-          affine: tuple | None = None, tiepoints: list[tuple] | None = None, mask: np.ndarray | None = None, extra_tags: dict | None = None, copy=None) -> None:
-    """Write (rows, cols, bands) with its overviews to an open stream."""
+
+class _Shifted:
+    """A file whose offsets count from 1, as an offset of 0 stands for a block that isn't there."""
+
+    def __init__(self, f):
+        self.f = f
+
+    def seek(self, at: int) -> None:
+        self.f.seek(at - 1)
+
+    def read(self, n: int) -> bytes:
+        return self.f.read(n)
+
+
+SAMPLES = 16 << 20  # of a layer that are decoded at once, at most, but for one row of blocks in one column
+
+
+def block_bytes(part: np.ndarray, options: Options, predictor: int) -> bytes:
+    """A compressed block; at the edge it is filled up with 0."""
+    size = options.block
+    part = np.pad(part, ((0, size - part.shape[0]), (0, size - part.shape[1]), (0, 0)))
+    part = tiff.predict(part, predictor)
+    return tiff.compress(options.codec, part.astype(part.dtype.newbyteorder("<")).tobytes(), options.level)
+
+
+def encode(source, options: Options, scratch: Scratch, reduced: bool, mask: bool) -> Encoded:
+    """Encode a layer into the scratch, some blocks of a row at a time."""
+    size, planar = options.block, options.planar and not mask
+    predictor = 1 if mask else encode_predictor(options.codec, source.dtype)
+    wide = max(1, SAMPLES // (size * size * source.bands)) * size
+    counts: list[int] = []
+    place, out = scratch.create()
+    for plane in range(source.bands) if planar else [0]:
+        for r in range(0, source.height, size):
+            for lo in range(0, source.width, wide):
+                held = None
+                for c in range(lo, min(source.width, lo + wide), size):
+                    data = source.copy(plane, r, c) if r + size <= source.height and c + size <= source.width else None
+                    if data is None:
+                        if held is None:
+                            held = source.read(lo, r, min(wide, source.width - lo), min(size, source.height - r))
+                            held = held[:, :, plane : plane + 1] if planar else held
+                        data = block_bytes(held[:, c - lo : c - lo + size], options, predictor)
+                    out.write(data)
+                    counts.append(len(data))
+    if scratch.system:
+        out.close()
+    return Encoded(place, source.width, source.height, source.bands, source.dtype, counts, reduced, mask, planar, predictor, options)
+
+
+def encode_all(base, mask, options: Options, scratch: Scratch, nodata: float | None, scales: list[int], given=None, given_mask=None, first: Encoded | None = None) -> list[Encoded]:
+    """The base, its mask, overviews and their masks. ``given(scale)`` is a source's own overview of a scale, or None;
+    ``first`` the base, where it is encoded already. A level that is twice the one before is made from it."""
+    keep: list = []
+
+    def levels(top, is_mask: bool, own) -> list[Encoded]:
+        out = [first if first and not is_mask else encode(top, options, scratch, False, is_mask)]
+        readable, before = top, 1
+        for s in scales:
+            chained = before > 0 and s == 2 * before
+            method = "nearest" if is_mask else options.resampling
+            layer = (own and own(s)) or Smaller(readable if chained else top, 2 if chained else s, method, None if is_mask else nodata)
+            out.append(encode(layer, options, scratch, True, is_mask))
+            readable, before = out[-1].source(scratch, keep), s
+        return out
+
+    try:
+        images = levels(base, False, given)
+        masks = levels(mask, True, given_mask) if mask is not None else []
+    finally:
+        for f in keep:
+            f.close()
+    return [images[0], *masks[:1], *images[1:], *masks[1:]]
+
+
+def write(out, image: np.ndarray, options: Options, *, mask: np.ndarray | None = None, nodata: str | None = None, **tags) -> None:
+    """Write an array (rows, cols, bands) with its overviews, and a mask's, to an open stream."""
     options.codec = layout.check_options(options.block, options.codec, options.level)
+    _encoder(options)
+    scales = resample.overview_levels(image.shape[1], image.shape[0], options.block) if options.overviews is None else options.overviews
+    scratch = Scratch()
+    layers = encode_all(Pixels(image), None if mask is None else Pixels(mask), options, scratch, _hole(nodata), scales)
+    join(out, layers, scratch, nodata=nodata, **tags)
+
+
+def _hole(nodata: str | None) -> float | None:
+    return float(nodata) if nodata not in (None, "") else None
+
+
+def _encoder(options: Options) -> None:
     if options.codec not in _CODES:
         raise NotImplementedError(f"no {options.codec} encoder is installed")
-    extra = extra or []
-    height, width, bands = image.shape
-    scales = resample.overview_levels(width, height, options.block) if options.overviews is None else options.overviews
-    hole = float(nodata) if nodata not in (None, "") else None
-    levels, before = [image], 1
-    for s in scales:  # a level that is twice the one before is made from it
-        levels.append(shrink(levels[-1], 2, options.resampling, hole) if s == 2 * before else shrink(image, s, options.resampling, hole))
-        before = s
-    masks = [] if mask is None else [mask] + [np.where(shrink(mask, s, "nearest") > 0, 255, 0).astype(np.uint8) for s in scales]
-    predictor = encode_predictor(options.codec, image.dtype)
-
-    layers = [(levels[0], 0, False)] + ([(masks[0], 0, True)] if masks else [])
-    layers += [(a, 1, False) for a in levels[1:]] + [(a, 1, True) for a in masks[1:]]
-    payloads = [list(_blocks(a, options, 1 if is_mask else predictor, options.planar and not is_mask, copy if not i else None)) for i, (a, _, is_mask) in enumerate(layers)]
-    size = sum(len(b) for p in payloads for b in p)
-    big = size + (1 << 20) > _CLASSIC_LIMIT
+
+
+def join(out, layers: list[Encoded], scratch: Scratch, *, photometric: str = "minisblack", extra: list[str] | None = None, nodata: str | None = None, epsg: int | None = None,
+         affine: tuple | None = None, tiepoints: list[tuple] | None = None, extra_tags: dict | None = None) -> None:
+    """Write a file of encoded layers: the header, all directories, then blocks, a megabyte at a time."""
+    extra, options = extra or [], layers[0].options
+    big = sum(sum(x.counts) for x in layers) + sum(16 * len(x.counts) for x in layers) + (1 << 20) > _CLASSIC_LIMIT
     word, slot = ("Q", 8) if big else ("I", 4)
 
-    def directory(a: np.ndarray, reduced: int, is_mask: bool, offsets: list[int], counts: list[int], subs: list[int]) -> list[tuple[int, int, tuple]]:
-        n = a.shape[2]
-        kind = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
+    def directory(x: Encoded, offsets: list[int], subs: list[int]) -> list[tuple[int, int, tuple]]:
+        kind = {"u": 1, "i": 2, "f": 3}[x.dtype.kind]
         tags: list[tuple[int, int, tuple]] = [
-            (254, 4, (reduced | 4 * is_mask,)), (256, 4, (a.shape[1],)), (257, 4, (a.shape[0],)), (258, 3, (a.dtype.itemsize * 8,) * n), (259, 3, (_CODES[options.codec],)),
-            (262, 3, (4 if is_mask else {v: k for k, v in tiff.PHOTOMETRIC.items()}.get(photometric, 1),)), (277, 3, (n,)), (284, 3, (2 if options.planar and not is_mask else 1,)),
-            (317, 3, (1 if is_mask else predictor,)), (322, 4, (options.block,)), (323, 4, (options.block,)), (324, 16 if big else 4, tuple(offsets)), (325, 4, tuple(counts)), (339, 3, (kind,) * n),
+            (254, 4, (x.reduced | 4 * x.mask,)), (256, 4, (x.width,)), (257, 4, (x.height,)), (258, 3, (x.dtype.itemsize * 8,) * x.bands), (259, 3, (_CODES[options.codec],)),
+            (262, 3, (4 if x.mask else {v: k for k, v in tiff.PHOTOMETRIC.items()}.get(photometric, 1),)), (277, 3, (x.bands,)), (284, 3, (2 if x.planar else 1,)),
+            (317, 3, (x.predictor,)), (322, 4, (options.block,)), (323, 4, (options.block,)), (324, 16 if big else 4, tuple(offsets)), (325, 4, tuple(x.counts)), (339, 3, (kind,) * x.bands),
         ]
         if subs:
             tags.append((330, 18 if big else 13, tuple(subs)))
-        if extra and not is_mask:
+        if extra and not x.mask:
             tags.append((338, 3, tuple({v: k for k, v in tiff.EXTRA.items()}[e] for e in extra)))
-        if not reduced and not is_mask:
+        if not x.reduced and not x.mask:
             if affine:
                 ox, pw, skx, oy, sky, ph = affine
                 if skx or sky:
@@ -175,7 +359,7 @@ def write(out, image: np.ndarray, options: Options, *, photometric: str = "minis
                 geographic = 4000 <= epsg < 5000
                 tags.append((34735, 3, (1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg)))
             tags += [(t, k, v) for t, (k, v) in (extra_tags or {}).items()]
-        if nodata not in (None, "") and not is_mask:
+        if nodata not in (None, "") and not x.mask:
             tags.append((42113, 2, (nodata,)))
         return sorted(tags)
 
@@ -183,7 +367,7 @@ def write(out, image: np.ndarray, options: Options, *, photometric: str = "minis
         """A directory at offset ``at``, with its long values right behind it."""
         entry = 12 + (8 if big else 0)
         head = struct.pack("<Q" if big else "<H", len(tags))
-        behind, body = b"", b""
+        behind, body = [], b""
         base = at + len(head) + entry * len(tags) + slot
         for tag, kind, values in tags:
             if kind == 2:
@@ -194,82 +378,208 @@ def write(out, image: np.ndarray, options: Options, *, photometric: str = "minis
             if len(data) <= slot:
                 body += data.ljust(slot, b"\0")
             else:
-                body += struct.pack("<" + word, base + len(behind))
-                behind += data + b"\0" * (len(data) % 2)
-        return head + body + struct.pack("<" + word, following) + behind
+                body += struct.pack("<" + word, base)
+                behind.append(data + b"\0" * (len(data) % 2))
+                base += len(behind[-1])
+        return head + body + struct.pack("<" + word, following) + b"".join(behind)
 
     text = b"LAYOUT=IFDS_BEFORE_DATA\nBLOCK_ORDER=ROW_MAJOR\n"
     ghost = tiff.GHOST + f"{len(text):06d} bytes\n".encode() + text
     start = (16 if big else 8) + len(ghost)
     start += start % 2
-    chained = bool(masks)
+    chained = any(x.mask for x in layers)
 
     def lay(offsets: list[list[int]]) -> tuple[bytes, list[int]]:
         places, data = [start] * len(layers), b""
         for _ in range(2):  # the second time, the places of the others are known
-            data, at = b"", start
-            new = []
-            for i, ((a, reduced, is_mask), o, p) in enumerate(zip(layers, offsets, payloads, strict=True)):
+            parts, at, new = [], start, []
+            for i, (x, o) in enumerate(zip(layers, offsets, strict=True)):
                 subs = places[1:] if not chained and not i else []
                 following = (places[i + 1] if i + 1 < len(layers) else 0) if chained else 0
                 new.append(at)
-                part = packed(directory(a, reduced, is_mask, o, [len(b) for b in p], subs), at, following)
-                data += part
-                at += len(part)
-            places = new
+                parts.append(packed(directory(x, o, subs), at, following))
+                at += len(parts[-1])
+            places, data = new, b"".join(parts)
         return data, places
 
-    empty, _ = lay([[0] * len(p) for p in payloads])
+    empty, _ = lay([[0] * len(x.counts) for x in layers])
     at = start + len(empty)
     offsets: list[list[int]] = [[] for _ in layers]
-    order = sorted(range(len(layers)), key=lambda i: (layers[i][0].shape[1], layers[i][2]))
+    order = sorted(range(len(layers)), key=lambda i: (layers[i].width, layers[i].mask))
     for i in order:
-        for block in payloads[i]:
-            offsets[i].append(at)
-            at += len(block)
+        offsets[i] = (at + np.concatenate(([0], np.cumsum(layers[i].counts)[:-1])).astype(int)).tolist()
+        at += sum(layers[i].counts)
     directories, places = lay(offsets)
     head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, places[0]) if big else struct.pack("<2sHI", b"II", 42, places[0])
     out.write((head + ghost).ljust(start, b"\0") + directories)
     for i in order:
-        for block in payloads[i]:
-            out.write(block)
+        with scratch.open(layers[i].place) as f:
+            while data := f.read(1 << 20):
+                out.write(data)
+
+
+def publish(target: str, layers: list[Encoded], scratch: Scratch, **tags) -> None:
+    """Join the layers under a name of their own, then give the file its name: nobody ever sees half of it."""
+    system, name = tiff.file_system(target)
+    held = f"{name}.{uuid.uuid4().hex}.part"
+    try:
+        with system.open_output_stream(held) as out:
+            join(out, layers, scratch, **tags)
+        system.move(held, name)
+    except BaseException:
+        scratch.made.append(held)
+        raise
 
 
 def convert(source: str, target: str, options: Options | None = None) -> None:
     """Read a GeoTIFF, take the window and bands asked for, and write it anew with overviews and, if it has one, a mask.
 
-    Blocks of the base image that are the same in the output are copied compressed; the others are encoded.
+    Overviews and mask overviews are the source's own where it has them in the size asked for (with ``fresh`` they are made
+    anew); with neither window nor list of overviews, all that it has. Blocks that are the same in the output are copied
+    compressed; the others are encoded. Memory is bounded by SAMPLES, not by the image.
     """
     options = options or Options()
     options.codec = layout.check_options(options.block, options.codec, options.level)
-    with tiff.open_file(source) as f:
-        file = tiff.parse(f)
-        base = file.images[0]
-        col, row, width, height = options.window or (0, 0, base.width, base.height)
-        full = next((m for m in file.masks if (m.width, m.height) == (base.width, base.height)), None)
-        every = tiff.read_window(f, base, col, row, width, height)
-        mask = tiff.read_window(f, full, col, row, width, height, [1]) if full is not None else None
-        mask = np.where(mask > 0, 255, 0).astype(np.uint8) if mask is not None else synthesise_mask(every, base.photometric, base.extra_samples, options)
-        image, extra, photometric = every, base.extra_samples, base.photometric
-        if options.bands:
-            image = every[:, :, [b - 1 for b in options.bands]]
-            first_extra = base.bands - len(extra)
-            extra = [extra[b - 1 - first_extra] for b in options.bands if b > first_extra]
-            photometric = "rgb" if len(options.bands) - len(extra) == 3 else "minisblack" if photometric == "rgb" else photometric
-        affine = base.affine
-        if affine:
-            ox, pw, skx, oy, sky, ph = affine
-            affine = (ox + col * pw + row * skx, pw, skx, oy + col * sky + row * ph, sky, ph)
-        ties = [(c - col, r - row, *rest) for c, r, *rest in base.tiepoints]
-        tags = {50844: (12, tuple(base.rpc))} if base.rpc else {}
-        with open(target, "wb") as out:
-            write(out, image, options, photometric=photometric, extra=extra, nodata=base.nodata, epsg=base.epsg, affine=affine, tiepoints=ties, mask=mask, extra_tags=tags, copy=copier(f, base, options, col, row))
+    _encoder(options)
+    scratch = Scratch(target)
+    try:
+        with tiff.open_file(source) as f:
+            file = tiff.parse(f)
+            base = file.images[0]
+            window = windows.Window(*(options.window or (0, 0, base.width, base.height)))
+            windows.by_pixels(base.width, base.height, *_tuple(window))
+
+            def reduced(among: list[tiff.Layer], s: int) -> tuple[tiff.Layer, tuple] | None:
+                """A layer at 1 / s of the base, and the window in it; sizes may have been rounded either way."""
+                for d in among:
+                    if all(size in (max(1, whole // s), -(-whole // s)) for size, whole in ((d.width, base.width), (d.height, base.height))):
+                        if options.window is None:
+                            return d, (0, 0, d.width, d.height)
+                        small = window.scaled(s)
+                        if window.fits(s) and small.col_off + small.width <= d.width and small.row_off + small.height <= d.height:
+                            return d, _tuple(small)
+                return None
+
+            overviews = [] if options.fresh else file.images[1:]
+            masks = file.masks
+            scales = options.overviews
+            if scales is None:
+                own = sorted({s for d in overviews for s in [round(base.width / d.width)] if reduced([d], s)}) if options.window is None else []
+                scales = own or resample.overview_levels(window.width, window.height, options.block)
+
+            def layer(found, is_mask: bool):
+                return found and FromFile(f, *found, None if is_mask else options.bands, options, is_mask)
+
+            top = FromFile(f, base, _tuple(window), options.bands, options)
+            full = next((m for m in masks if (m.width, m.height) == (base.width, base.height)), None)
+            if full is not None:
+                mask = FromFile(f, full, _tuple(window), None, options, True)
+            else:
+                make = mask_maker(base.photometric, base.extra_samples, base.bands, base.dtype, options)
+                mask = make and Synthesised(FromFile(f, base, _tuple(window)), make)
+            extra, photometric = base.extra_samples, base.photometric
+            if options.bands:
+                first_extra = base.bands - len(extra)
+                extra = [extra[b - 1 - first_extra] for b in options.bands if b > first_extra]
+                photometric = "rgb" if len(options.bands) - len(extra) == 3 else "minisblack" if photometric == "rgb" else photometric
+            small_masks = [] if full is None or options.fresh else [m for m in masks if m is not full]
+            layers = encode_all(
+                top, mask, options, scratch, _hole(base.nodata), scales,
+                lambda s: layer(reduced(overviews, s), False), lambda s: layer(reduced(small_masks, s), True),
+            )
+            col, row = window.col_off, window.row_off
+            affine = base.affine
+            if affine:
+                ox, pw, skx, oy, sky, ph = affine
+                affine = (ox + col * pw + row * skx, pw, skx, oy + col * sky + row * ph, sky, ph)
+            ties = [(c - col, r - row, *rest) for c, r, *rest in base.tiepoints]
+            tags = {50844: (12, tuple(base.rpc))} if base.rpc else {}
+            publish(target, layers, scratch, photometric=photometric, extra=extra, nodata=base.nodata, epsg=base.epsg, affine=affine, tiepoints=ties, extra_tags=tags)
+    finally:
+        scratch.clear()
+
+
+def _tuple(w: windows.Window) -> tuple[int, int, int, int]:
+    return w.col_off, w.row_off, w.width, w.height
+
+
+def write_tiles(tiles: DataFrame, folder: str, options: Options | None = None, **tags) -> DataFrame:
+    """Write a file per raster from a table of tiles (raster_id, row_off, col_off, rows, cols, bands, dtype, data).
+
+    Tiles are the blocks of a grid of ``options.block``, chunky, little endian. A raster's tiles come to one task in the
+    order of its file, as a file is one sequence of bytes, and go through it one at a time; the task then makes the
+    overviews from what it has written. Returns raster_id, path, width, height, error: a raster with a tile missing has an
+    error and no file. Null ids are no raster and are left out; an empty table gives no file. A task that runs again gives
+    the same file.
+    """
+    options = options or Options()
+    options.codec = layout.check_options(options.block, options.codec, options.level)
+    _encoder(options)
+    schema = "raster_id string, path string, width int, height int, error string"
+
+    def one(raster: str, rows) -> tuple:
+        import hashlib
+
+        name = f"{raster.rsplit('/', 1)[-1].rsplit('.', 1)[0]}-{hashlib.sha256(raster.encode()).hexdigest()[:12]}.tif"
+        target, scratch = f"{folder.rstrip('/')}/{name}", Scratch(f"{folder.rstrip('/')}/{name}")
+        size, counts, width, height, dtype, bands = options.block, [], 0, 0, None, 0
+        try:
+            place, out = scratch.create()
+            across, wrong = 0, ""
+            for t in rows:
+                if dtype is None:
+                    dtype, bands = sample_type(t["dtype"]), t["bands"]
+                if t["row_off"] == 0:
+                    across, width = across + 1, t["col_off"] + t["cols"]
+                n = len(counts)
+                if wrong or (t["row_off"], t["col_off"]) != (n // max(across, 1) * size if t["row_off"] else 0, n % max(across, 1) * size if t["row_off"] else n * size):
+                    wrong = wrong or f"no tile in the place of number {n}"
+                    continue
+                height = t["row_off"] + t["rows"]
+                a = np.frombuffer(t["data"], dtype.newbyteorder("<")).reshape(-1, size if len(t["data"]) == size * size * bands * dtype.itemsize else t["cols"], bands)
+                data = block_bytes(a[: t["rows"], : t["cols"]].astype(dtype), options, encode_predictor(options.codec, dtype))
+                out.write(data)
+                counts.append(len(data))
+            if scratch.system:
+                out.close()
+            if wrong or len(counts) != -(-width // size) * -(-height // size):
+                return raster, None, None, None, wrong or "tiles are missing"
+            first = Encoded(place, width, height, bands, dtype, counts, False, False, False, encode_predictor(options.codec, dtype), options)
+            scales = resample.overview_levels(width, height, size) if options.overviews is None else options.overviews
+            keep: list = []
+            layers = encode_all(first.source(scratch, keep), None, options, scratch, _hole(tags.get("nodata")), scales, first=first)
+            for f in keep:
+                f.close()
+            publish(target, layers, scratch, **tags)
+            return raster, target, width, height, None
+        finally:
+            scratch.clear()
+
+    def run(batches):
+        import itertools
+
+        import pandas as pd
+
+        system, base = tiff.file_system(folder)
+        system.create_dir(base, recursive=True)
+        rows = (r for b in batches for r in b.to_dict("records"))
+        for raster, mine in itertools.groupby(rows, key=lambda r: r["raster_id"]):
+            yield pd.DataFrame([one(raster, mine)], columns=["raster_id", "path", "width", "height", "error"]).astype({"width": "Int32", "height": "Int32"})
+
+    one_by_one = tiles.where(F.col("raster_id").isNotNull()).select("raster_id", *[F.col(c).cast("int") for c in ("row_off", "col_off", "rows", "cols", "bands")], "dtype", "data")
+    return one_by_one.repartition("raster_id").sortWithinPartitions("raster_id", "row_off", "col_off").mapInPandas(run, schema)
+
+
+def sample_type(name: str) -> np.dtype:
+    """The numpy type of a name such as uint16."""
+    kind = name.rstrip("0123456789")
+    return np.dtype({"uint": "u", "int": "i", "float": "f"}[kind] + str(int(name.removeprefix(kind)) // 8))
 
 
 def assemble(tiles: DataFrame, by: str = "raster_id") -> DataFrame:
     """Tiles (row_off, col_off, rows, cols, bands, dtype, data) to a row per raster: width, height, bands, dtype, image.
 
-    A raster's tiles meet in one task, as one file is one sequence of bytes; rasters are spread over the cluster.
+    For rasters that fit a row; ``write_tiles`` is for any size. A raster's tiles meet in one task.
     """
 
     def run(pdf):
@@ -277,7 +587,7 @@ def assemble(tiles: DataFrame, by: str = "raster_id") -> DataFrame:
 
         first = pdf.iloc[0]
         w, h = int((pdf["col_off"] + pdf["cols"]).max()), int((pdf["row_off"] + pdf["rows"]).max())
-        dtype = np.dtype("<" + {"uint": "u", "int": "i", "float": "f"}[first["dtype"].rstrip("0123456789")] + str(int(first["dtype"].lstrip("abcdefghijklmnopqrstuvwxyz")) // 8))
+        dtype = sample_type(first["dtype"])
         image = np.zeros((h, w, int(first["bands"])), dtype)
         for t in pdf.itertuples():
             a = np.frombuffer(t.data, dtype).reshape(t.rows, t.cols, image.shape[2])
@@ -296,7 +606,7 @@ def image_to_pixels(images: DataFrame) -> DataFrame:
 
         for pdf in batches:
             for r in pdf.itertuples():
-                dtype = np.dtype("<" + {"uint": "u", "int": "i", "float": "f"}[r.dtype.rstrip("0123456789")] + str(int(r.dtype.lstrip("abcdefghijklmnopqrstuvwxyz")) // 8))
+                dtype = sample_type(r.dtype)
                 a = np.frombuffer(r.image, dtype).reshape(r.height, r.width, r.bands)
                 row, col, band = np.indices(a.shape)
                 yield pd.DataFrame({"raster_id": r.raster_id, "row": row.ravel(), "col": col.ravel(), "band": band.ravel() + 1, "value": a.ravel().astype(float)})

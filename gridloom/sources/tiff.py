@@ -441,13 +441,20 @@ class RangeReader:
         return out
 
 
-def open_file(path: str):
-    """Any file system that Arrow knows; reads are ranged."""
+def file_system(path: str):
+    """(Arrow file system, name in it) of a path or URI."""
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def open_file(path: str):
+    """Any file system that Arrow knows; reads are ranged."""
     if path.startswith(("http://", "https://")):
         return RangeReader(path)
-    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    system, name = file_system(path)
     return system.open_input_file(name)
 
 
@@ -456,7 +463,7 @@ def profile(path: str, file: File) -> dict:
     base = file.images[0]
     names = ("ox", "pw", "skx", "oy", "sky", "ph")
     return {
-        "raster_id": path.rsplit("/", 1)[-1], "path": path, "driver": "GTiff", "width": base.width, "height": base.height, "bands": base.bands, "bits": base.bits, "sample_format": base.sample_format,
+        "raster_id": path, "path": path, "driver": "GTiff", "width": base.width, "height": base.height, "bands": base.bands, "bits": base.bits, "sample_format": base.sample_format,
         "photometric": base.photometric, "planar": "planar" if base.planar else "chunky", "extra_samples": base.extra_samples, "compression": base.codec, "predictor": base.predictor, "tiled": base.tiled,
         "block_x": base.block[0], "block_y": base.block[1], "nodata": base.nodata, "epsg": base.epsg, "affine": dict(zip(names, base.affine, strict=True)) if base.affine else None,
         "matrix": list(base.tags.get(34264, ())) or None, "tiepoints": [dict(zip(("col", "row", "z", "x", "y", "h"), t, strict=True)) for t in base.tiepoints], "rpc": next((d.rpc for d in file.layers if d.rpc), None),
@@ -505,14 +512,26 @@ def _top_level(schema: str) -> list[str]:
 
 @dataclass
 class _Blocks(InputPartition):
-    path: str
-    layer: int
-    lo: int
-    hi: int
+    paths: list[str]
+    layer: int | None = None  # of one path, whose blocks lo to hi are meant; else all layers and blocks of the paths
+    lo: int = 0
+    hi: int = 0
+
+
+def every_layer(file: File) -> list[tuple[Layer, str]]:
+    """Layers as the data source numbers them: the base image and its overviews, then masks, each with its kind."""
+    base, *reduced = file.images
+    return [(base, "image"), *[(d, "overview") for d in reduced], *[(d, "mask") for d in file.masks]]
 
 
 class GeoTiffReader(DataSourceReader):
-    """Blocks of files: filters on layer, block_index, col_off and row_off choose what is read at all."""
+    """Blocks of files: filters on layer, block_index, col_off and row_off choose what is read at all.
+
+    Of up to LISTED files the driver reads the headers and splits each into ranges of blocks; more files are dealt to tasks
+    unread, FILES_A_TASK each, and their headers are read there.
+    """
+
+    LISTED, FILES_A_TASK = 64, 4
 
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
@@ -534,43 +553,49 @@ class GeoTiffReader(DataSourceReader):
         return all(ops[op](values[name], v) for name, op, v in self.tests if name in values)
 
     def partitions(self):
+        if len(self.paths) > self.LISTED:
+            return [_Blocks(self.paths[i : i + self.FILES_A_TASK]) for i in range(0, len(self.paths), self.FILES_A_TASK)]
         out = []
         for path in self.paths:
             with open_file(path) as f:
-                for n, layer in enumerate(parse(f).images):
+                for n, (layer, _) in enumerate(every_layer(parse(f))):
                     if self._wanted(layer=n):
                         total = len(layer.blocks())
-                        out += [_Blocks(path, n, lo, min(total, lo + self.per_task)) for lo in range(0, total, self.per_task)]
-        return out or [_Blocks("", 0, 0, 0)]
+                        out += [_Blocks([path], n, lo, min(total, lo + self.per_task)) for lo in range(0, total, self.per_task)]
+        return out or [_Blocks([])]
 
     def read(self, part):
-        if not part.path:
-            return
-        with open_file(part.path) as f:
-            layer = parse(f).images[part.layer]
-            bw, bh = layer.block
-            for i in range(part.lo, part.hi):
-                plane, tile = divmod(i, layer.across * layer.down)
-                row, col = divmod(tile, layer.across)
-                if not self._wanted(block_index=i, col_off=col * bw, row_off=row * bh):
-                    continue
-                data = payload(f, layer, i)
-                sparse = data is None
-                if self.decode:
-                    data = read_block(f, layer, i).astype(layer.dtype.newbyteorder("<")).tobytes()
-                yield (part.path.rsplit("/", 1)[-1], part.layer, i, col * bw, row * bh, min(bw, layer.width - col * bw), min(bh, layer.height - row * bh),
-                       plane + 1 if layer.planar else None, f"{layer.sample_format}{layer.bits}", layer.codec if not self.decode else "none", data, sparse)
+        for path in part.paths:
+            with open_file(path) as f:
+                for n, (layer, kind) in enumerate(every_layer(parse(f))):
+                    if part.layer is not None and n != part.layer or not self._wanted(layer=n):
+                        continue
+                    bw, bh = layer.block
+                    for i in range(part.lo, part.hi) if part.layer is not None else range(len(layer.blocks())):
+                        plane, tile = divmod(i, layer.across * layer.down)
+                        row, col = divmod(tile, layer.across)
+                        if not self._wanted(block_index=i, col_off=col * bw, row_off=row * bh):
+                            continue
+                        data = payload(f, layer, i)
+                        sparse = data is None
+                        if self.decode:
+                            data = read_block(f, layer, i).astype(layer.dtype.newbyteorder("<")).tobytes()
+                        yield (path, n, kind, i, col * bw, row * bh, min(bw, layer.width - col * bw), min(bh, layer.height - row * bh),
+                               plane + 1 if layer.planar else None, f"{layer.sample_format}{layer.bits}", layer.codec if not self.decode else "none", data, sparse)
 
 
 class GeoTiffSource(DataSource):
-    """``spark.read.format("geotiff")``: a row per block. Options: path or paths, decode, blocksPerTask."""
+    """``spark.read.format("geotiff")``: a row per block of images, overviews and masks, by the file's whole path.
+
+    Options: path or paths (comma-separated), decode, blocksPerTask.
+    """
 
     @classmethod
     def name(cls):
         return "geotiff"
 
     def schema(self):
-        return "raster_id string, layer int, block_index int, col_off int, row_off int, cols int, rows int, band int, dtype string, compression string, data binary, sparse boolean"
+        return "raster_id string, layer int, kind string, block_index int, col_off int, row_off int, cols int, rows int, band int, dtype string, compression string, data binary, sparse boolean"
 
     def reader(self, schema):
         return GeoTiffReader(dict(self.options))
