@@ -384,3 +384,165 @@ def test_aligned_blocks_are_copied_not_coded(tmp_path, monkeypatch, planar):
     n, got = run(bands=[3, 1], window=(0, 0, 32, 32))
     assert n == (0 if planar else 4)
     np.testing.assert_array_equal(got, a[:32, :32, [2, 0]])
+
+
+def layers_of(path):
+    with open(path, "rb") as f:
+        file = tiff.parse(f)
+        return [tiff.read_window(f, d, 0, 0, d.width, d.height) for d in file.images], [tiff.read_window(f, d, 0, 0, d.width, d.height) for d in file.masks]
+
+
+def marked(tmp_path, size=(70, 90), codec="deflate", block=16):
+    """A file whose overviews and mask overviews are no shrunken base, so that a copy can be told from a new one."""
+    rng = np.random.default_rng(9)
+    options = cog.Options(block=block, codec=codec)
+    scratch = cog.Scratch()
+    a = rng.integers(0, 200, (*size, 3)).astype(np.uint8)
+    small = {s: rng.integers(0, 200, (size[0] // s, size[1] // s, 3)).astype(np.uint8) for s in (2, 4)}
+    mask = {s: np.where(rng.random((size[0] // s, size[1] // s, 1)) > 0.4, 255, 0).astype(np.uint8) for s in (1, 2, 4)}
+    made = cog.encode_all(cog.Pixels(a), cog.Pixels(mask[1]), options, scratch, None, [2, 4], lambda s: cog.Pixels(small[s]), lambda s: cog.Pixels(mask[s]))
+    path = str(tmp_path / f"marked-{codec}.tif")
+    with open(path, "wb") as f:
+        cog.join(f, made, scratch, photometric="rgb", affine=(0.0, 1.0, 0.0, 0.0, 0.0, -1.0))
+    return path, a, small, mask
+
+
+@pytest.mark.parametrize("codec", ["deflate", "lzw"])
+def test_overviews_and_masks_of_the_source_are_kept(tmp_path, codec):
+    """Copied blocks and blocks coded anew alike: every layer comes out as it went in."""
+    path, a, small, mask = marked(tmp_path, codec=codec)
+    out = str(tmp_path / "out.tif")
+    cog.convert(path, out, cog.Options(block=16))
+    images, masks = layers_of(out)
+    for got, want in zip(images + masks, [a, small[2], small[4], mask[1], mask[2], mask[4]], strict=True):
+        np.testing.assert_array_equal(got, want)
+    cog.convert(path, out, cog.Options(block=16, fresh=True))
+    images, masks = layers_of(out)
+    np.testing.assert_array_equal(images[1], cog.shrink(a, 2, "average"))
+    np.testing.assert_array_equal(masks[1], mask[1][::2, ::2][:35, :45])
+
+
+def test_a_remux_codes_only_ragged_edges(tmp_path, monkeypatch):
+    path, *_ = marked(tmp_path, size=(64, 64))
+    coded = []
+    real = tiff.compress
+    monkeypatch.setattr(tiff, "compress", lambda codec, data, level=6: coded.append(1) or real(codec, data, level))
+    cog.convert(path, str(tmp_path / "same.tif"), cog.Options(block=16))
+    assert not coded
+
+
+def test_a_crop_takes_overviews_where_its_window_fits(tmp_path):
+    path, a, small, mask = marked(tmp_path)
+    out = str(tmp_path / "out.tif")
+    cog.convert(path, out, cog.Options(block=16, window=(8, 12, 40, 36)))
+    images, masks = layers_of(out)
+    np.testing.assert_array_equal(images[0], a[12:48, 8:48])
+    np.testing.assert_array_equal(images[1], small[2][6:24, 4:24])
+    np.testing.assert_array_equal(images[2], small[4][3:12, 2:12])
+    np.testing.assert_array_equal(masks[1], mask[2][6:24, 4:24])
+    cog.convert(path, out, cog.Options(block=16, window=(7, 12, 40, 36)))
+    images, masks = layers_of(out)
+    np.testing.assert_array_equal(images[1], cog.shrink(a[12:48, 7:47], 2, "average"))
+    np.testing.assert_array_equal(masks[1], mask[1][12:48, 7:47][::2, ::2])
+
+
+@pytest.mark.parametrize("method", ["nearest", "average", "bilinear", "cubic"])
+@pytest.mark.parametrize("scales", [[2, 4, 8], [3, 5]])
+def test_overviews_made_by_windows_are_those_of_whole_images(method, scales, monkeypatch):
+    monkeypatch.setattr(cog, "SAMPLES", 1)  # a block at a time
+    a = np.random.default_rng(3).integers(0, 4000, (75, 101, 2)).astype(np.uint16)
+    file = tiff.parse(f := io.BytesIO(make(a, cog.Options(block=16, overviews=scales, resampling=method), nodata="0")))
+    level, before = a, 1
+    for s, d in zip(scales, file.images[1:], strict=True):
+        level, before = (cog.shrink(level, 2, method, 0.0) if s == 2 * before else cog.shrink(a, s, method, 0.0)), s
+        np.testing.assert_array_equal(tiff.read_window(f, d, 0, 0, d.width, d.height), level)
+
+
+def test_files_from_a_table_of_tiles(spark, tmp_path):
+    """Ragged edges, two rasters of one base name, a missing tile, repeated runs, an empty table."""
+    a = {"x/a.tif": np.random.default_rng(1).normal(size=(40, 52, 2)), "y/a.tif": np.arange(20 * 16, dtype=float).reshape(20, 16, 1).repeat(2, axis=2)}
+    rows = [
+        (k, r, c, min(16, v.shape[0] - r), min(16, v.shape[1] - c), 2, "float64", v[r : r + 16, c : c + 16].tobytes())
+        for k, v in a.items() for r in range(0, v.shape[0], 16) for c in range(0, v.shape[1], 16)
+    ]
+    schema = "raster_id string, row_off int, col_off int, rows int, cols int, bands int, dtype string, data binary"
+    rows += [("gap", 0, 0, 16, 16, 1, "uint8", bytes(256)), ("gap", 16, 16, 16, 16, 1, "uint8", bytes(256)), (None, 0, 0, 1, 1, 1, "uint8", b"1")]
+    table = spark.createDataFrame(rows, schema).repartition(3)
+    for _ in range(2):
+        made = {r.raster_id: r for r in cog.write_tiles(table, str(tmp_path / "out"), cog.Options(block=16)).collect()}
+    assert set(made) == {*a, "gap"} and made["gap"].error and made["gap"].path is None
+    for k, v in a.items():
+        images, _ = layers_of(made[k].path)
+        np.testing.assert_array_equal(images[0], v)
+        assert (made[k].width, made[k].height) == v.shape[1::-1]
+        if len(images) > 1:
+            np.testing.assert_allclose(images[1], cog.shrink(v, 2, "average"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(made[k].path.rsplit("/", 1)[-1] for k in a)
+    assert cog.write_tiles(table.where("false"), str(tmp_path / "none"), cog.Options(block=16)).count() == 0
+
+
+def test_an_interrupted_conversion_leaves_no_file(spark, tmp_path, monkeypatch):
+    """A conversion that dies half way leaves nothing under the output's name, and the next batch makes it whole."""
+    from gridloom import api
+
+    path, a, *_ = marked(tmp_path)
+    folder = tmp_path / "out"
+    folder.mkdir()
+    target = str(folder / "marked-deflate.tif")
+    monkeypatch.setattr(cog, "join", lambda out, *a, **k: out.write(b"II*") and (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        cog.convert(path, target, cog.Options(block=16))
+    monkeypatch.undo()
+    (folder / "other.tif.123.part").write_bytes(b"left by a lost executor")
+    assert [p.name for p in folder.iterdir()] == ["other.tif.123.part"]
+    paths = spark.createDataFrame([(path,)], "path string")
+    assert [r.status for r in api.batch(spark, paths, str(folder), options=cog.Options(block=16)).collect()] == ["ok"]
+    np.testing.assert_array_equal(layers_of(target)[0][0], a)
+    assert [r.status for r in api.batch(spark, paths, str(folder), options=cog.Options(block=16)).collect()] == ["skipped"]
+
+
+def test_the_source_lists_masks_and_many_files(spark, tmp_path, monkeypatch):
+    path, a, small, mask = marked(tmp_path)
+    tiff.register(spark)
+    kinds = {(r.layer, r.kind) for r in spark.read.format("geotiff").option("path", path).load().collect()}
+    assert kinds == {(0, "image"), (1, "overview"), (2, "overview"), (3, "mask"), (4, "mask"), (5, "mask")}
+    import shutil
+
+    paths = []
+    for i in range(tiff.GeoTiffReader.LISTED + 3):  # more than the driver reads itself
+        (tmp_path / f"d{i}").mkdir()
+        paths.append(str(tmp_path / f"d{i}" / "a.tif"))
+        shutil.copy(path, paths[-1])
+    df = spark.read.format("geotiff").option("paths", ",".join(paths)).load()
+    assert df.where("layer = 5").select("raster_id").distinct().count() == len(paths)
+
+
+def test_merged_runs_give_the_same_areas(spark):
+    rng = np.random.default_rng(4)
+    a = np.kron(rng.random((5, 6)) > 0.4, np.ones((4, 4))).astype(bool)
+    segment = footprint.segments(footprint.cells(mask_frame(spark, a), "raster_id"))
+    plain, merged = (footprint.rings(segment, merge=m).orderBy("ring_id").collect() for m in (False, True))
+    assert sorted(r.area for r in plain) == sorted(r.area for r in merged)
+    assert sum(r.n_vertices for r in merged) < sum(r.n_vertices for r in plain) / 1.5
+
+
+@pytest.mark.parametrize("code", range(16))
+def test_pieces_of_a_cell(code):
+    """Each crossed edge is met once, and no piece passes between two valid corners."""
+    valid = [bool(code & w) for _, _, w in footprint.CORNERS]
+    crossed = [k for k in range(4) if valid[k] != valid[(k + 1) % 4]]
+    assert sorted(e for p in footprint.pieces(code) for e in p) == crossed
+    if len(crossed) == 4:  # the cut corners are those that aren't valid
+        corner = {(0, 3): 0, (0, 1): 1, (1, 2): 2, (2, 3): 3}
+        assert not any(valid[corner[p]] for p in footprint.pieces(code))
+
+
+def test_rings_of_geojson_and_their_measures():
+    from gridloom import api
+
+    square = [[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]
+    for g in ({"type": "Polygon", "coordinates": [square]}, {"type": "MultiPolygon", "coordinates": [[square]]}):
+        for text in (json.dumps(g), json.dumps({"type": "Feature", "geometry": g}), json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": g}]})):
+            m = api.metrics_of_geojson(text)
+            assert (m["n_vertices"], m["area"], m["max_x"]) == (4, 16.0, 4.0)
+    assert api.metrics_of_geojson(footprint.EMPTY_GEOJSON) is None
