@@ -9,12 +9,15 @@ import time
 from dataclasses import fields
 
 from gridloom import api
+from gridloom.operators import layout
 
 
 def _writer(p: argparse.ArgumentParser) -> None:
     p.add_argument("-b", "--block", type=int, default=512)
     p.add_argument("-c", "--codec", default="deflate")
     p.add_argument("--level", type=int, default=6)
+    p.add_argument("--quality", type=int, default=75)
+    p.add_argument("--fresh", action="store_true", help="make overviews anew even where the input has them")
     p.add_argument("-r", "--resampling", default="average")
     p.add_argument("-o", "--overviews", type=lambda s: [int(v) for v in s.split(",")], default=None)
     p.add_argument("--no-overviews", dest="overviews", action="store_const", const=[])
@@ -42,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
         if outputs:
             p.add_argument("output")
             _writer(p)
+    sub.choices["info"].add_argument("--text", action="store_true")
     p = sub.choices["cog"]
     p.add_argument("--json", action="store_true")
     p = sub.choices["crop"]
@@ -62,10 +66,11 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     pick = lambda kind: kind(**{f.name: getattr(a, f.name) for f in fields(kind) if hasattr(a, f.name) and f.name != "bands"})
     if a.command == "info":
-        print(json.dumps(api.info(a.input), indent=1))
+        found = api.info(a.input)
+        print(layout.info_report(found) if a.text else json.dumps(found, indent=1))
     elif a.command == "validate":
         found = api.validate(a.input)
-        print("\n".join(f"{level.upper()}: {message}" for level, message in found) or "valid")
+        print(layout.validation_report(a.input, found))
         return int(any(level == "error" for level, _ in found))
     elif a.command == "footprint":
         print(api.footprint(a.input, pick(api.FootprintOptions))["body"])

@@ -21,9 +21,9 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.operators import layout, resample, windows
-from gridloom.sources import tiff
+from gridloom.sources import jpeg, tiff
 
-_CODES = {"none": 1, "lzw": 5, "deflate": 8, "zstd": 50000}
+_CODES = {"none": 1, "lzw": 5, "jpeg": 7, "deflate": 8, "zstd": 50000}
 _CLASSIC_LIMIT = 3_500_000_000
 
 
@@ -31,6 +31,7 @@ _CLASSIC_LIMIT = 3_500_000_000
 class Options:
     codec: str = "deflate"
     level: int = 6
+    quality: int = 75  # of JPEG
     block: int = 512
     resampling: str = "average"
     overviews: list[int] | None = None  # None: as many as the size asks for
@@ -95,7 +96,12 @@ def mask_maker(photometric: str, extra: list[str], bands: int, dtype: np.dtype,
 
 
 def encode_predictor(codec: str, dtype: np.dtype) -> int:
-    return 2 if codec != "none" and dtype.kind in "iu" else 1
+    return 2 if codec not in ("none", "jpeg") and dtype.kind in "iu" else 1
+
+
+def codec_of(options: Options, mask: bool) -> str:
+    """A mask must come out as it went in."""
+    return "deflate" if mask and options.codec == "jpeg" else options.codec
 
 
 class Scratch:
@@ -150,10 +156,13 @@ class FromFile:
         self.bands, self.dtype = len(self.chosen), np.dtype(np.uint8) if mask else layer.dtype.newbyteorder("=")
         self.size, whole = options.block if options else 0, self.chosen == list(range(1, layer.bands + 1))
         self.alike = bool(
-            options and layer.tiled and layer.block == (self.size, self.size) and layer.codec == options.codec and layer.order == "<" and self.col % self.size == 0 and self.row % self.size == 0
+            options and layer.tiled and layer.block == (self.size, self.size) and layer.codec == codec_of(options, mask) and layer.order == "<" and self.col % self.size == 0 and self.row % self.size == 0
             and (layer.planar and options.planar and not mask or whole and not layer.planar and (mask or not options.planar))
             and layer.predictor == (1 if mask else encode_predictor(options.codec, layer.dtype)) and (not mask or layer.bits == 8)
         )
+        if self.alike and layer.codec == "jpeg":  # colours must be stored alike, too
+            coloured = self.bands == 3 and not layer.planar
+            self.alike = (layer.photometric == "ycbcr") == coloured and (not coloured or layer.tags.get(530, (2, 2)) == (1, 1))
 
     def read(self, col: int, row: int, width: int, height: int) -> np.ndarray:
         a = tiff.read_window(self.f, self.layer, self.col + col, self.row + row, width, height, self.chosen)
@@ -222,11 +231,16 @@ class Encoded:
     predictor: int
     options: Options
 
+    @property
+    def coloured(self) -> bool:
+        """Whether blocks are stored as luma and colour differences."""
+        return not self.mask and self.options.codec == "jpeg" and self.bands == 3 and not self.planar
+
     def layer(self) -> tiff.Layer:
         """As a directory of the scratch file, so that it can be read like any other."""
         offsets = np.concatenate(([0], np.cumsum(self.counts)[:-1])).astype(int).tolist()
         return tiff.Layer({
-            256: (self.width,), 257: (self.height,), 258: (self.dtype.itemsize * 8,) * self.bands, 259: (_CODES[self.options.codec],), 277: (self.bands,), 284: (2 if self.planar else 1,), 317: (self.predictor,),
+            256: (self.width,), 257: (self.height,), 258: (self.dtype.itemsize * 8,) * self.bands, 259: (_CODES[codec_of(self.options, self.mask)],), 262: (6 if self.coloured else 1,), 277: (self.bands,), 284: (2 if self.planar else 1,), 317: (self.predictor,),
             322: (self.options.block,), 323: (self.options.block,), 324: tuple(o + 1 for o in offsets), 325: tuple(self.counts), 339: ({"u": 1, "i": 2, "f": 3}[self.dtype.kind],) * self.bands,
         }, "<")
 
@@ -251,17 +265,25 @@ class _Shifted:
 SAMPLES = 16 << 20  # of a layer that are decoded at once, at most, but for one row of blocks in one column
 
 
-def block_bytes(part: np.ndarray, options: Options, predictor: int) -> bytes:
-    """A compressed block; at the edge it is filled up with 0."""
-    size = options.block
+def block_bytes(part: np.ndarray, options: Options, predictor: int, mask: bool = False) -> bytes:
+    """A compressed block; at the edge it is filled up with 0, or for JPEG with its last row and column.
+
+    JPEG blocks of three bands are colours.
+    """
+    size, codec = options.block, codec_of(options, mask)
+    if codec == "jpeg":
+        part = np.pad(part, ((0, size - part.shape[0]), (0, size - part.shape[1]), (0, 0)), mode="edge")
+        return jpeg.encode(part, options.quality, part.shape[2] == 3)
     part = np.pad(part, ((0, size - part.shape[0]), (0, size - part.shape[1]), (0, 0)))
     part = tiff.predict(part, predictor)
-    return tiff.compress(options.codec, part.astype(part.dtype.newbyteorder("<")).tobytes(), options.level)
+    return tiff.compress(codec, part.astype(part.dtype.newbyteorder("<")).tobytes(), options.level)
 
 
 def encode(source, options: Options, scratch: Scratch, reduced: bool, mask: bool) -> Encoded:
     """Encode a layer into the scratch, some blocks of a row at a time."""
     size, planar = options.block, options.planar and not mask
+    if options.codec == "jpeg" and not mask and (source.dtype != np.uint8 or source.bands > 4 and not planar):
+        raise ValueError("JPEG takes bands of 8 bits, and more than four only as planes")
     predictor = 1 if mask else encode_predictor(options.codec, source.dtype)
     wide = max(1, SAMPLES // (size * size * source.bands)) * size
     counts: list[int] = []
@@ -276,7 +298,7 @@ def encode(source, options: Options, scratch: Scratch, reduced: bool, mask: bool
                         if held is None:
                             held = source.read(lo, r, min(wide, source.width - lo), min(size, source.height - r))
                             held = held[:, :, plane : plane + 1] if planar else held
-                        data = block_bytes(held[:, c - lo : c - lo + size], options, predictor)
+                        data = block_bytes(held[:, c - lo : c - lo + size], options, predictor, mask)
                     out.write(data)
                     counts.append(len(data))
     if scratch.system:
@@ -311,7 +333,7 @@ def encode_all(base, mask, options: Options, scratch: Scratch, nodata: float | N
 
 def write(out, image: np.ndarray, options: Options, *, mask: np.ndarray | None = None, nodata: str | None = None, **tags) -> None:
     """Write an array (rows, cols, bands) with its overviews, and a mask's, to an open stream."""
-    options.codec = layout.check_options(options.block, options.codec, options.level)
+    options.codec = layout.check_options(options.block, options.codec, options.level, options.quality)
     _encoder(options)
     scales = resample.overview_levels(image.shape[1], image.shape[0], options.block) if options.overviews is None else options.overviews
     scratch = Scratch()
@@ -338,10 +360,12 @@ def join(out, layers: list[Encoded], scratch: Scratch, *, photometric: str = "mi
     def directory(x: Encoded, offsets: list[int], subs: list[int]) -> list[tuple[int, int, tuple]]:
         kind = {"u": 1, "i": 2, "f": 3}[x.dtype.kind]
         tags: list[tuple[int, int, tuple]] = [
-            (254, 4, (x.reduced | 4 * x.mask,)), (256, 4, (x.width,)), (257, 4, (x.height,)), (258, 3, (x.dtype.itemsize * 8,) * x.bands), (259, 3, (_CODES[options.codec],)),
-            (262, 3, (4 if x.mask else {v: k for k, v in tiff.PHOTOMETRIC.items()}.get(photometric, 1),)), (277, 3, (x.bands,)), (284, 3, (2 if x.planar else 1,)),
+            (254, 4, (x.reduced | 4 * x.mask,)), (256, 4, (x.width,)), (257, 4, (x.height,)), (258, 3, (x.dtype.itemsize * 8,) * x.bands), (259, 3, (_CODES[codec_of(options, x.mask)],)),
+            (262, 3, (4 if x.mask else 6 if x.coloured else {v: k for k, v in tiff.PHOTOMETRIC.items()}.get(photometric, 1),)), (277, 3, (x.bands,)), (284, 3, (2 if x.planar else 1,)),
             (317, 3, (x.predictor,)), (322, 4, (options.block,)), (323, 4, (options.block,)), (324, 16 if big else 4, tuple(offsets)), (325, 4, tuple(x.counts)), (339, 3, (kind,) * x.bands),
         ]
+        if x.coloured:
+            tags.append((530, 3, (1, 1)))
         if subs:
             tags.append((330, 18 if big else 13, tuple(subs)))
         if extra and not x.mask:
@@ -439,7 +463,7 @@ def convert(source: str, target: str, options: Options | None = None) -> None:
     compressed; the others are encoded. Memory is bounded by SAMPLES, not by the image.
     """
     options = options or Options()
-    options.codec = layout.check_options(options.block, options.codec, options.level)
+    options.codec = layout.check_options(options.block, options.codec, options.level, options.quality)
     _encoder(options)
     scratch = Scratch(target)
     try:
@@ -477,7 +501,7 @@ def convert(source: str, target: str, options: Options | None = None) -> None:
             else:
                 make = mask_maker(base.photometric, base.extra_samples, base.bands, base.dtype, options)
                 mask = make and Synthesised(FromFile(f, base, _tuple(window)), make)
-            extra, photometric = base.extra_samples, base.photometric
+            extra, photometric = base.extra_samples, "rgb" if base.photometric == "ycbcr" else base.photometric
             if options.bands:
                 first_extra = base.bands - len(extra)
                 extra = [extra[b - 1 - first_extra] for b in options.bands if b > first_extra]
@@ -513,7 +537,7 @@ def write_tiles(tiles: DataFrame, folder: str, options: Options | None = None, *
     the same file.
     """
     options = options or Options()
-    options.codec = layout.check_options(options.block, options.codec, options.level)
+    options.codec = layout.check_options(options.block, options.codec, options.level, options.quality)
     _encoder(options)
     schema = "raster_id string, path string, width int, height int, error string"
 

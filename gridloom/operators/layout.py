@@ -96,9 +96,44 @@ def verdicts(catalog: DataFrame, issue: DataFrame) -> DataFrame:
     )
 
 
-def validation_text(issue: DataFrame) -> DataFrame:
-    line = F.concat(F.upper("level"), F.lit(": "), "message")
-    return issue.groupBy("raster_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("report"))
+def validation_text(catalog: DataFrame, issue: DataFrame) -> DataFrame:
+    """A report per GeoTIFF raster: the verdict, the file, and a line per finding, errors first."""
+    tag = F.when(F.col("level") == "error", "ERROR").otherwise("WARN")
+    line = F.struct((F.col("level") != "error").alias("later"), "rule", F.concat(F.lit("  ["), tag, F.lit("] "), "message").alias("text"))
+    found = issue.groupBy("raster_id").agg(F.count_if(F.col("level") == "error").alias("errors"), F.transform(F.array_sort(F.collect_list(line)), lambda x: x.text).alias("lines"))
+    head = F.when(F.col("errors") > 0, "FAILED").when(F.size("lines") > 0, "PASSED (with warnings)").otherwise("PASSED")
+    name = F.coalesce("path", "raster_id") if "path" in catalog.columns else F.col("raster_id")
+    files = catalog.where("driver = 'GTiff'").select("raster_id", name.alias("file"))
+    all_of = files.join(found, "raster_id", "left").withColumns({"errors": F.coalesce("errors", F.lit(0)), "lines": F.coalesce("lines", F.array().cast("array<string>"))})
+    text = F.array_join(F.concat(F.array(F.concat(F.lit("COG validation: "), head), F.concat(F.lit("File: "), "file")), F.col("lines")), "\n")
+    return all_of.select("raster_id", text.alias("report"))
+
+
+def validation_report(path: str, found: list[tuple[str, str]]) -> str:
+    """The same report of one file's (level, message) findings."""
+    errors = [m for level, m in found if level == "error"]
+    rest = [m for level, m in found if level != "error"]
+    head = "FAILED" if errors else "PASSED (with warnings)" if rest else "PASSED"
+    return "\n".join([f"COG validation: {head}", f"File: {path}", *(f"  [ERROR] {m}" for m in errors), *(f"  [WARN] {m}" for m in rest)])
+
+
+def info_report(p: dict) -> str:
+    """What ``api.info`` says of a file, as lines of text."""
+    block = f", block {p['block_x']}x{p['block_y']}" if p.get("block_x") else ""
+    lines = [
+        f"Driver: {p['driver']}", f"Files: {p['path']}", f"Size is {p['width']}, {p['height']}", f"Band count: {p['bands']} ({p['bits']}-bit {p['sample_format']})",
+        f"Photometric: {p['photometric']}", f"Layout: {'tiled' if p['tiled'] else 'striped'}{block}", f"Compression: {p['compression']}",
+    ]
+    lines += [f"{name}: {p[key]}" for name, key in (("NoData", "nodata"), ("EPSG", "epsg")) if p.get(key) not in (None, "")]
+    if a := p.get("affine"):
+        xs = [a["ox"] + c * a["pw"] + r * a["skx"] for c in (0, p["width"]) for r in (0, p["height"])]
+        ys = [a["oy"] + c * a["sky"] + r * a["ph"] for c in (0, p["width"]) for r in (0, p["height"])]
+        lines.append("Bounds: (" + ", ".join(f"{v:.6f}" for v in (min(xs), min(ys), max(xs), max(ys))) + ")")
+        lines.append("GeoTransform: [" + ", ".join(f"{a[k]:.10f}" for k in ("ox", "pw", "skx", "oy", "sky", "ph")) + "]")
+    own = p.get("overviews") or []
+    lines.append(f"Overviews: {len(own) or 'none'}")
+    lines += [f"  {o['idx']}: {o['width']}x{o['height']}, block {o['block_x']}x{o['block_y']}" for o in own]
+    return "\n".join(lines)
 
 
 def info(catalog: DataFrame, levels: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """GeoTIFF and BigTIFF: header parsing, block codecs, window reads, and the data source ``geotiff``.
 
-Read without decoding, a block is its compressed payload; decoded, a numpy array (rows, cols, bands). JPEG and LERC
-blocks need a codec registered in gridloom.sources.sidecar.DECODERS.
+Read without decoding, a block is its compressed payload; decoded, a numpy array (rows, cols, bands). LERC blocks need a
+codec registered in gridloom.sources.sidecar.DECODERS; one for JPEG there takes the place of the baseline codec here.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from gridloom.sources import sidecar
+from gridloom.sources import jpeg, sidecar
 
 # Fixed numbers of the format.
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -347,6 +347,9 @@ def predict(a: np.ndarray, predictor: int) -> np.ndarray:
 
 def decode_block(layer: Layer, data: bytes, rows: int, bands: int) -> np.ndarray:
     """A block's samples; codecs with a codec of their own give an array themselves."""
+    if layer.codec == "jpeg" and "jpeg" not in sidecar.DECODERS:
+        a = jpeg.decode(data)
+        return (jpeg.to_rgb(a) if layer.photometric == "ycbcr" and a.shape[2] == 3 else a)[:rows]
     raw = decompress(layer.codec, data)
     if isinstance(raw, np.ndarray):
         return raw
@@ -368,7 +371,10 @@ def payload(f, layer: Layer, index: int) -> bytes | None:
     if count > BLOCK_CAP:
         raise ValueError(f"block {index} has {count} bytes")
     f.seek(offset)
-    return f.read(count)
+    data = f.read(count)
+    if layer.codec == "jpeg" and (tables := bytes(layer.tags.get(347, ()))):
+        data = data[:2] + tables[2:-2] + data[2:]  # with the directory's tables it can stand alone
+    return data
 
 
 def read_block(f, layer: Layer, index: int) -> np.ndarray:

@@ -267,8 +267,8 @@ def test_lzw_long_and_packbits():
 
 
 def test_missing_codec_is_named():
-    with pytest.raises(NotImplementedError, match="jpeg"):
-        tiff.decompress("jpeg", b"")
+    with pytest.raises(NotImplementedError, match="lerc"):
+        tiff.decompress("lerc", b"")
 
 
 def test_source_filters_and_conversion(spark, tmp_path):
@@ -350,7 +350,9 @@ def test_reports(spark):
     text = {r.raster_id: r.report for r in layout.info_text(layout.info(c, lv)).collect()}
     assert "Overview 2: 512 x 512" in text["good_cog"]
     found = layout.issues(c, lv)
-    assert "no overviews" in {r.raster_id: r.report for r in layout.validation_text(found).collect()}["no_georef"]
+    report = {r.raster_id: r.report for r in layout.validation_text(c, found).collect()}
+    assert "no overviews" in report["no_georef"] and report["no_georef"].startswith("COG validation: FAILED\nFile: no_georef\n  [ERROR] ")
+    assert report["good_cog"].startswith("COG validation: PASSED")
     assert {r.raster_id for r in layout.verdicts(c, found).collect() if r.valid} >= {"good_cog", "masked"}
 
 
@@ -546,3 +548,64 @@ def test_rings_of_geojson_and_their_measures():
             m = api.metrics_of_geojson(text)
             assert (m["n_vertices"], m["area"], m["max_x"]) == (4, 16.0, 4.0)
     assert api.metrics_of_geojson(footprint.EMPTY_GEOJSON) is None
+
+
+def smooth(h, w, bands):
+    y, x = np.mgrid[0:h, 0:w]
+    return np.stack([128 + 60 * np.sin(x / (9 + i)) + 50 * np.cos(y / (7 + 2 * i)) for i in range(bands)], axis=2).astype(np.uint8)
+
+
+def jvm_image(spark, data):
+    """What the JVM's own codec makes of a JPEG stream: (rows, cols, bands)."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    h, w = image.getHeight(), image.getWidth()
+    rgb = np.array(list(image.getRGB(0, 0, w, h, None, 0, w)), dtype=np.int64).reshape(h, w)
+    return np.stack([rgb >> s & 255 for s in (16, 8, 0)], axis=2).astype(np.uint8)
+
+
+def test_jpeg_against_another_codec(spark):
+    """Streams made here are read by the JVM's codec, and its streams, with colours at half size, are read here."""
+    from gridloom.sources import jpeg
+
+    a = smooth(61, 83, 3)
+    made = jpeg.encode(a, 92, True)
+    theirs = jvm_image(spark, made)
+    ours = jpeg.to_rgb(jpeg.decode(made))
+    assert np.abs(theirs.astype(int) - ours).max() <= 3 and np.abs(ours.astype(int) - a).mean() < 2
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(83, 61, 1)
+    packed = (a[:, :, 0].astype(int) << 16 | a[:, :, 1].astype(int) << 8 | a[:, :, 2]).ravel().tolist()
+    for i, v in enumerate(packed):
+        image.setRGB(i % 83, i // 83, v)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    assert np.abs(jpeg.to_rgb(jpeg.decode(data)).astype(int) - jvm_image(spark, data)).mean() < 2.5
+
+
+@pytest.mark.parametrize("bands, planar", [(1, False), (3, False), (4, False), (6, True)])
+def test_jpeg_files(tmp_path, bands, planar):
+    a, mask = smooth(50, 70, bands), np.where(smooth(50, 70, 1) > 100, 255, 0).astype(np.uint8)
+    data = make(a, cog.Options(codec="jpeg", block=16, quality=95, planar=planar), photometric="rgb" if bands == 3 else "minisblack", mask=mask)
+    file = tiff.parse(f := io.BytesIO(data))
+    got = tiff.read_window(f, file.images[0], 0, 0, 70, 50)
+    assert np.abs(got.astype(int) - a).mean() < 2.5 and got.dtype == np.uint8
+    assert np.abs(tiff.read_window(f, file.images[1], 0, 0, 35, 25).astype(int) - cog.shrink(a, 2, "average")).mean() < 3
+    np.testing.assert_array_equal(tiff.read_window(f, file.masks[0], 0, 0, 70, 50), mask)
+    path, out = str(tmp_path / "a.tif"), str(tmp_path / "b.tif")
+    with open(path, "wb") as g:
+        g.write(data)
+    cog.convert(path, out, cog.Options(block=16, codec="deflate"))
+    images, masks = layers_of(out)
+    np.testing.assert_array_equal(images[0], got)
+    np.testing.assert_array_equal(masks[0], mask)
+    cog.convert(path, out, cog.Options(block=16, codec="jpeg", quality=95, planar=planar))  # whole blocks are copied, not coded again
+    np.testing.assert_array_equal(layers_of(out)[0][0][:48, :64], got[:48, :64])
+
+
+def test_jpeg_refuses_what_it_cannot_hold():
+    with pytest.raises(ValueError, match="8 bits"):
+        make(np.zeros((20, 20, 1), np.uint16), cog.Options(codec="jpeg", block=16))
+    with pytest.raises(ValueError, match="quality"):
+        make(np.zeros((20, 20, 1), np.uint8), cog.Options(codec="jpeg", block=16, quality=0))
