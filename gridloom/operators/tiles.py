@@ -74,3 +74,42 @@ def permute_planar(blocks: DataFrame, bands: list[int], tiles_per_plane: int) ->
 def layer_order(layer: Column, is_mask: Column) -> list[Column]:
     """Order of layers in a masked file: base, base mask, overviews, overview masks."""
     return [(layer > 0).cast("int"), is_mask.cast("int"), layer]
+
+
+def blocks(pixels: DataFrame, width: int, height: int, size: int, bands: int = 1, dtype: str = "float64") -> DataFrame:
+    """Tiles (row_off, col_off, rows, cols, bands, dtype, data) of pixels (row, col, band, value): what a writer takes.
+
+    Samples that are missing or null are 0. A tile's pixels meet in one task; a tile without any pixel has none.
+    """
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        r, c = int(pdf["row"].iloc[0]) // size * size, int(pdf["col"].iloc[0]) // size * size
+        kind = dtype.rstrip("0123456789")
+        a = np.zeros((min(size, height - r), min(size, width - c), bands), {"uint": "u", "int": "i", "float": "f"}[kind] + str(int(dtype.removeprefix(kind)) // 8))
+        have = pdf[pdf["value"].notna()]
+        a[have["row"] - r, have["col"] - c, have["band"] - 1] = have["value"]
+        return pd.DataFrame([{"row_off": r, "col_off": c, "rows": a.shape[0], "cols": a.shape[1], "bands": bands, "dtype": dtype, "data": a.tobytes()}])
+
+    tile = pixels.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("band").cast("int"), F.col("value").cast("double"))
+    tile = tile.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+    return tile.groupBy(F.floor(F.col("row") / size).alias("_r"), F.floor(F.col("col") / size).alias("_c")).applyInPandas(run, "row_off int, col_off int, rows int, cols int, bands int, dtype string, data binary")
+
+
+def samples(blocks: DataFrame, size: int) -> DataFrame:
+    """Pixels (layer, row, col, band, value) of decoded chunky blocks as the data source gives them, without their filling."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for b in pdf.itertuples():
+                kind = b.dtype.rstrip("0123456789")
+                a = np.frombuffer(b.data, "<" + {"uint": "u", "int": "i", "float": "f"}[kind] + str(int(b.dtype.removeprefix(kind)) // 8)).reshape(size, size, -1)[: b.rows, : b.cols]
+                row, col, band = np.indices(a.shape)
+                yield pd.DataFrame({"layer": b.layer, "row": row.ravel() + b.row_off, "col": col.ravel() + b.col_off, "band": band.ravel() + 1, "value": a.ravel().astype(float)})
+
+    return blocks.select("layer", "row_off", "col_off", "rows", "cols", "dtype", "data").mapInPandas(run, "layer int, row long, col long, band int, value double")

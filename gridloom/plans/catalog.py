@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions import geo
-from gridloom.operators import bands, footprint, layout, resample, tiles, validity, windows
-from gridloom.sources import rasters
+from gridloom.operators import bands, cog, footprint, layout, resample, tiles, validity, windows
+from gridloom.session import scratch
+from gridloom.sources import rasters, tiff
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -482,6 +483,88 @@ def _rpc(spark, sf_dir):
     return _model(spark, sf_dir, lambda col, row: model.inverse(col * 10.0, row * 10.0))
 
 
+def _written(spark, sf_dir, alpha: bool = False) -> str:
+    """The vector raster as a file of 64 x 64 blocks; with alpha as two bands of 8 bits, 255 where the value is above 0."""
+    pixels, height = rasters.vectors(spark, sf_dir), _height(spark, sf_dir)
+    tags = {"affine": (10.0, 0.5, 0.0, 300.0, 0.0, -0.5)}
+    if alpha:
+        both = F.explode(F.array(F.struct(F.lit(1).alias("band"), F.lit(7.0).alias("value")), F.struct(F.lit(2).alias("band"), F.when(F.col("value") > 0, 255.0).otherwise(0.0).alias("value"))))
+        pixels = pixels.select("row", "col", both.alias("s")).select("row", "col", "s.band", "s.value")
+        tags["extra"] = ["unassociatedalpha"]
+    table = tiles.blocks(pixels, _WIDTH, height, 64, 2 if alpha else 1, "uint8" if alpha else "float64").withColumn("raster_id", F.lit("vectors"))
+    made = cog.write_tiles(table, scratch(spark, "files"), cog.Options(block=64, overviews=[2]), **tags).first()
+    if made.error:
+        raise ValueError(made.error)
+    return made.path
+
+
+def _converted(spark, path: str, **options) -> str:
+    """The file anew, by a task."""
+    out = f"{scratch(spark, 'files')}/out.tif"
+
+    def run(batches):
+        for pdf in batches:
+            for p in pdf["path"]:
+                cog.convert(p, out, cog.Options(block=64, **options))
+            yield pdf
+
+    spark.createDataFrame([(path,)], "path string").mapInPandas(run, "path string").collect()
+    return out
+
+
+def _read(spark, path: str, layer: int) -> DataFrame:
+    tiff.register(spark)
+    return tiles.samples(spark.read.format("geotiff").option("path", path).load().where(F.col("layer") == layer), 64)
+
+
+_AVG2 = f"WITH {_EMB}, {_SIZE} SELECT CAST(row // 2 AS BIGINT) AS row, CAST(col // 2 AS BIGINT) AS col, 1::INTEGER AS band, round(avg(value), 6) AS value FROM emb, dim WHERE row // 2 < greatest(1, h // 2) GROUP BY 1, 2"
+
+
+@query("cog_round_trip", f"WITH {_EMB} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, 1::INTEGER AS band, round(value, 6) AS value FROM emb")
+def _cog(spark, sf_dir):
+    """Tiles to a file and back."""
+    return _cast(_read(spark, _written(spark, sf_dir), 0))
+
+
+@query("cog_overview", _AVG2)
+def _cog_overview(spark, sf_dir):
+    return _cast(_read(spark, _written(spark, sf_dir), 1))
+
+
+@query("cog_transcode", _AVG2)
+def _cog_transcode(spark, sf_dir):
+    """A file under another codec: its overview comes along, and isn't made anew by the method given."""
+    return _cast(_read(spark, _converted(spark, _written(spark, sf_dir), codec="zstd", resampling="nearest"), 1))
+
+
+@query("cog_crop_overview", f"WITH {_EMB} SELECT CAST((row - 32) // 2 AS BIGINT) AS row, CAST((col - 8) // 2 AS BIGINT) AS col, 1::INTEGER AS band, round(avg(value), 6) AS value FROM emb WHERE row BETWEEN 32 AND 95 AND col BETWEEN 8 AND 47 GROUP BY 1, 2")
+def _cog_crop(spark, sf_dir):
+    """A crop whose window fits the overview takes its window of it."""
+    return _cast(_read(spark, _converted(spark, _written(spark, sf_dir), window=(8, 32, 40, 64), overviews=[2], resampling="nearest"), 1))
+
+
+_MASK_SQL = f"WITH {_EMB}, {_SIZE} SELECT CAST(row // {{s}} AS BIGINT) AS row, CAST(col // {{s}} AS BIGINT) AS col, 1::INTEGER AS band, CASE WHEN value > 0 THEN 255.0 ELSE 0.0 END::DOUBLE AS value FROM emb, dim WHERE row % {{s}} = 0 AND col % {{s}} = 0 AND row // {{s}} < greatest(1, h // {{s}})"
+
+
+@query("cog_mask", _MASK_SQL.format(s=1))
+def _cog_mask(spark, sf_dir):
+    """The mask that a conversion makes of alpha."""
+    path = _converted(spark, _written(spark, sf_dir, alpha=True))
+    return _cast(_read(spark, path, _first_mask(path)))
+
+
+@query("cog_mask_overview", _MASK_SQL.format(s=2))
+def _cog_mask_overview(spark, sf_dir):
+    """The mask's overview, kept when the file is converted again."""
+    path = _converted(spark, _converted(spark, _written(spark, sf_dir, alpha=True)), codec="lzw")
+    return _cast(_read(spark, path, _first_mask(path) + 1))
+
+
+def _first_mask(path: str) -> int:
+    with tiff.open_file(path) as f:
+        return next(i for i, (_, kind) in enumerate(tiff.every_layer(tiff.parse(f))) if kind == "mask")
+
+
 @query("simplify_dp")
 def _simplify(spark, sf_dir):
     r = _blocky(spark, sf_dir)

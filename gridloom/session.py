@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +26,22 @@ def get_spark(app: str = "gridloom", cores: int | str = "*", shuffle_partitions:
         .config("spark.driver.memory", os.environ.get("GRIDLOOM_DRIVER_MEMORY", "6g"))
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names, which driver and executors share; removed at exit.
+
+    Where the setting is absent it is a folder of this machine, and that only in local mode.
+    """
+    from gridloom.sources import tiff
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="gridloom-")
+    folder = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    system, path = tiff.file_system(folder)
+    system.create_dir(path, recursive=True)
+    atexit.register(lambda: system.delete_dir(path))
+    return folder
