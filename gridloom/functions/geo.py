@@ -8,6 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gridloom.functions import projections
+
 RADIUS = 6_378_137.0
 
 
@@ -20,12 +22,14 @@ def lonlat_to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 
 class Utm:
-    """Transverse Mercator on WGS 84 by Krueger's series to the sixth order, for EPSG 326xx and 327xx."""
+    """Transverse Mercator by Krueger's series to the sixth order: EPSG 326xx and 327xx on WGS 84, 258xx (ETRS89) and 269xx
+    (NAD83) on GRS 80, whose datums are taken for that of WGS 84 (they differ by a metre or two)."""
 
     def __init__(self, epsg: int):
-        if not (32601 <= epsg <= 32660 or 32701 <= epsg <= 32760):
+        grs80 = 25828 <= epsg <= 25838 or 26901 <= epsg <= 26923
+        if not (32601 <= epsg <= 32660 or 32701 <= epsg <= 32760 or grs80):
             raise ValueError(f"EPSG {epsg} is no UTM zone")
-        f = 1 / 298.257223563
+        f = 1 / 298.257222101 if grs80 else 1 / 298.257223563
         n = f / (2 - f)
         self.lon0 = math.radians((epsg % 100) * 6 - 183)
         self.north0 = 10_000_000.0 if epsg >= 32700 else 0.0
@@ -73,13 +77,19 @@ class Utm:
         return np.degrees(self.lon0 + np.arctan2(np.sinh(v), np.cos(u))), np.degrees(np.arctan(tau))
 
 
+#: Systems whose coordinates are longitude and latitude already, and files that don't say.
+GEOGRAPHIC = (None, 4326, 4258, 4269)
+
+
 def to_lonlat(epsg: int | None, x, y):
     """(lon, lat, known): coordinates of a system that isn't known pass through, and known is False."""
     x, y = np.asarray(x, float), np.asarray(y, float)
-    if epsg is None or epsg == 4326:
+    if epsg in GEOGRAPHIC:
         return x, y, True
     if epsg == 3857:
         return np.degrees(x / RADIUS), np.degrees(2 * np.arctan(np.exp(y / RADIUS)) - math.pi / 2), True
+    if plane := projections.by_epsg(epsg):
+        return *plane.inverse(x, y), True
     try:
         return *Utm(epsg).inverse(x, y), True
     except ValueError:
@@ -88,10 +98,12 @@ def to_lonlat(epsg: int | None, x, y):
 
 def from_lonlat(epsg: int | None, lon, lat):
     lon, lat = np.asarray(lon, float), np.asarray(lat, float)
-    if epsg is None or epsg == 4326:
+    if epsg in GEOGRAPHIC:
         return lon, lat, True
     if epsg == 3857:
         return np.radians(lon) * RADIUS, np.log(np.tan(np.radians(lat) / 2 + math.pi / 4)) * RADIUS, True
+    if plane := projections.by_epsg(epsg):
+        return *plane.forward(lon, lat), True
     try:
         return *Utm(epsg).forward(lon, lat), True
     except ValueError:

@@ -609,3 +609,27 @@ def test_jpeg_refuses_what_it_cannot_hold():
         make(np.zeros((20, 20, 1), np.uint16), cog.Options(codec="jpeg", block=16))
     with pytest.raises(ValueError, match="quality"):
         make(np.zeros((20, 20, 1), np.uint8), cog.Options(codec="jpeg", block=16, quality=0))
+
+
+def test_projections_against_published_examples():
+    """Worked examples of Snyder's manual and of the EPSG guidance notes."""
+    from gridloom.functions import projections as pr
+
+    clarke = (6_378_206.4, 1 / 294.978698214)
+    near = lambda got, want, tol: np.testing.assert_allclose(got, want, atol=tol)
+    near(pr.LambertConic(lon0=-96, lat0=23, lat1=33, lat2=45, body=clarke).forward(-75, 35), (1_894_410.9, 1_564_649.5), 0.1)
+    near(pr.AlbersConic(lon0=-96, lat0=23, lat1=29.5, lat2=45.5, body=clarke).forward(-75, 35), (1_885_472.7, 1_535_925.0), 0.1)
+    near(pr.PolarStereographic(lon0=70, lat0=-90, lat1=-71, east=6e6, north=6e6).forward(120, -75), (7_255_380.79, 7_053_389.56), 0.01)
+    near(pr.by_epsg(3035).forward(5, 50), (3_962_799.45, 2_999_718.85), 0.01)
+
+
+@pytest.mark.parametrize("epsg", [2154, 3031, 3034, 3035, 3413, 3976, 3995, 5070, 25832, 26917, 32733, 3857, 4258])
+def test_projections_there_and_back(epsg):
+    rng = np.random.default_rng(epsg)
+    lat0, lon0 = {2154: (46, 3), 3031: (-80, 0), 3976: (-75, 100), 3413: (75, -45), 3995: (80, 170), 5070: (38, -96), 26917: (40, -81), 32733: (-20, 15)}.get(epsg, (52, 9))
+    lat, lon = lat0 + rng.uniform(-6, 6, 50), (lon0 + rng.uniform(-4, 4, 50) + 180) % 360 - 180
+    x, y, known = geo.from_lonlat(epsg, lon, lat)
+    back = geo.to_lonlat(epsg, x, y)
+    assert known and back[2]
+    np.testing.assert_allclose(back[0], lon, atol=1e-9)
+    np.testing.assert_allclose(back[1], lat, atol=1e-9)
