@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.functions import geo
 from gridloom.operators import cog, footprint as fp, layout, windows
-from gridloom.sources import sidecar, tiff
+from gridloom.sources import jpeg2000, sidecar, tiff
 
 Options = cog.Options
 
@@ -40,14 +40,38 @@ class FootprintOptions:
     compat: bool = False
 
 
-def info(path: str) -> dict:
-    """The catalogue row of a file, from its header."""
+def is_jp2(path: str) -> bool:
+    """Whether a file is JPEG 2000: by its first bytes, or where they tell nothing, by its name."""
     with tiff.open_file(path) as f:
         head = f.read(12)
-        if head[4:8] in (b"jP  ", b"ftyp") or (head[:2] not in (b"II", b"MM") and path.split("?")[0].lower().endswith((".jp2", ".j2k", ".j2c"))):
-            f.seek(0)
+    if head[4:8] in (b"jP  ", b"ftyp") or head[:4] == b"\xff\x4f\xff\x51":
+        return True
+    return head[:2] not in (b"II", b"MM") and path.split("?")[0].lower().endswith((".jp2", ".j2k", ".j2c"))
+
+
+def jp2_georef(path: str, data: bytes) -> dict:
+    """affine and epsg of a JPEG 2000 file, from itself or the files beside it."""
+
+    def beside(extension: str) -> str | None:
+        try:
+            with tiff.open_file(path.rsplit(".", 1)[0] + "." + extension) as f:
+                return f.read().decode("utf-8", "replace")
+        except OSError:
+            return None
+
+    return sidecar.georef_of(path, data, None if path.startswith(("http://", "https://")) else beside)
+
+
+def info(path: str) -> dict:
+    """The catalogue row of a file, from its header."""
+    if is_jp2(path):
+        with tiff.open_file(path) as f:
             data = f.read()
-            return {"raster_id": path, "path": path, "driver": "JP2OpenJPEG", "compression": "jpeg2000", "tiled": True, "overviews": [], "gml": sidecar.jp2_xml(data)} | sidecar.jp2_header(data)
+        where = jp2_georef(path, data)
+        affine = where["affine"] and dict(zip(("ox", "pw", "skx", "oy", "sky", "ph"), where["affine"], strict=True))
+        row = {"raster_id": path, "path": path, "driver": "JP2OpenJPEG", "compression": "jpeg2000", "tiled": True, "overviews": [], "gml": sidecar.jp2_xml(data), "affine": affine, "epsg": where["epsg"], "nodata": None}
+        return row | sidecar.jp2_header(data)
+    with tiff.open_file(path) as f:
         return tiff.profile(path, tiff.parse(f))
 
 
@@ -98,7 +122,13 @@ def is_valid(path: str) -> bool:
 
 
 def convert(source: str, target: str, options: Options | None = None) -> None:
-    cog.convert(source, target, options)
+    """A GeoTIFF or JPEG 2000 file as a cloud-optimised GeoTIFF."""
+    if is_jp2(source):
+        with tiff.open_file(source) as f:
+            georef = jp2_georef(source, f.read())
+        cog.convert_jp2(source, target, replace(options or Options()), georef)
+    else:
+        cog.convert(source, target, options)
 
 
 def crop(source: str, target: str, *, pixels: tuple[int, int, int, int] | None = None, coordinates: tuple[float, float, float, float] | None = None, options: Options | None = None) -> None:
@@ -112,13 +142,13 @@ def crop(source: str, target: str, *, pixels: tuple[int, int, int, int] | None =
         if p["affine"] is None:
             raise ValueError("the file has no georeferencing")
         w = windows.by_map(windows.Affine(**p["affine"]), p["width"], p["height"], *coordinates)
-    cog.convert(source, target, replace(options or Options(), window=(w.col_off, w.row_off, w.width, w.height)))
+    convert(source, target, replace(options or Options(), window=(w.col_off, w.row_off, w.width, w.height)))
 
 
 def select_bands(source: str, target: str, bands: list[int], options: Options | None = None) -> None:
     from gridloom.operators.bands import check
 
-    cog.convert(source, target, replace(options or Options(), bands=check(bands, info(source)["bands"])))
+    convert(source, target, replace(options or Options(), bands=check(bands, info(source)["bands"])))
 
 
 def validity(f, file: tiff.File, o: FootprintOptions) -> tuple[np.ndarray, str]:
@@ -158,6 +188,34 @@ def validity(f, file: tiff.File, o: FootprintOptions) -> tuple[np.ndarray, str]:
     return (np.abs(first - nodata) >= np.finfo(first.dtype).eps) if first.dtype.kind == "f" else first != nodata, kind
 
 
+def jp2_validity(image: jpeg2000.Image, head: dict, o: FootprintOptions) -> tuple[np.ndarray, str]:
+    """Mask of valid pixels in the window of a JPEG 2000 image, and what it follows from; decoded region by region.
+
+    One grey band of 8 bits or fewer is a mask itself, and goes before all else. Images of 12 bits are valid throughout where
+    the samples of a band would decide. There is no no-data value in these files.
+    """
+    window = o.window or (0, 0, image.width, image.height)
+    single = head["bands"] == 1 and head["photometric"] == "minisblack"
+    alpha = next((head["bands"] - len(head["extra_samples"]) + i for i, e in enumerate(head["extra_samples"]) if "alpha" in e), None)
+    black = o.black_rgb and head["bands"] == 3 and head["photometric"] == "rgb" and head["bits"] == 8
+    have = {"mask": single and head["bits"] <= 8, "alpha": alpha is not None, "nodata": False, "nonzero": True, "full": True}
+    kind = o.source
+    if kind == "auto":
+        kind = "mask" if have["mask"] else "alpha" if o.mask_from_alpha and have["alpha"] else "nonzero" if o.nonzero and single else "black_rgb" if black else "full"
+    elif not have[kind]:
+        raise ValueError(f"{kind} was asked for, but there is none")
+    out = np.ones((window[3], window[2]), bool)
+    if kind == "full" or kind == "nonzero" and head["bits"] == 12:
+        return out, kind
+    test = {
+        "mask": lambda a: a[:, :, 0] != 0, "alpha": lambda a: a[:, :, alpha] > 0, "nonzero": lambda a: a[:, :, 0] > o.threshold, "black_rgb": lambda a: (a[:, :, :3] != 0).any(axis=2),
+    }[kind]
+    for col, row, width, height in jpeg2000.regions(image.width, image.height, window):
+        part = test(image.read(col, row, width, height))
+        out[row - window[1] : row - window[1] + height, col - window[0] : col - window[0] + width] = part
+    return out, kind
+
+
 def trace(valid: np.ndarray, compat: bool = False) -> list[list[tuple[float, float]]]:
     """Rings of a mask in pixels, without their closing point."""
     if valid.all():
@@ -225,10 +283,20 @@ def georeference(f, file: tiff.File, o: FootprintOptions):
 def footprint(path: str, options: FootprintOptions | None = None) -> dict:
     """Outline of the valid area: body (in the format asked for), rings, validity, georef, epsg, ring_count, vertex_count."""
     o = options or FootprintOptions()
-    with tiff.open_file(path) as f:
-        file = tiff.parse(f)
-        valid, kind = validity(f, file, o)
-        model, name, epsg = georeference(f, file, o)
+    if is_jp2(path):
+        with tiff.open_file(path) as f:
+            data = f.read()
+        valid, kind = jp2_validity(jpeg2000.Image(data), sidecar.jp2_header(data), o)
+        where = jp2_georef(path, data)
+        if place := where["affine"] and windows.Affine(*where["affine"]):
+            model, name, epsg = place.to_map, "affine", where["epsg"]
+        else:
+            model, name, epsg = (lambda c, r: (c, r)), "pixel", None
+    else:
+        with tiff.open_file(path) as f:
+            file = tiff.parse(f)
+            valid, kind = validity(f, file, o)
+            model, name, epsg = georeference(f, file, o)
     rings = trace(valid, o.compat) if valid.any() else []
     if len(rings) > 1 and (o.outer_only or (kind == "nonzero" and not o.all_rings)):
         rings = [max(enumerate(rings), key=lambda r: (fp.area(r[1]), r[0]))[1]]
@@ -295,7 +363,7 @@ def batch(spark: SparkSession, paths: DataFrame, folder: str, kind: str = "cog",
 
     def job(path: str, output: str) -> None:
         if kind == "cog":
-            cog.convert(path, f"{folder}/{output}", options)
+            convert(path, f"{folder}/{output}", options)
         else:
             write_text(f"{folder}/{output}", footprint(path, options)["body"])
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.operators import layout, resample, windows
-from gridloom.sources import jpeg, tiff
+from gridloom.sources import jpeg, jpeg2000, sidecar, tiff
 
 _CODES = {"none": 1, "lzw": 5, "jpeg": 7, "deflate": 8, "zstd": 50000}
 _CLASSIC_LIMIT = 3_500_000_000
@@ -178,6 +178,22 @@ class FromFile:
         return tiff.payload(self.f, self.layer, index + ((self.chosen[plane] - 1) * self.layer.across * self.layer.down if self.layer.planar else 0))
 
 
+class FromJp2:
+    """A window of a JPEG 2000 image at 1 / 2 ** reduce, some of its bands."""
+
+    def __init__(self, image: jpeg2000.Image, window: tuple[int, int, int, int], bands: list[int] | None = None, reduce: int = 0):
+        self.image, self.reduce = image, reduce
+        self.col, self.row, self.width, self.height = window
+        self.chosen = [b - 1 for b in bands or range(1, image.components + 1)]
+        self.bands, self.dtype = len(self.chosen), image.dtype
+
+    def read(self, col: int, row: int, width: int, height: int) -> np.ndarray:
+        return self.image.read(self.col + col, self.row + row, width, height, self.reduce)[:, :, self.chosen]
+
+    def copy(self, plane: int, row: int, col: int) -> bytes | None:
+        return None
+
+
 class Smaller:
     """A layer at 1 / scale of another. A window is made from the window behind it and a margin that covers all taps."""
 
@@ -523,6 +539,53 @@ def convert(source: str, target: str, options: Options | None = None) -> None:
         scratch.clear()
 
 
+def convert_jp2(source: str, target: str, options: Options, georef: dict | None = None) -> None:
+    """A JPEG 2000 image as a file of planes, with overviews and, of four bands with colours, a mask from the fourth.
+
+    An overview of a scale that holds halvings is decoded at that size and shrunk by what is left, unless its window doesn't
+    fit or ``options.fresh``; then it is made from the level before. ``georef``: affine and epsg, from whatever is beside the
+    image or in it.
+    """
+    options.codec = layout.check_options(options.block, options.codec, options.level, options.quality)
+    options.planar = True
+    _encoder(options)
+    georef = georef or {}
+    with tiff.open_file(source) as f:
+        data = f.read()
+    head, image = sidecar.jp2_header(data), jpeg2000.Image(data)
+    window = windows.by_pixels(image.width, image.height, *(options.window or (0, 0, image.width, image.height)))
+    scales = options.overviews
+    if scales is None:
+        scales = resample.overview_levels(window.width, window.height, options.block)
+
+    def reduced(s: int):
+        halvings = min(jpeg2000.halvings(s), image.levels)
+        if options.fresh or not halvings or not (window.fits(1 << halvings) or options.window is None):
+            return None
+        small = window.scaled(1 << halvings)
+        small = FromJp2(image, _tuple(small), options.bands, halvings)
+        rest = s >> halvings
+        return small if rest == 1 else Smaller(small, rest, options.resampling)
+
+    extra, photometric = head["extra_samples"], head["photometric"]
+    make = mask_maker(photometric, extra, image.components, image.dtype, options)
+    mask = make and Synthesised(FromJp2(image, _tuple(window)), make)
+    if options.bands:
+        first_extra = image.components - len(extra)
+        extra = [extra[b - 1 - first_extra] for b in options.bands if b > first_extra]
+        photometric = "rgb" if len(options.bands) - len(extra) == 3 else "minisblack"
+    affine = georef.get("affine")
+    if affine:
+        ox, pw, skx, oy, sky, ph = affine
+        affine = (ox + window.col_off * pw + window.row_off * skx, pw, skx, oy + window.col_off * sky + window.row_off * ph, sky, ph)
+    scratch = Scratch(target)
+    try:
+        layers = encode_all(FromJp2(image, _tuple(window), options.bands), mask, options, scratch, None, scales, reduced)
+        publish(target, layers, scratch, photometric=photometric, extra=extra, affine=affine, epsg=georef.get("epsg"))
+    finally:
+        scratch.clear()
+
+
 def _tuple(w: windows.Window) -> tuple[int, int, int, int]:
     return w.col_off, w.row_off, w.width, w.height
 

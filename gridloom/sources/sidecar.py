@@ -141,6 +141,35 @@ def read_headers(files: DataFrame) -> DataFrame:
     )
 
 
+def georef_of(path: str, data: bytes, beside=None) -> dict:
+    """affine (ox, pw, skx, oy, sky, ph) and epsg of one JPEG 2000 file: from its GML, else a world file and a projection.
+
+    ``beside(extension)`` gives the text of the file of that extension next to it, or None. Neither: both are None.
+    """
+    import re
+
+    number = r"(-?[0-9.eE+-]+)[ ,]+(-?[0-9.eE+-]+)"
+    xml = jp2_xml(data) or ""
+    origin = re.search(r"(?s)<gml:origin>.*?<gml:pos[^>]*>\s*" + number, xml)
+    vectors = re.findall(r"(?s)<gml:offsetVector[^>]*>\s*" + number, xml)
+    if origin and len(vectors) >= 2:
+        (a, d), (b, e) = (tuple(map(float, v)) for v in vectors[:2])
+        x, y = float(origin[1]), float(origin[2])
+        code = re.search(r"EPSG:+(\d+)", xml)
+        return {"affine": (x - (a + b) / 2, a, b, y - (d + e) / 2, d, e), "epsg": int(code[1]) if code else None}
+    for extension in WORLD_EXTENSIONS:
+        text = beside(extension) if beside else None
+        try:
+            v = [float(t) for t in text.split()[:6]] if text else []
+        except ValueError:
+            v = []
+        if len(v) == 6:
+            a, d, b, e, x, y = v
+            code = re.search(r'EPSG",\s*"?(\d+)', beside("prj") or "")
+            return {"affine": (x - (a + b) / 2, a, b, y - (d + e) / 2, d, e), "epsg": int(code[1]) if code else None}
+    return {"affine": None, "epsg": None}
+
+
 def stem(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]*$", "")
 
