@@ -87,7 +87,7 @@ def tasks_for(df: DataFrame, each: int = 64_000_000, most: int = 10_000, at_most
     """
     spark = df.sparkSession
     least = 4 * spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 60:
         return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return max(least, min(-(-size // each), max(most, -(-size // at_most_each))))
