@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Names of codecs and their aliases, of conversion paths, and further down the words of findings and reports,
+# which consumers match.
 WEB_CODECS = ("none", "lzw", "deflate", "jpeg", "zstd", "lerc")
 CODECS = {"none": "none", "raw": "none", "lzw": "lzw", "deflate": "deflate", "zip": "deflate", "zstd": "zstd", "jpeg": "jpeg", "jpg": "jpeg", "lerc": "lerc"}
 PATHS = ("identity", "transcode", "planar_permute", "chunky_permute", "hybrid_crop", "strip_encode", "full_encode")
@@ -87,6 +89,19 @@ def issues(catalog: DataFrame, levels: DataFrame) -> DataFrame:
     return out
 
 
+def of_profiles(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(catalogue, levels), as the rules here take them, from files' profiles (``sources.tiff.profiles``)."""
+    read = profiles.where("error is null")
+    n = F.size(F.coalesce("tiepoints", F.array().cast("array<struct<col:double,row:double,z:double,x:double,y:double,h:double>>")))
+    catalog = read.withColumns({
+        "has_affine": F.col("affine").isNotNull(), "has_matrix": F.col("matrix").isNotNull(), "has_scale": F.lit(False), "n_tiepoints": n, "grid_complete": F.lit(False), "has_rpc": F.col("rpc").isNotNull(),
+    })
+    each = lambda column, names: read.select("raster_id", F.inline(column)).select("raster_id", "idx", "width", "height", *names)
+    own = each("overviews", [F.col("block_x").alias("block"), "compression", "tiled", F.lit(False).alias("is_mask")])
+    masks = each("mask_ifds", [F.lit(None).cast("int").alias("block"), F.lit(None).cast("string").alias("compression"), "tiled", F.lit(True).alias("is_mask")])
+    return catalog, own.unionByName(masks)
+
+
 def verdicts(catalog: DataFrame, issue: DataFrame) -> DataFrame:
     """raster_id, n_errors, n_warnings, valid: no error."""
     n = issue.groupBy("raster_id").agg(F.count_if(F.col("level") == "error").alias("e"), F.count_if(F.col("level") == "warning").alias("w"))
@@ -118,7 +133,7 @@ def validation_report(path: str, found: list[tuple[str, str]]) -> str:
 
 
 def info_report(p: dict) -> str:
-    """What ``api.info`` says of a file, as lines of text."""
+    """What ``api.info`` says of a file, as lines of text in a fixed form."""
     block = f", block {p['block_x']}x{p['block_y']}" if p.get("block_x") else ""
     lines = [
         f"Driver: {p['driver']}", f"Files: {p['path']}", f"Size is {p['width']}, {p['height']}", f"Band count: {p['bands']} ({p['bits']}-bit {p['sample_format']})",

@@ -92,9 +92,14 @@ def _inside(pixels: DataFrame, width: int, height: int) -> DataFrame:
     return pixels.where((F.col("row") < height) & (F.col("col") < width))
 
 
-def pyramid(pixels: DataFrame, width: int, height: int, levels: list[int], method: str = "average") -> DataFrame:
+def pyramid(pixels: DataFrame, width: int, height: int, levels: list[int], method: str = "average", folder: str | None = None) -> DataFrame:
     """All levels in one frame with a column ``layer`` (0: base). A level that is twice the one before is made from it,
-    any other from the base; lineage stays short, as each step is one aggregation."""
+    any other from the base. Each level is written once, below ``folder`` or in the session's shared one, so level n
+    doesn't repeat the n - 1 before it."""
+    from gridloom.session import scratch
+
+    spark = pixels.sparkSession
+    folder = folder or scratch(spark, "pyramid")
     out = pixels.withColumn("layer", F.lit(0))
     before, frame, size = 1, pixels, (width, height)
     for n, level in enumerate(levels, 1):
@@ -102,6 +107,8 @@ def pyramid(pixels: DataFrame, width: int, height: int, levels: list[int], metho
             frame = downsample(frame, 2, method, *size)
         else:
             frame = downsample(pixels, level, method, width, height)
+        frame.write.mode("overwrite").parquet(f"{folder}/{n}")
+        frame = spark.read.schema(frame.schema).parquet(f"{folder}/{n}")
         size = overview_size(width, height, level)
         before = level
         out = out.unionByName(frame.withColumn("layer", F.lit(n)).select(out.columns))

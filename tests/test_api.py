@@ -25,6 +25,7 @@ def files(tmp_path):
     rgba[:, :, 3] = np.where((x >= 20) & (x < 44) & (y >= 14) & (y < 34), 0, 255)
     sy, sx = np.mgrid[0:60, 0:80]
     sar = np.where((sx < 8) | (sy < 8) | (sx >= 72) | (sy >= 52), 0, 1200 + (sx + sy) % 50).astype(np.uint16)[:, :, None]
+    # Tie points of a published outline, whose box and rings the tests below expect.
     ties = [(0, 0, 0, 10, 30, 0), (39, 0, 0, 11, 30, 0), (0, 29, 0, 10, 29, 0), (39, 29, 0, 11, 29, 0), (20, 15, 0, 10.5, 29.5, 0)]
     return {
         "full": put("full.tif", np.full((48, 64, 3), (180, 90, 30), np.uint8), photometric="rgb", epsg=4326, affine=PLACE),

@@ -153,6 +153,7 @@ def test_outputs_of_a_footprint(spark):
 
 
 def test_spline_golden_box():
+    # Tie points of a published outline.
     ties = [(0, 0, 10, 30), (39, 0, 11, 30), (0, 29, 10, 29), (39, 29, 11, 29), (20, 15, 10.5, 29.5)]
     x, y = geo.Spline.of(ties)(np.array([0, 40, 40, 0]), np.array([0, 0, 30, 30]))
     assert (x.min(), y.min(), x.max(), y.max()) == pytest.approx((10.0, 28.9645742, 11.0263423, 30.0), abs=1e-6)
@@ -633,3 +634,31 @@ def test_projections_there_and_back(epsg):
     assert known and back[2]
     np.testing.assert_allclose(back[0], lon, atol=1e-9)
     np.testing.assert_allclose(back[1], lat, atol=1e-9)
+
+
+def test_rules_of_files_and_of_catalogues_agree(spark, tmp_path):
+    """The whole-file functions and the operators over a catalogue find the same in the same files."""
+    from gridloom import api
+
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 9, (70, 90, 3)).astype(np.uint8)
+    files = {
+        "good": make(a, cog.Options(block=16), photometric="rgb", affine=(0.0, 1.0, 0.0, 0.0, 0.0, -1.0)), "bare": make(a, cog.Options(block=48, overviews=[], codec="lzw"), photometric="rgb"),
+        "masked": make(a, cog.Options(block=16), photometric="rgb", mask=np.where(a[:, :, :1] > 2, 255, 0).astype(np.uint8)), "nodata": make(a[:, :, :1], cog.Options(block=16), nodata="3"),
+        "grey": make(a[:, :, :1], cog.Options(block=32)), "alpha": make(np.concatenate([a, a[:, :, :1]], axis=2), cog.Options(block=16), photometric="rgb", extra=["unassociatedalpha"]),
+        "not_smaller": make(a, cog.Options(block=16, overviews=[1, 2]), photometric="rgb"),
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.tif").write_bytes(data)
+    paths = [str(tmp_path / f"{n}.tif") for n in files]
+    c, lv = layout.of_profiles(tiff.profiles(spark.createDataFrame([(p,) for p in paths], "path string")))
+    found = {}
+    for r in layout.issues(c, lv).collect():
+        found.setdefault(r.raster_id, []).append((r.level, r.message))
+    for p in paths:
+        assert sorted(found.get(p, [])) == sorted(api.validate(p)), p
+    has = validity.match_masks(c, lv).select("raster_id", "has_mask")
+    for black in (False, True):
+        kinds = {r.raster_id: r.validity for r in validity.choose(c.join(has, "raster_id"), black_rgb=black).collect()}
+        for p in paths:
+            assert kinds[p] == api.footprint(p, api.FootprintOptions(black_rgb=black))["validity"], p
