@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_outliers": quality.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_impact_topk": topk.OP3_SQL, "op9_url_filters": urlfilter.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_impact_topk": topk.OP3_SQL, "op5_dictionary_warc": warc.OP5_SQL, "op9_url_filters": urlfilter.OP9_SQL}

@@ -71,12 +71,14 @@ def host_stacks(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     dealt = common.materialise(events.repartitionByRange("key", "kind", "host").withColumn("range", F.spark_partition_id()), "sweep")
     ranges = dealt.groupBy("range").agg(F.max_by("stack", F.when(F.col("stack").isNotNull(), F.struct("key", "kind"))).alias("last"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    carried = ranges.select("range", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    carried = common.materialise(ranges.select("range", F.last("last", ignorenulls=True).over(before).alias("carried")), "carried")
+    held = carried.agg(F.count("*").alias("ranges"), F.sum(F.size("carried")).alias("rules")).first()
+    small = held.ranges <= BROADCAST_HOSTS and (held.rules or 0) <= BROADCAST_RULES
     sweep = Window.partitionBy("range").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return (
         dealt.withColumn("active", F.last("stack", ignorenulls=True).over(sweep))
         .where("kind = 2")
-        .join(F.broadcast(carried), "range")
+        .join(F.broadcast(carried) if small else carried, "range")
         .select("host", F.coalesce("active", "carried").alias("stack"))
         .where("size(stack) > 0")
     )

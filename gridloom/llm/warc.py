@@ -226,3 +226,17 @@ def read(archives: DataFrame, root: str) -> DataFrame:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     return read(*write(common.table(spark, sf_dir, "pages"))).drop("url")
+
+
+#: A digit of the digest is five bits, from two neighbouring hexadecimal ones.
+OP5_SQL = """
+WITH d AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+), x AS (
+  SELECT page_id, n, top, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', substr(hex, CAST(i AS INTEGER), 1)) - 1) AS v FROM d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((v[5 * k // 4 + 1] * 16 + v[5 * k // 4 + 2]) >> (3 - 5 * k % 4)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM x
+"""

@@ -299,6 +299,14 @@ def test_archives(spark):
     assert warc.read(empty, root).count() == 0
 
 
+def test_archives_against_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    columns = "page_id, payload_bytes, payload_digest, record_type, refers_to"
+    got = sorted(map(repr, map(tuple, warc.op5(spark, DATA).select(*columns.split(", ")).collect())))
+    assert got == sorted(map(repr, c.sql(f"SELECT {columns} FROM ({warc.OP5_SQL})").fetchall()))
+
+
 def test_records_can_be_read_alone():
     import struct
 
@@ -810,7 +818,7 @@ def test_robust_fit_against_numpy(spark):
     rows += [("de", "de2", *map(float, r)) for r in rng.normal(size=(9, 5)) @ a] + [("de", "de3", 1.0, 2.0, 3.0, 4.0, 5.0)] * 3
     rows += [("fr", "fr1", *map(float, r)) for r in rng.normal(size=(80, 5))]
     df = spark.createDataFrame(rows, "lg string, g string, x1 double, x2 double, x3 double, x4 double, x5 double")
-    params = quality.fit(df)
+    params, _ = quality.fit(df)
     judged = quality._with_distance(df.join(params, "g")).collect()
     groups = {}
     for r in rows:
@@ -821,7 +829,7 @@ def test_robust_fit_against_numpy(spark):
     exact = np.array([want[r.g, (r.x1, r.x2, r.x3, r.x4, r.x5)] for r in judged])
     np.testing.assert_allclose(got, exact, rtol=0.02, atol=0.05)
     assert (got[exact > 200] > 100).all() and (exact > 200).sum() >= 100
-    assert quality.fit(df.where("false")).count() == 0
+    assert quality.fit(df.where("false"))[0].count() == 0
 
 
 def test_quality_verdicts_against_numpy(spark):
