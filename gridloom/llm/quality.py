@@ -29,6 +29,8 @@ CORE, FIRST_STEPS, MOST_STEPS, SETTLED = 0.75, 2, 10, 0.01
 SHRINK_CENTRE, SHRINK_SCATTER = 10, 50
 #: Of quantiles: their rank is off by at most one in so many, so they are exact in smaller groups.
 ACCURACY = 10_000
+#: Up to so many groups their parameters are broadcast (three rows of some 25 numbers each); beyond, joined by shuffling.
+BROADCAST_GROUPS = 50_000
 #: Probability that a clean Gaussian vector would be rejected: a limit of d2 = 30.9. Clean statistics have longer tails; the
 #: limit is set from measured ones, and leaves 0.99 of the documents labelled clean (README).
 REJECT = 1e-5
@@ -120,6 +122,10 @@ def _features() -> dict[str, Column]:
     }
 
 
+def _small(df: DataFrame, groups: int) -> DataFrame:
+    return F.broadcast(df) if groups <= BROADCAST_GROUPS else df
+
+
 _P = len(FEATURES)
 _MEAN = [f"m{i}" for i in range(_P)]
 _LOW = {(i, j): f"l{i}{j}" for i in range(_P) for j in range(i + 1)}
@@ -171,76 +177,78 @@ def _estimate(near: DataFrame, consistent: float) -> DataFrame:
     return _factor(out, lambda i, j: F.col(f"c{i}{j}")).select("g", "lg", "s", *_MEAN, *_LOW.values(), "logdet")
 
 
-def _middle(df: DataFrame, by: str) -> DataFrame:
-    """Median and 1.4826 times the median deviation (or the floor) of each feature."""
+def _middle(df: DataFrame, by: str) -> tuple[DataFrame, int]:
+    """Median and 1.4826 times the median deviation (or the floor) of each feature, and for how many groups."""
     middle = common.materialise(df.groupBy(by).agg(*[F.percentile_approx(x, 0.5, ACCURACY).alias(f"a{i}") for i, x in enumerate(FEATURES)]), "mcd")
-    spread = df.join(middle.withColumnRenamed(by, "of"), F.col(by) == F.col("of")).groupBy(by).agg(
+    n = middle.count()
+    spread = df.join(_small(middle.withColumnRenamed(by, "of"), n), F.col(by) == F.col("of")).groupBy(by).agg(
         *[F.first(f"a{i}").alias(f"a{i}") for i in range(_P)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"a{i}")), 0.5, ACCURACY).alias(f"d{i}") for i, x in enumerate(FEATURES)]
     )
     scale = [F.greatest(F.col(f"d{i}") * 1.4826, F.lit(FLOOR[x])).alias(f"d{i}") for i, x in enumerate(FEATURES)]
-    return common.materialise(spread.select(by, *[f"a{i}" for i in range(_P)], *scale), "mcd")
+    return common.materialise(spread.select(by, *[f"a{i}" for i in range(_P)], *scale), "mcd"), n
 
 
-def _starts(distinct: DataFrame) -> DataFrame:
-    """g, lg, s, mean, factor of the three starts of each group."""
+def _starts(distinct: DataFrame) -> tuple[DataFrame, int]:
+    """g, lg, s, mean, factor of the three starts of each group, and the number of groups."""
     groups = distinct.select("g", "lg").distinct()
-    own, lang = _middle(distinct, "g"), _middle(distinct, "lg")
+    (own, n), (lang, n_lang) = _middle(distinct, "g"), _middle(distinct, "lg")
     zero = F.lit(0.0)
     plain = [*[F.col(f"a{i}").alias(_MEAN[i]) for i in range(_P)], *[(F.col(f"d{i}") if i == j else zero).alias(name) for (i, j), name in _LOW.items()]]
     first = groups.join(own, "g").select("g", "lg", F.lit(0).alias("s"), *plain)
-    second = groups.join(lang, "lg").select("g", "lg", F.lit(1).alias("s"), *plain)
+    second = groups.join(_small(lang, n_lang), "lg").select("g", "lg", F.lit(1).alias("s"), *plain)
     # Squashed deviations have bounded weight, so their correlations are robust; the scales are those of the medians.
-    squashed = distinct.join(own.withColumnRenamed("g", "of"), F.col("g") == F.col("of"))
+    squashed = distinct.join(_small(own.withColumnRenamed("g", "of"), n), F.col("g") == F.col("of"))
     squashed = squashed.select("g", "lg", *[F.col(f"a{i}") for i in range(_P)], *[F.col(f"d{i}") for i in range(_P)], *[F.tanh((F.col(x) - F.col(f"a{i}")) / F.col(f"d{i}")).alias(f"t{i}") for i, x in enumerate(FEATURES)])
     moments = squashed.groupBy("g", "lg").agg(*[F.first(f"{k}{i}").alias(f"{k}{i}") for k in "ad" for i in range(_P)], *[F.covar_pop(f"t{i}", f"t{j}").alias(f"v{i}{j}") for i, j in _LOW])
     root = lambda i, j: F.greatest(F.sqrt(F.col(f"v{i}{i}") * F.col(f"v{j}{j}")), F.lit(1e-12))
     third = moments.select("g", "lg", F.lit(2).alias("s"), *[F.col(f"a{i}").alias(_MEAN[i]) for i in range(_P)],
                            *[(F.col(f"d{i}") * F.col(f"d{j}") * (F.lit(1.0) if i == j else F.col(f"v{i}{j}") / root(i, j))).alias(f"c{i}{j}") for i, j in _LOW])
     third = _factor(third, lambda i, j: F.col(f"c{i}{j}")).select("g", "lg", "s", *_MEAN, *_LOW.values())
-    return common.materialise(first.unionByName(second).unionByName(third), "mcd")
+    return common.materialise(first.unionByName(second).unionByName(third), "mcd"), n
 
 
-def _with_params(distinct: DataFrame, params: DataFrame) -> DataFrame:
-    """The distances of all vectors. ``params`` is a written table, so Spark knows its size and broadcasts it if small."""
+def _with_params(distinct: DataFrame, params: DataFrame, n: int) -> DataFrame:
+    """The distances of all vectors under the parameters of their groups, of which there are ``n``."""
     mine = params.withColumnRenamed("g", "of").drop("lg", "logdet", "settled")
-    return _with_distance(distinct.join(mine, F.col("g") == F.col("of")))
+    return _with_distance(distinct.join(_small(mine, n), F.col("g") == F.col("of")))
 
 
-def _concentrate(distinct: DataFrame, params: DataFrame) -> DataFrame:
+def _concentrate(distinct: DataFrame, params: DataFrame, n: int) -> DataFrame:
     """One step: the nearest CORE of each group's vectors under ``params``, estimated anew."""
-    far = _with_params(distinct, params)
+    far = _with_params(distinct, params, n)
     edge = far.groupBy("g", "s").agg(F.percentile_approx("d2", CORE, ACCURACY).alias("edge"))
     edge = common.materialise(edge.select(F.col("g").alias("g_of"), F.col("s").alias("s_of"), "edge"), "mcd")
-    near = far.join(edge, (F.col("g") == F.col("g_of")) & (F.col("s") == F.col("s_of"))).where(F.col("d2") <= F.col("edge") * (1 + 1e-9))
+    near = far.join(_small(edge, n), (F.col("g") == F.col("g_of")) & (F.col("s") == F.col("s_of"))).where(F.col("d2") <= F.col("edge") * (1 + 1e-9))
     return _estimate(near, CORE / chi2_cdf(chi2_quantile(CORE, _P), _P + 2))
 
 
-def fit(vectors: DataFrame) -> DataFrame:
-    """Centre and scatter per group ``g`` from the vectors x1.. of all rows, ``lg`` being its language: a row per group.
+def fit(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """Centre and scatter per group ``g`` from the vectors x1.. of all rows, ``lg`` being its language: a row per group; and
+    the number of groups.
 
     Of starts with equal determinants the first counts. No vectors give no rows.
     """
     distinct = common.materialise(vectors.select("g", "lg", *FEATURES).distinct(), "vectors")
-    params = _starts(distinct)
+    params, n = _starts(distinct)
     for _ in range(FIRST_STEPS):
-        params = common.materialise(_concentrate(distinct, params), "mcd")
+        params = common.materialise(_concentrate(distinct, params, n), "mcd")
     best = params.groupBy("g", "lg").agg(F.min_by(F.struct(*_MEAN, *_LOW.values(), "logdet"), F.struct("logdet", "s")).alias("p"))
     best = common.materialise(best.select("g", "lg", F.lit(0).alias("s"), "p.*", F.lit(False).alias("settled")), "mcd")
     for _ in range(MOST_STEPS):
-        then = _concentrate(distinct, best).select(F.col("g").alias("g_of"), F.struct(*_MEAN, *_LOW.values(), "logdet").alias("then"))
+        then = _concentrate(distinct, best, n).select(F.col("g").alias("g_of"), F.struct(*_MEAN, *_LOW.values(), "logdet").alias("then"))
         was = F.struct(*_MEAN, *_LOW.values(), "logdet")
         on = F.col("settled") | (F.col("then.logdet") >= F.col("logdet"))
         done = on | (F.col("then.logdet") >= F.col("logdet") - SETTLED)
-        best = best.join(then, F.col("g") == F.col("g_of")).select("g", "lg", "s", F.when(on, was).otherwise(F.col("then")).alias("p"), done.alias("settled"))
+        best = best.join(_small(then, n), F.col("g") == F.col("g_of")).select("g", "lg", "s", F.when(on, was).otherwise(F.col("then")).alias("p"), done.alias("settled"))
         best = common.materialise(best.select("g", "lg", "s", "p.*", "settled"), "mcd")
         if not best.where("not settled").limit(1).count():
             break
     cut = chi2_quantile(0.975, _P)
-    near = _with_params(distinct, best).where(F.col("d2") <= cut)
+    near = _with_params(distinct, best, n).where(F.col("d2") <= cut)
     better = common.materialise(_estimate(near, 0.975 / chi2_cdf(cut, _P + 2)).select("g", *_MEAN, *_LOW.values()), "mcd")
     # A group none of whose vectors is that near keeps the core's estimate.
     left = best.join(better.select("g"), "g", "left_anti").select("g", *_MEAN, *_LOW.values())
-    return common.materialise(better.unionByName(left), "mcd")
+    return common.materialise(better.unionByName(left), "mcd"), n
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,9 +264,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     lang, source = (F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in ("lang", "source"))
     rows = stats.withColumn("base_failed", failed).withColumns(_features()).withColumns({"g": F.concat_ws("\u0001", lang, source), "lg": lang})
     good = rows.where("not base_failed")
-    params = fit(good)
+    params, n = fit(good)
     mine = params.withColumnRenamed("g", "of")
-    judged = _with_distance(rows.join(mine, F.col("g") == F.col("of"), "left"))
+    judged = _with_distance(rows.join(_small(mine, n), F.col("g") == F.col("of"), "left"))
     limit = chi2_quantile(REJECT, _P, tail=True)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     return judged.select(
