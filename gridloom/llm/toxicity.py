@@ -29,9 +29,11 @@ TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_BYTES = 2000, 5000, 32_000_000
 WINDOW, STEP, GRAM = 80, 40, 5
 #: Bytes of a class's own part and of the common part; segment and match length of the dictionary builder.
 _OWN, _COMMON, _SEGMENT, _MATCH = 2048, 15_000, 24, 8
+#: Bytes of ordinary lines, taken evenly from all, that the common part is trained on: the trainer takes 12 times as much memory.
+_COMMON_SAMPLE = 4_000_000
 #: Share of an ordinary text's windows that may reach the window threshold.
 _REACH = 0.01
-_TABLE = 24  # bits of a hashed byte sequence
+_TABLE = 23  # bits of a hashed byte sequence
 _SHARE = 0.005  # of a class's documents that a byte sequence must occur in
 #: Stands behind each text: the compressor leaves the last bytes of its input unmatched.
 _EDGE = bytes(b for b in range(1, 20) if b not in (9, 10, 13))
@@ -131,36 +133,43 @@ def _grams(data: bytes) -> np.ndarray:
     return ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE)).view(np.int64)
 
 
-def _spread(docs: list[list[bytes]]) -> np.ndarray:
-    """For each fold and place of the table, how many documents have a byte sequence there, up to 255. The table is so wide
+def _there(docs: list[list[bytes]]) -> np.ndarray:
+    """For each place of the table, in which folds a document has a byte sequence there, as bits. The table is so wide
     that few sequences share a place."""
-    out = np.zeros((FOLDS, 1 << _TABLE), np.uint8)
+    out = np.zeros(1 << _TABLE, np.uint8)
     for i, lines in enumerate(docs):
-        row, at = out[i % FOLDS], _grams(b"\n".join(lines))
-        row[at] += row[at] < 255  # once a place, however often it is listed
+        out[_grams(b"\n".join(lines))] |= np.uint8(1 << i % FOLDS)
     return out
 
 
-def _left(docs: list[list[bytes]], own: np.ndarray, other: np.ndarray) -> list[list[bytes]]:
+def _left(docs: list[list[bytes]], other: np.ndarray) -> list[list[bytes]]:
     """What is left of a class's documents, without each fold in turn and then of all: stretches covered by byte sequences
     that at least _SHARE of the documents have, and two of them, and no document of the other class."""
-    tables = []
-    for leave in (*range(FOLDS), None):
-        n = sum(i % FOLDS != leave for i in range(len(docs)))
+    counts = np.zeros((FOLDS, 1 << _TABLE), np.uint8)  # of documents, up to 255
+    for i, lines in enumerate(docs):
+        row, at = counts[i % FOLDS], _grams(b"\n".join(lines))
+        row[at] += row[at] < 255  # once a place, however often it is listed
+    wanted = np.zeros(1 << _TABLE, np.uint8)  # for which of the lots below, as bits
+    lots = (*range(FOLDS), None)
+    for n, leave in enumerate(lots):
         folds = [f for f in range(FOLDS) if f != leave]
-        tables.append((own[folds].sum(axis=0, dtype=np.uint16) >= max(2, math.ceil(_SHARE * n))) & ~other[folds].any(axis=0))
-    out: list[list[bytes]] = [[] for _ in tables]
+        least = max(2, math.ceil(_SHARE * sum(i % FOLDS != leave for i in range(len(docs)))))
+        total = np.zeros(1 << _TABLE, np.uint16)
+        for f in folds:
+            total += counts[f]
+        wanted |= ((total >= least) & (other & np.uint8(sum(1 << f for f in folds)) == 0)).astype(np.uint8) << n
+    out: list[list[bytes]] = [[] for _ in lots]
     for i, lines in enumerate(docs):
         data = b"\n".join(lines)
-        g = _grams(data)
-        for leave, table in enumerate(tables):
-            if i % FOLDS != leave and (new := table[g]).any():
+        g = wanted[_grams(data)]
+        for n, leave in enumerate(lots):
+            if i % FOLDS != leave and (new := g >> n & 1 == 1).any():
                 change = np.zeros(len(data) + 1, np.int32)
                 change[: len(g)] += new
                 change[GRAM : GRAM + len(g)] -= new
                 keep = np.cumsum(change)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], keep.astype(np.int8), [0])))).tolist()
-                out[leave].append(b"\n".join([data[x:y] for x, y in zip(edge[::2], edge[1::2], strict=True)]))
+                out[n].append(b"\n".join([data[x:y] for x, y in zip(edge[::2], edge[1::2], strict=True)]))
     return out
 
 
@@ -177,9 +186,10 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 def _models(docs: tuple[list, list]) -> list[Model]:
     """Models without weights from the documents (lines of the ordinary and of the toxic): without each fold, and of all."""
-    shared = _dictionary([x for lines in docs[0] for x in lines], _COMMON)
-    seen = tuple(map(_spread, docs))
-    left = [_left(docs[k], seen[k], seen[1 - k]) for k in (0, 1)]
+    ordinary = [x for lines in docs[0] for x in lines]
+    shared = _dictionary(ordinary[:: max(1, math.ceil(sum(map(len, ordinary)) / _COMMON_SAMPLE))], _COMMON)
+    there = tuple(map(_there, docs))
+    left = [_left(docs[k], there[1 - k]) for k in (0, 1)]
     return [Model(_dictionary(bad, _OWN) + shared, _dictionary(plain, _OWN) + shared, 3, (0.0,) * _N) for plain, bad in zip(*left, strict=True)]
 
 
@@ -262,7 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             chosen.append((r.id,))
     some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "id long")), "id", "left_semi")
     found = sorted(some.collect(), key=lambda r: (r.h, r.id))
-    ids, y = [r.id for r in found], [int(r.toxic) for r in found]
+    ids, y, data = [r.id for r in found], [int(r.toxic) for r in found], [bytes(r.text) for r in found]
+    del found
 
     def measure(models: list[Model], folds: np.ndarray) -> np.ndarray:
         def run(batches):
@@ -280,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         got = {r.id: r.h for r in dealt.mapInArrow(run, "id long, h binary").collect()}  # a few numbers a row of the sample
         return np.array([np.frombuffer(got[i], "<i8") for i in ids]).reshape(-1, 2 * _BINS + 1)
 
-    return train([bytes(r.text) for r in found], y, measure if ids else None)
+    return train(data, y, measure if ids else None)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
