@@ -170,7 +170,7 @@ def test_grid_affine_and_mercator(spark):
     assert (f.ox, f.pw, f.skx, f.oy, f.sky, f.ph) == pytest.approx((0, 0.1, 0, 0, 0, -0.1))
     lon, lat, known = geo.to_lonlat(3857, 7449552.776673075, 2857827.613526296)
     assert known and (float(lon), float(lat)) == pytest.approx((66.920471191, 24.854042167), abs=1e-5)
-    assert geo.to_lonlat(2154, 1, 2) == (1, 2, False)
+    assert geo.to_lonlat(27700, 1, 2) == (1, 2, False)
 
 
 @pytest.mark.parametrize("epsg", [32642, 32733])
