@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions import projections
@@ -21,6 +23,11 @@ def lonlat_to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.radians(lon) * RADIUS, F.log(F.tan(F.radians(lat) / 2 + math.pi / 4)) * RADIUS
 
 
+def _libm(name: str, *args):
+    """A function of the C library over arrays, by Arrow; numpy may take vector forms of its own with other last bits."""
+    return getattr(pc, name)(*(pa.array(np.ravel(a)) for a in args)).to_numpy().reshape(np.shape(args[0]))
+
+
 class Utm:
     """Transverse Mercator by Krueger's series to the sixth order: EPSG 326xx and 327xx on WGS 84, 258xx (ETRS89) and 269xx
     (NAD83) on GRS 80, whose datums are taken for that of WGS 84 (they differ by a metre or two)."""
@@ -31,7 +38,8 @@ class Utm:
             raise ValueError(f"EPSG {epsg} is no UTM zone")
         f = 1 / 298.257222101 if grs80 else 1 / 298.257223563
         n = f / (2 - f)
-        self.lon0 = math.radians((epsg % 100) * 6 - 183)
+        self.meridian = (epsg % 100) * 6 - 183
+        self.lon0 = math.radians(self.meridian)
         self.north0 = 10_000_000.0 if epsg >= 32700 else 0.0
         self.a = RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256) * 0.9996
         self.e = math.sqrt(f * (2 - f))
@@ -51,6 +59,18 @@ class Utm:
             4583 / 161280 * n**5 - 108847 / 3991680 * n**6,
             20648693 / 638668800 * n**6,
         )
+        self.beta4 = (
+            n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3 - n**4 / 360,
+            n**2 / 48 + n**3 / 15 - 437 / 1440 * n**4,
+            17 / 480 * n**3 - 37 / 840 * n**4,
+            4397 / 161280 * n**4,
+        )
+        self.delta4 = (
+            2 * n - 2 / 3 * n**2 - 2 * n**3 + 116 / 45 * n**4,
+            7 / 3 * n**2 - 8 / 5 * n**3 - 227 / 45 * n**4,
+            56 / 15 * n**3 - 136 / 35 * n**4,
+            4279 / 630 * n**4,
+        )
 
     def forward(self, lon, lat):
         lam, phi = np.radians(lon) - self.lon0, np.radians(lat)
@@ -76,13 +96,34 @@ class Utm:
             tau = tau + (target - now) / slope
         return np.degrees(self.lon0 + np.arctan2(np.sinh(v), np.cos(u))), np.degrees(np.arctan(tau))
 
+    @np.errstate(invalid="ignore")
+    def inverse4(self, x, y):
+        """``inverse`` by the shorter series to the fourth order that is often published, with one for latitude in place of
+        Newton's steps.
+
+        Within a zone it is right to 3e-11 degrees. To a millionth of a degree it is right up to 12,000 km from the meridian,
+        the sixth order up to 14,000; beyond 20,000 km neither is near the place (0.1 degrees off there, then anything),
+        and the last bit of a sine decides on the result: so sines are the C library's here, as other engines have them.
+        """
+        xi, eta = (np.asarray(y) - self.north0) / self.a, (np.asarray(x) - 500_000.0) / self.a
+        u, v = xi, eta
+        for j, b in enumerate(self.beta4, 1):
+            u = u - b * _libm("sin", 2 * j * xi) * _libm("cosh", 2 * j * eta)
+            v = v - b * _libm("cos", 2 * j * xi) * _libm("sinh", 2 * j * eta)
+        chi = _libm("asin", _libm("sin", u) / _libm("cosh", v))
+        phi = chi
+        for j, d in enumerate(self.delta4, 1):
+            phi = phi + d * _libm("sin", 2 * j * chi)
+        return self.meridian + np.degrees(_libm("atan2", _libm("sinh", v), _libm("cos", u))), np.degrees(phi)
+
 
 #: Systems whose coordinates are longitude and latitude already, and files that don't say.
 GEOGRAPHIC = (None, 4326, 4258, 4269)
 
 
-def to_lonlat(epsg: int | None, x, y):
-    """(lon, lat, known): coordinates of a system that isn't known pass through, and known is False."""
+def to_lonlat(epsg: int | None, x, y, order: int = 6):
+    """(lon, lat, known): coordinates of a system that isn't known pass through, and known is False. ``order`` is that of
+    UTM's series, 6 or 4."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     if epsg in GEOGRAPHIC:
         return x, y, True
@@ -91,9 +132,10 @@ def to_lonlat(epsg: int | None, x, y):
     if plane := projections.by_epsg(epsg):
         return *plane.inverse(x, y), True
     try:
-        return *Utm(epsg).inverse(x, y), True
+        utm = Utm(epsg)
     except ValueError:
         return x, y, False
+    return *{4: utm.inverse4, 6: utm.inverse}[order](x, y), True
 
 
 def from_lonlat(epsg: int | None, lon, lat):
@@ -110,17 +152,20 @@ def from_lonlat(epsg: int | None, lon, lat):
         return lon, lat, False
 
 
-def reproject(points: DataFrame, epsg: int, x: str = "x", y: str = "y") -> DataFrame:
-    """``points`` with lon, lat, known, in Arrow batches (the mercator has its own Column form above)."""
-    schema = points.schema.simpleString()[7:-1]
+def reproject(points: DataFrame, epsg: int, x: str = "x", y: str = "y", order: int = 6) -> DataFrame:
+    """``points`` with lon, lat, known, in Arrow batches (the mercator has its own Column form above); ``order`` as in
+    ``to_lonlat``. What is null in x or y is null in the result, and NaN stays NaN."""
 
     def run(batches):
-        for pdf in batches:
-            lon, lat, known = to_lonlat(epsg, pdf[x].to_numpy(), pdf[y].to_numpy())
-            yield pdf.assign(lon=lon, lat=lat, known=known)
-
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) if schema else ""
-    return points.mapInPandas(run, f"{cols}, lon double, lat double, known boolean")
+        for b in batches:
+            xs, ys = b.column(x), b.column(y)
+            lon, lat, known = to_lonlat(epsg, xs.to_numpy(zero_copy_only=False), ys.to_numpy(zero_copy_only=False), order)
+            absent = np.asarray(xs.is_null()) | np.asarray(ys.is_null())
+            made = [pa.array(v, mask=absent & np.isnan(v)) for v in (lon, lat)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made, pa.array(np.full(len(b), known))], [*b.schema.names, "lon", "lat", "known"])
+
+    cols = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in points.schema)
+    return points.mapInArrow(run, f"{cols}lon double, lat double, known boolean")
 
 
 # Models from pixels to coordinates. Tie points are rows (col, row, x, y).

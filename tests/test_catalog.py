@@ -59,3 +59,16 @@ def test_rpc_inverse_covers_the_raster(spark):
     line, samp = geo.Rpc(catalog.rpc_example()).forward(got["y"].to_numpy(), got["x"].to_numpy(), np.full(len(got), 200.0))
     np.testing.assert_allclose(line, got["row"] * 10.0, atol=0.02)
     np.testing.assert_allclose(samp, got["col"] * 10.0, atol=0.02)
+
+
+def test_utm_far_beyond_its_zone(spark, tmp_path):
+    """Growing keys take x out of every zone, where orders of the series differ and then diverge; zeros keep their sign, and NaN is not null."""
+    c = duckdb.connect()
+    keys = "SELECT * FROM range(0, 900000, 997) UNION ALL SELECT unnest([55379, 65705, 74408, 284155, 288481, 899999])"
+    c.sql(f"CREATE TABLE customer AS SELECT k AS c_custkey, (k * 7919 % 1099965) / 100.0::DOUBLE - 999.85 AS c_acctbal FROM ({keys}) AS t(k)")
+    c.sql("INSERT INTO customer VALUES (NULL, 1.5), (7, NULL), (8, 'nan'), (9, 'inf'), (5600000, 1), (6000000, 2)")
+    c.sql(f"COPY customer TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    columns = ["c_custkey", "x", "y", "lon", "lat", "known"]
+    got = sorted(map(repr, map(tuple, catalog.QUERIES["utm_to_wgs84"](spark, str(tmp_path)).select(columns).collect())))
+    assert got == sorted(map(repr, c.sql(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLE_SQL['utm_to_wgs84']})").fetchall()))
+    assert any("-0.0" in r for r in got) and any("nan" in r for r in got) and any("None" in r for r in got)

@@ -186,6 +186,30 @@ def test_utm_round_trip(epsg):
         assert y[1] == pytest.approx(0.9996 * 4984944.378, abs=0.01)
 
 
+def test_utm_orders():
+    """Both orders agree within a zone, in any shape; an order that isn't there is an error, not a system that isn't known."""
+    x, y = np.meshgrid(np.linspace(100_000, 900_000, 9), np.linspace(0, 9_000_000, 10))
+    for four, six in zip(geo.to_lonlat(25832, x, y, 4), geo.to_lonlat(25832, x, y)):
+        np.testing.assert_allclose(four, six, atol=1e-9)
+    assert float(geo.to_lonlat(32642, 500_000, 0, 4)[0]) == 69
+    with pytest.raises(KeyError):
+        geo.to_lonlat(32642, x, y, 5)
+
+
+def test_reproject_nulls_and_other_columns(spark):
+    """Null gives null and NaN stays NaN, in a system that passes through as well; other columns stay as they are."""
+    rows = [("a", 500_000.0, 0.0, [1]), ("b", None, 1.0, None), ("c", math.nan, 1.0, []), (None, 2.0, None, [2])]
+    df = spark.createDataFrame(rows, "`odd name` string, x double, y double, v array<int>")
+    got = [tuple(r) for r in geo.reproject(df, 32642).collect()]
+    assert [repr(r[:4]) for r in got] == [repr(r) for r in rows]
+    assert got[0][4:] == (69.0, 0.0, True) and got[1][4:] == got[3][4:] == (None, None, True)
+    assert math.isnan(got[2][4]) and math.isnan(got[2][5])
+    assert [repr(tuple(r)[4:]) for r in geo.reproject(df, 4326).collect()] == ["(500000.0, 0.0, True)", "(None, 1.0, True)", "(nan, 1.0, True)", "(2.0, None, True)"]
+    whole = spark.createDataFrame([(500_000, 0), (None, 1)], "x long, y long")
+    assert [tuple(r)[2:] for r in geo.reproject(whole, 32642).collect()] == [(69.0, 0.0, True), (None, None, True)]
+    assert geo.reproject(df.where("x < 0"), 32642).count() == 0
+
+
 def test_rpc_inverse_and_terrain():
     from gridloom.plans.catalog import rpc_example
 
